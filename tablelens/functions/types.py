@@ -83,3 +83,18 @@ def fixed_width(dt: T.DataType) -> int | None:
     if isinstance(dt, T.DecimalType):
         return 8 if dt.precision <= 18 else 16
     return None
+
+
+def literal_rows(spark, rows: list[tuple], schema: str):
+    """A small DataFrame built from literals inside the plan (no Python
+    worker, no driver-side RDD). For schema-sized tables only."""
+    from pyspark.sql import functions as F
+
+    fields = [f.strip().split(" ", 1) for f in schema.split(",")]
+    if not rows:
+        return spark.createDataFrame([], schema)
+    structs = [
+        F.struct(*[F.lit(v).cast(t).alias(n) for (n, t), v in zip(fields, row)])
+        for row in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*structs)))

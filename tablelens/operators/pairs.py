@@ -14,14 +14,12 @@
 from __future__ import annotations
 
 import itertools
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.canonical import canonical
-from ..functions.types import is_numeric
+from ..functions.types import is_numeric, literal_rows
 from .scalars import col_ref
 
 CORR_SCHEMA = T.StructType(
@@ -35,27 +33,18 @@ CORR_SCHEMA = T.StructType(
     ]
 )
 
-PAIR_CHUNK = 128
-
-
 def numeric_columns(df: DataFrame) -> list[tuple[int, str]]:
     return [(i, f.name) for i, f in enumerate(df.schema.fields) if is_numeric(f.dataType)]
 
 
-def _pair_struct(ia: int, a: str, ib: int, b: str):
-    x, y = col_ref(a).cast("double"), col_ref(b).cast("double")
-    xx = F.when(y.isNotNull(), x)
-    yy = F.when(x.isNotNull(), y)
-    rho = F.try_divide(F.covar_pop(x, y), F.stddev_pop(xx) * F.stddev_pop(yy))
-    return F.struct(
-        F.lit(ia).alias("ordinal_a"), F.lit(a).alias("column_a"),
-        F.lit(ib).alias("ordinal_b"), F.lit(b).alias("column_b"),
-        rho.cast("double").alias("rho"), F.count(xx).cast("bigint").alias("pairs"),
-    )
-
+def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Long form (ordinal_a, column_a, ordinal_b, column_b, rho, pairs), a < b.
 
-def correlation(df: DataFrame, columns: list[str] | None = None, chunk: int = PAIR_CHUNK) -> DataFrame:
-    """Long form (ordinal_a, column_a, ordinal_b, column_b, rho, pairs), a < b."""
+    Every row is expanded to one (pair, x, y) record per pair and aggregated
+    by pair id: one fixed set of aggregate functions whatever the number of
+    columns (compact generated code), partial aggregation per task, and a
+    shuffle of at most (#pairs × #tasks) rows.
+    """
     nums = numeric_columns(df)
     if columns is not None:
         wanted = set(columns)
@@ -63,12 +52,28 @@ def correlation(df: DataFrame, columns: list[str] | None = None, chunk: int = PA
     pairs = list(itertools.combinations(nums, 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], CORR_SCHEMA)
-    parts = []
-    for start in range(0, len(pairs), chunk):
-        block = pairs[start : start + chunk]
-        row = df.agg(*[_pair_struct(ia, a, ib, b).alias(f"p{k}") for k, ((ia, a), (ib, b)) in enumerate(block)])
-        parts.append(row.select(F.inline(F.array(*[F.col(f"p{k}") for k in range(len(block))]))))
-    return reduce(DataFrame.unionByName, parts)
+    recs = []
+    for k, ((_, a), (_, b)) in enumerate(pairs):
+        x, y = col_ref(a).cast("double"), col_ref(b).cast("double")
+        both = x.isNotNull() & y.isNotNull()
+        recs.append(F.struct(F.lit(k).alias("pair"), F.when(both, x).alias("x"), F.when(both, y).alias("y")))
+    long = df.select(F.inline(F.array(*recs)))
+    agg = long.groupBy("pair").agg(
+        F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("rho"),
+        F.count("x").alias("pairs"),
+    )
+
+    def lookup(values, dt):
+        return F.element_at(F.array(*[F.lit(v).cast(dt) for v in values]), F.col("pair") + 1)
+
+    return agg.select(
+        lookup([p[0][0] for p in pairs], "int").alias("ordinal_a"),
+        lookup([p[0][1] for p in pairs], "string").alias("column_a"),
+        lookup([p[1][0] for p in pairs], "int").alias("ordinal_b"),
+        lookup([p[1][1] for p in pairs], "string").alias("column_b"),
+        F.col("rho").cast("double").alias("rho"),
+        F.col("pairs").cast("bigint").alias("pairs"),
+    )
 
 
 def correlated_pairs(corr: DataFrame, threshold: float = 0.9) -> DataFrame:
@@ -138,4 +143,4 @@ def composite_keys(
         bad = _non_keys(df, fields, cands)
         keys.extend(c for k, c in enumerate(cands) if k not in bad)
     rows = [(",".join(fields[i].name for i in k), len(k)) for k in keys]
-    return df.sparkSession.createDataFrame(rows, "key_columns string, size int")
+    return literal_rows(df.sparkSession, rows, "key_columns string, size int")

@@ -25,33 +25,113 @@ from .scalars import col_ref
 
 FREQ_COLUMNS = ("ordinal", "column_name", "value", "cnt")
 
+EMPTY_FREQ_SCHEMA = T.StructType(
+    [
+        T.StructField("ordinal", T.IntegerType()),
+        T.StructField("column_name", T.StringType()),
+        T.StructField("value", T.StringType()),
+        T.StructField("cnt", T.LongType()),
+    ]
+)
+
 
 def _name_of(names: list[str]):
     """Column name looked up from an ordinal via a literal array (no join)."""
     return F.element_at(F.array(*[F.lit(n) for n in names]), F.col("ordinal") + 1)
 
 
+def _slot(dt: T.DataType) -> str:
+    """Typed grouping slot: exact and cheaper than text for every row."""
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType,
+                       T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return "l"
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        return "d"
+    return "s"
+
+
+def _to_slot(c, dt: T.DataType):
+    if isinstance(dt, T.DateType):
+        return F.unix_date(c).cast("bigint")
+    if isinstance(dt, T.TimestampType):
+        return F.unix_micros(c)
+    if isinstance(dt, T.TimestampNTZType):
+        # wall-clock micros: the same for every session time zone
+        return F.unix_micros(F.to_utc_timestamp(c.cast("timestamp"), F.current_timezone()))
+    if isinstance(dt, T.BooleanType):
+        return c.cast("int").cast("bigint")
+    if _slot(dt) == "l":
+        return c.cast("bigint")
+    if _slot(dt) == "d":
+        return c.cast("double")
+    return canonical(c, dt)
+
+
+def _render(kinds: list[str]):
+    """Canonical text of a grouped value, once per distinct value."""
+    kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), F.col("ordinal") + 1)
+    l, d = F.col("l"), F.col("d")
+    ntz = F.from_utc_timestamp(F.timestamp_micros(l), F.current_timezone()).cast("timestamp_ntz")
+    real = F.when(F.isnan(d), F.lit("NaN"))
+    return (
+        F.when(kind == "int", l.cast("string"))
+        .when(kind == "bool", F.when(l == 1, F.lit("true")).otherwise(F.lit("false")))
+        .when(kind == "date", F.date_from_unix_date(l.cast("int")).cast("string"))
+        .when(kind == "ts", F.timestamp_micros(l).cast("string"))
+        .when(kind == "ntz", ntz.cast("string"))
+        .when(kind == "float", real.otherwise(d.cast("float").cast("string")))
+        .when(kind == "double", real.otherwise(d.cast("string")))
+        .otherwise(F.col("s"))
+    )
+
+
+def _render_kind(dt: T.DataType) -> str:
+    if isinstance(dt, T.BooleanType):
+        return "bool"
+    if isinstance(dt, T.DateType):
+        return "date"
+    if isinstance(dt, T.TimestampType):
+        return "ts"
+    if isinstance(dt, T.TimestampNTZType):
+        return "ntz"
+    if isinstance(dt, T.FloatType):
+        return "float"
+    if isinstance(dt, T.DoubleType):
+        return "double"
+    return "int" if _slot(dt) == "l" else "text"
+
+
 def value_frequencies(df: DataFrame, ordinals: list[int] | None = None) -> DataFrame:
     """(ordinal, column_name, value, cnt) for every non-null value of every column.
 
-    ``value`` is the canonical text of the value (see functions.canonical).
+    Rows are expanded to one record per column with the value in a typed
+    slot (bigint / double / text) and counted by (column, slot values): no
+    per-row text conversion, exact equality (grouping folds -0.0 into 0.0
+    and all NaNs together). ``value`` is then rendered once per distinct
+    value as the canonical text of functions.canonical.
     """
     fields = list(df.schema.fields)
     names = [f.name for f in fields]
-    picked = range(len(fields)) if ordinals is None else ordinals
+    picked = list(range(len(fields)) if ordinals is None else ordinals)
     spark = df.sparkSession
-    if not fields or not list(picked):
-        schema = "ordinal int, column_name string, value string, cnt bigint"
-        return spark.createDataFrame([], schema)
-    projected = df.select(*[canonical(col_ref(fields[i].name), fields[i].dataType).alias(str(i)) for i in picked])
-    long = projected.unpivot([], [str(i) for i in picked], "slot", "value")
-    freq = (
-        long.where(F.col("value").isNotNull())
-        .groupBy("slot", "value")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-        .withColumn("ordinal", F.col("slot").cast("int"))
-    )
-    return freq.select("ordinal", _name_of(names).alias("column_name"), "value", "cnt")
+    if not fields or not picked:
+        return spark.createDataFrame([], EMPTY_FREQ_SCHEMA)
+    recs = []
+    for i in picked:
+        c, dt = col_ref(fields[i].name), fields[i].dataType
+        v = _to_slot(c, dt)
+        slot = _slot(dt)
+        recs.append(F.struct(
+            F.lit(i).alias("ordinal"),
+            (v if slot == "l" else F.lit(None).cast("bigint")).alias("l"),
+            (v if slot == "d" else F.lit(None).cast("double")).alias("d"),
+            (v if slot == "s" else F.lit(None).cast("string")).alias("s"),
+        ))
+    long = df.select(F.inline(F.array(*recs)))
+    present = F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull()
+    freq = long.where(present).groupBy("ordinal", "l", "d", "s").agg(F.count(F.lit(1)).alias("cnt"))
+    kinds = [_render_kind(f.dataType) for f in fields]
+    return freq.select("ordinal", _name_of(names).alias("column_name"), _render(kinds).alias("value"), "cnt")
 
 
 def distinct_stats(freq: DataFrame) -> DataFrame:
@@ -120,11 +200,3 @@ def ranked_array(ranked: DataFrame, name: str) -> DataFrame:
     )
 
 
-EMPTY_FREQ_SCHEMA = T.StructType(
-    [
-        T.StructField("ordinal", T.IntegerType()),
-        T.StructField("column_name", T.StringType()),
-        T.StructField("value", T.StringType()),
-        T.StructField("cnt", T.LongType()),
-    ]
-)

@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,15 +53,23 @@ def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     pairs = list(itertools.combinations(nums, 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], CORR_SCHEMA)
-    recs = []
-    for k, ((_, a), (_, b)) in enumerate(pairs):
-        x, y = col_ref(a).cast("double"), col_ref(b).cast("double")
-        both = x.isNotNull() & y.isNotNull()
-        recs.append(F.struct(F.lit(k).alias("pair"), F.when(both, x).alias("x"), F.when(both, y).alias("y")))
-    long = df.select(F.inline(F.array(*recs)))
+    # project every numeric column to double once; the expansion then only
+    # copies column references, and the pairwise-complete rule (both values
+    # present) is applied inside the aggregate
+    slots = {i: f"v{i}" for i, _ in nums}
+    base = df.select(*[col_ref(n).cast("double").alias(slots[i]) for i, n in nums])
+    recs = [
+        F.struct(F.lit(k).alias("pair"), F.col(slots[ia]).alias("x"), F.col(slots[ib]).alias("y"))
+        for k, ((ia, _), (ib, _)) in enumerate(pairs)
+    ]
+    long = base.select(F.inline(F.array(*recs)))
+    x, y = F.col("x"), F.col("y")
     agg = long.groupBy("pair").agg(
-        F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("rho"),
-        F.count("x").alias("pairs"),
+        F.try_divide(
+            F.covar_pop(x, y),
+            F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y)),
+        ).alias("rho"),
+        F.count(F.when(y.isNotNull(), x)).alias("pairs"),
     )
 
     def lookup(values, dt):
@@ -83,14 +92,42 @@ def correlated_pairs(corr: DataFrame, threshold: float = 0.9) -> DataFrame:
 
 # ---------------------------------------------------------------- composite keys
 
-KEY_CHUNK = 128
+KEY_CHUNK = 256
+
+
+def _slot_class(dt: T.DataType) -> str:
+    """Exact typed slot for a key value: integers, dates, timestamps and
+    booleans as bigint; float/double as double (grouping folds -0.0 and NaN);
+    text as itself; everything else as its canonical text."""
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType,
+                       T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return "l"
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        return "d"
+    return "s"
+
+
+def _slot_value(c, dt: T.DataType):
+    if isinstance(dt, T.DateType):
+        return F.unix_date(c).cast("bigint")
+    if isinstance(dt, T.TimestampType):
+        return F.unix_micros(c)
+    if isinstance(dt, T.TimestampNTZType):
+        return F.unix_micros(c.cast("timestamp"))
+    cls = _slot_class(dt)
+    if cls == "l":
+        return c.cast("bigint")
+    if cls == "d":
+        return c.cast("double")
+    return canonical(c, dt)
 
 
 def _non_keys(df: DataFrame, fields: list[T.StructField], cands: list[tuple[int, ...]]) -> set[int]:
     """Indexes into ``cands`` that are NOT keys of ``df`` (a NULL or a duplicate).
 
-    Candidates are checked in chunks; each chunk is one job of
-    ``rows × chunk`` keyed records, partially aggregated before the shuffle.
+    Candidates are checked in chunks; each chunk is one job over
+    ``rows × chunk`` records keyed by (candidate, typed key), partially
+    aggregated before the shuffle (a hot tuple collapses in every task).
     """
     out: set[int] = set()
     for start in range(0, len(cands), KEY_CHUNK):
@@ -101,19 +138,29 @@ def _non_keys(df: DataFrame, fields: list[T.StructField], cands: list[tuple[int,
 def _non_keys_chunk(df: DataFrame, fields: list[T.StructField], cands: list[tuple[int, ...]]) -> set[int]:
     if not cands:
         return set()
-    canon = {i: canonical(col_ref(fields[i].name), fields[i].dataType) for c in cands for i in c}
-    keyed = df.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(k).alias("cand"), F.array(*[canon[i] for i in c]).alias("key"))
-                    for k, c in enumerate(cands)
-                ]
-            )
-        )
-    )
-    grouped = keyed.groupBy("cand", "key").agg(F.count(F.lit(1)).alias("cnt"))
-    bad = grouped.where((F.col("cnt") > 1) | F.exists("key", lambda v: v.isNull())).select("cand").distinct()
+    used = sorted({i for c in cands for i in c})
+    # slots per class: as many as the largest count of that class in one candidate
+    width = {cls: max(sum(1 for i in c if _slot_class(fields[i].dataType) == cls) for c in cands)
+             for cls in ("l", "d", "s")}
+    base = df.select(*[_slot_value(col_ref(fields[i].name), fields[i].dataType).alias(f"c{i}") for i in used])
+    recs = []
+    for k, cand in enumerate(cands):
+        by_cls: dict[str, list[str]] = {"l": [], "d": [], "s": []}
+        for i in cand:
+            by_cls[_slot_class(fields[i].dataType)].append(f"c{i}")
+        has_null = reduce(lambda a, b: a | b, [F.col(f"c{i}").isNull() for i in cand])
+        vals = [F.lit(k).alias("cand"), has_null.alias("has_null")]
+        for cls, dt in (("l", "bigint"), ("d", "double"), ("s", "string")):
+            names = by_cls[cls]
+            for j in range(width[cls]):
+                v = F.col(names[j]) if j < len(names) else F.lit(None).cast(dt)
+                vals.append(v.cast(dt).alias(f"{cls}{j}"))
+        recs.append(F.struct(*vals))
+    keyed = base.select(F.inline(F.array(*recs)))
+    key_cols = [f"{cls}{j}" for cls in ("l", "d", "s") for j in range(width[cls])]
+    grouped = keyed.groupBy("cand", *key_cols).agg(
+        F.count(F.lit(1)).alias("cnt"), F.max(F.col("has_null").cast("int")).alias("nulls"))
+    bad = grouped.where((F.col("cnt") > 1) | (F.col("nulls") > 0)).select("cand").distinct()
     return {r["cand"] for r in bad.collect()}  # candidate ids only: bounded by the schema
 
 
@@ -126,15 +173,33 @@ def composite_keys(
 ) -> DataFrame:
     """Minimal keys of size 1..max_size: (key_columns, size), column names
     joined by ',' in schema order."""
+    from . import frequency as fq
+
     fields = list(df.schema.fields)
     idx = [i for i, f in enumerate(fields) if columns is None or f.name in set(columns)]
+    if not idx:
+        return literal_rows(df.sparkSession, [], "key_columns string, size int")
+    # Level 1 and the pruning bound come from exact distinct counts (the
+    # frequency pass): a tuple can only be a key if the product of its
+    # columns' distinct counts reaches the row count.
+    n = df.count()
+    stats = fq.distinct_stats(fq.value_frequencies(df, idx)).select("ordinal", "unique_values", "freq_total")
+    distinct = {r["ordinal"]: (r["unique_values"], r["freq_total"]) for r in stats.collect()}  # one row per column
+    keys: list[tuple[int, ...]] = [
+        (i,) for i in idx if n > 0 and distinct.get(i, (0, 0)) == (n, n)
+    ]
+    no_nulls = [i for i in idx if distinct.get(i, (0, 0))[1] == n]  # a column with a NULL is in no key
     sample = df.sample(fraction=sample_fraction, seed=seed) if 0 < sample_fraction < 1 else None
-    keys: list[tuple[int, ...]] = []
-    for size in range(1, max_size + 1):
-        cands = [
-            c for c in itertools.combinations(idx, size)
-            if not any(set(k).issubset(c) for k in keys)
-        ]
+    for size in range(2, max_size + 1):
+        cands = []
+        for c in itertools.combinations(no_nulls, size):
+            if any(set(k).issubset(c) for k in keys):
+                continue
+            bound = 1
+            for i in c:
+                bound *= distinct[i][0]
+            if bound >= n:
+                cands.append(c)
         if not cands:
             continue
         if sample is not None:
@@ -142,5 +207,7 @@ def composite_keys(
             cands = [c for k, c in enumerate(cands) if k not in bad]
         bad = _non_keys(df, fields, cands)
         keys.extend(c for k, c in enumerate(cands) if k not in bad)
+    if n == 0:
+        keys = []
     rows = [(",".join(fields[i].name for i in k), len(k)) for k in keys]
     return literal_rows(df.sparkSession, rows, "key_columns string, size int")

@@ -101,21 +101,19 @@ def _render_kind(dt: T.DataType) -> str:
     return "int" if _slot(dt) == "l" else "text"
 
 
-def value_frequencies(df: DataFrame, ordinals: list[int] | None = None) -> DataFrame:
-    """(ordinal, column_name, value, cnt) for every non-null value of every column.
+def typed_frequencies(df: DataFrame, ordinals: list[int] | None = None) -> DataFrame:
+    """(ordinal, l, d, s, cnt): counts of every value of every column in its
+    typed slot, NULL included (the group whose slots are all NULL).
 
     Rows are expanded to one record per column with the value in a typed
     slot (bigint / double / text) and counted by (column, slot values): no
     per-row text conversion, exact equality (grouping folds -0.0 into 0.0
-    and all NaNs together). ``value`` is then rendered once per distinct
-    value as the canonical text of functions.canonical.
+    and all NaNs together). Partial aggregation in every scan task collapses
+    repeated values, so a hot value or an all-NULL column ships one row per
+    task.
     """
     fields = list(df.schema.fields)
-    names = [f.name for f in fields]
     picked = list(range(len(fields)) if ordinals is None else ordinals)
-    spark = df.sparkSession
-    if not fields or not picked:
-        return spark.createDataFrame([], EMPTY_FREQ_SCHEMA)
     recs = []
     for i in picked:
         c, dt = col_ref(fields[i].name), fields[i].dataType
@@ -128,10 +126,32 @@ def value_frequencies(df: DataFrame, ordinals: list[int] | None = None) -> DataF
             (v if slot == "s" else F.lit(None).cast("string")).alias("s"),
         ))
     long = df.select(F.inline(F.array(*recs)))
-    present = F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull()
-    freq = long.where(present).groupBy("ordinal", "l", "d", "s").agg(F.count(F.lit(1)).alias("cnt"))
+    return long.groupBy("ordinal", "l", "d", "s").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def present() -> F.Column:
+    return F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull()
+
+
+def render(typed: DataFrame, df: DataFrame) -> DataFrame:
+    """Frequency table with canonical text values, NULL group dropped."""
+    fields = list(df.schema.fields)
+    names = [f.name for f in fields]
     kinds = [_render_kind(f.dataType) for f in fields]
-    return freq.select("ordinal", _name_of(names).alias("column_name"), _render(kinds).alias("value"), "cnt")
+    return typed.where(present()).select(
+        "ordinal", _name_of(names).alias("column_name"), _render(kinds).alias("value"), "cnt")
+
+
+def value_frequencies(df: DataFrame, ordinals: list[int] | None = None) -> DataFrame:
+    """(ordinal, column_name, value, cnt) for every non-null value of every
+    column; ``value`` is the canonical text of functions.canonical, rendered
+    once per distinct value."""
+    fields = list(df.schema.fields)
+    picked = list(range(len(fields)) if ordinals is None else ordinals)
+    if not fields or not picked:
+        return df.sparkSession.createDataFrame([], EMPTY_FREQ_SCHEMA)
+    typed = typed_frequencies(df, picked).where(present())
+    return render(typed, df)
 
 
 def distinct_stats(freq: DataFrame) -> DataFrame:

@@ -28,7 +28,8 @@ from .. import __version__
 from ..operators import frequency as fq
 from ..operators import pairs, size, typed
 from ..operators import warnings as wn
-from ..operators.scalars import scalar_pass
+from ..operators.facts import frequency_facts
+from ..operators.scalars import SCALAR_SCHEMA, scalar_pass
 from ..functions.types import is_string
 from .checkpoint import materialize
 
@@ -105,13 +106,37 @@ class Profile:
     started_at: _dt.datetime = field(default_factory=lambda: _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None))
 
     # ------------------------------------------------------------- passes
+    @property
+    def uses_frequencies(self) -> bool:
+        return self.distinct or self.top_k > 0
+
+    @cached_property
+    def typed_frequencies(self) -> DataFrame:
+        """The one shuffle of the profile: counts per (column, typed value), NULL included."""
+        return fq.typed_frequencies(self.df)
+
+    @cached_property
+    def facts(self) -> DataFrame | None:
+        if not self.uses_frequencies or not self.df.schema.fields:
+            return None
+        return frequency_facts(self.typed_frequencies, self.df, self.sections, self.class_mode)
+
     @cached_property
     def scalars(self) -> DataFrame:
+        """SCALAR_SCHEMA facts: from the frequency table when it is built
+        anyway (one scan in all), else from the shuffle-free scalar pass."""
+        if self.facts is not None:
+            return self.facts.select(*[f.name for f in SCALAR_SCHEMA.fields])
         return scalar_pass(self.df, sections=self.sections, class_mode=self.class_mode)
 
     @cached_property
     def frequencies(self) -> DataFrame:
-        return fq.value_frequencies(self.df)
+        if not self.df.schema.fields:
+            return fq.value_frequencies(self.df)
+        # The NULL group is dropped by a predicate on the count, so Catalyst
+        # keeps it above the aggregate and every consumer shares one shuffle.
+        typed = self.typed_frequencies.where(F.when(fq.present(), F.col("cnt")) > 0)
+        return fq.render(typed, self.df)
 
     @cached_property
     def correlation(self) -> DataFrame | None:
@@ -120,6 +145,8 @@ class Profile:
     # ------------------------------------------------------- derived pieces
     @cached_property
     def distinct_stats(self) -> DataFrame:
+        if self.facts is not None:
+            return self.facts.select("ordinal", "unique_values", "avg_distinct_length")
         return fq.distinct_stats(self.frequencies)
 
     @cached_property

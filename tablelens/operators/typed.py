@@ -46,7 +46,8 @@ TYPED_SECTION = T.StructType(
 )
 
 
-def _section(order: int, typ: str, origin, count: Column, mx, mn, mean, std) -> Column:
+def _section(order: int, typ: str, origin, count: Column, mx, mn, mean, std,
+             shortest=None, longest=None, avg_len=None) -> Column:
     def lit_or(x, dt):
         return (x if isinstance(x, Column) else F.lit(x)).cast(dt)
 
@@ -59,29 +60,47 @@ def _section(order: int, typ: str, origin, count: Column, mx, mn, mean, std) ->
         lit_or(mn, "string").alias("min_value"),
         lit_or(mean, "double").alias("mean"),
         lit_or(std, "double").alias("stddev"),
+        lit_or(shortest, "array<string>").alias("shortest_values"),
+        lit_or(longest, "array<string>").alias("longest_values"),
+        lit_or(avg_len, "double").alias("average_length"),
     )
 
 
-def section_rows(scalars: DataFrame, min_count: int = 1) -> DataFrame:
-    """Long form (ordinal, column_name, section fields...) from the scalar pass.
+def section_array(df: DataFrame) -> Column:
+    """All six candidate sections of a per-column fact row, in report order.
 
-    Emits a section when its count is greater than ``min_count``.
+    TEXT takes its lists and average distinct length from the row when the
+    row carries them (shortest_values, longest_values, avg_distinct_length).
     """
     s = F.col
-    arr = F.array(
+    cols = set(df.columns)
+
+    def opt(name):
+        return s(name) if name in cols else None
+
+    return F.array(
         _section(1, REAL, "native", F.when(s("num_type") == REAL, s("num_count")),
                  s("num_max"), s("num_min"), s("num_mean"), s("num_std")),
         _section(2, INTEGER, "native", F.when(s("num_type") == INTEGER, s("num_count")),
                  s("num_max"), s("num_min"), s("num_mean"), s("num_std")),
-        _section(3, "TEXT", "native", s("text_count"), None, None, None, None),
+        _section(3, "TEXT", "native", s("text_count"), None, None, None, None,
+                 opt("shortest_values"), opt("longest_values"), opt("avg_distinct_length")),
         _section(4, "DATE/TIME", s("dt_origin"), s("dt_count"), s("dt_max"), s("dt_min"), None, None),
         _section(5, REAL, "parsed", s("pr_count"), s("pr_max"), s("pr_min"), s("pr_mean"), s("pr_std")),
         _section(6, INTEGER, "parsed", s("pi_count"), s("pi_max"), s("pi_min"), s("pi_mean"), s("pi_std")),
     )
-    return (
-        scalars.select("ordinal", "column_name", F.inline(arr))
-        .where(F.col("count") > min_count)
-    )
+
+
+def section_rows(facts: DataFrame, min_count: int = 1) -> DataFrame:
+    """Long form (ordinal, column_name, section_order, TYPED_SECTION fields):
+    the sections whose count is greater than ``min_count``."""
+    return facts.select("ordinal", "column_name", F.inline(section_array(facts))).where(F.col("count") > min_count)
+
+
+def data_types(facts: DataFrame, min_count: int = 1) -> Column:
+    """The report's ``data_types`` array, built per row (no aggregation)."""
+    kept = F.filter(section_array(facts), lambda x: F.coalesce(x["count"] > min_count, F.lit(False)))
+    return F.transform(kept, lambda x: F.struct(*[x[f.name].alias(f.name) for f in TYPED_SECTION.fields]))
 
 
 def typed_values(df: DataFrame, name: str) -> DataFrame:

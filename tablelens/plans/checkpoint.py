@@ -41,3 +41,15 @@ def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss); never localCheckpoint."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize_if_possible(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint when a shared folder is known (or the master is
+    local); otherwise the lazy plan, which is equally correct, only
+    recomputed by every action."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    known = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not known and not sc.master.startswith("local"):
+        return df
+    return materialize(df)

@@ -31,7 +31,7 @@ from ..operators import warnings as wn
 from ..operators.facts import frequency_facts
 from ..operators.scalars import SCALAR_SCHEMA, scalar_pass
 from ..functions.types import is_string
-from .checkpoint import materialize
+from .checkpoint import materialize, materialize_if_possible
 
 COLUMN_REPORT_SCHEMA = T.StructType(
     [
@@ -108,30 +108,20 @@ class Profile:
     # ------------------------------------------------------------- passes
     @property
     def uses_frequencies(self) -> bool:
-        return self.distinct or self.top_k > 0
+        return (self.distinct or self.top_k > 0) and bool(self.df.schema.fields)
 
     @cached_property
     def typed_frequencies(self) -> DataFrame:
-        """The one shuffle of the profile: counts per (column, typed value), NULL included."""
-        return fq.typed_frequencies(self.df)
-
-    @cached_property
-    def facts(self) -> DataFrame | None:
-        if not self.uses_frequencies or not self.df.schema.fields:
-            return None
-        return frequency_facts(self.typed_frequencies, self.df, self.sections, self.class_mode)
+        """The one shuffle of the profile: counts per (column, typed value), NULL included.
 
-    @cached_property
-    def scalars(self) -> DataFrame:
-        """SCALAR_SCHEMA facts: from the frequency table when it is built
-        anyway (one scan in all), else from the shuffle-free scalar pass."""
-        if self.facts is not None:
-            return self.facts.select(*[f.name for f in SCALAR_SCHEMA.fields])
-        return scalar_pass(self.df, sections=self.sections, class_mode=self.class_mode)
+        Every consumer below references ``cnt``, so Catalyst plans the same
+        aggregate everywhere and the shuffle is computed once and reused.
+        """
+        return fq.typed_frequencies(self.df)
 
     @cached_property
     def frequencies(self) -> DataFrame:
-        if not self.df.schema.fields:
+        if not self.uses_frequencies:
             return fq.value_frequencies(self.df)
         # The NULL group is dropped by a predicate on the count, so Catalyst
         # keeps it above the aggregate and every consumer shares one shuffle.
@@ -142,19 +132,10 @@ class Profile:
     def correlation(self) -> DataFrame | None:
         return pairs.correlation(self.df) if self.correlations else None
 
-    # ------------------------------------------------------- derived pieces
-    @cached_property
-    def distinct_stats(self) -> DataFrame:
-        if self.facts is not None:
-            return self.facts.select("ordinal", "unique_values", "avg_distinct_length")
-        return fq.distinct_stats(self.frequencies)
-
     @cached_property
     def top_values(self) -> DataFrame:
         return fq.top_values(self.frequencies, self.top_k)
 
-    # The frequency table is used unfiltered by every branch so that the one
-    # shuffle of the frequency pass is planned identically and reused.
     @cached_property
     def shortest_values(self) -> DataFrame:
         return fq.shortest_values(self.frequencies, self.extremes_k)
@@ -163,58 +144,68 @@ class Profile:
     def longest_values(self) -> DataFrame:
         return fq.longest_values(self.frequencies, self.extremes_k)
 
+    @cached_property
+    def per_column(self) -> DataFrame:
+        """Every per-column fact in one small table (one row per column):
+        scalar facts, distinct counts, top values and text extremes.
+
+        Computed by one job and cut from its lineage (reliable checkpoint in
+        the cluster's checkpoint folder) when a folder is available, so each
+        report after it reads a table of #columns rows and the data is
+        scanned and shuffled exactly once per profile.
+        """
+        if self.uses_frequencies:
+            facts = frequency_facts(self.typed_frequencies, self.df, self.sections, self.class_mode)
+        else:
+            facts = scalar_pass(self.df, sections=self.sections, class_mode=self.class_mode).select(
+                "*", F.lit(None).cast("bigint").alias("unique_values"),
+                F.lit(None).cast("double").alias("avg_distinct_length"))
+        if self.top_k > 0 and self.uses_frequencies:
+            facts = facts.join(F.broadcast(fq.ranked_array(self.top_values, "top_five_value")), "ordinal", "left")
+        else:
+            facts = facts.withColumn("top_five_value", F.lit(None).cast("array<string>"))
+        if self.sections and self.uses_frequencies:
+            facts = facts.join(F.broadcast(fq.text_extremes(self.frequencies, self.extremes_k)), "ordinal", "left")
+        else:
+            facts = facts.withColumn("shortest_values", F.lit(None).cast("array<string>")).withColumn(
+                "longest_values", F.lit(None).cast("array<string>"))
+        # the joined sides hold at most one row per column of the schema
+        return materialize_if_possible(facts)
+
+    @cached_property
+    def scalars(self) -> DataFrame:
+        return self.per_column.select(*[f.name for f in SCALAR_SCHEMA.fields])
+
+    @cached_property
+    def distinct_stats(self) -> DataFrame:
+        return self.per_column.select("ordinal", "unique_values", "avg_distinct_length")
+
     @cached_property
     def typed_sections(self) -> DataFrame:
         """Long form: one row per (column, section) with TEXT extras filled."""
-        secs = typed.section_rows(self.scalars)
-        text = (
-            fq.text_extremes(self.frequencies, self.extremes_k)
-            .join(self.distinct_stats.select("ordinal", F.col("avg_distinct_length").alias("average_length")),
-                  "ordinal", "left")
-            .withColumn("section_order", F.lit(3))
-        )
-        # both sides are at most one row per column: broadcast is schema-bounded
-        return secs.join(F.broadcast(text), ["ordinal", "section_order"], "left").select(
-            "ordinal", "column_name", "section_order", *[f.name for f in typed.TYPED_SECTION.fields]
-        )
+        return typed.section_rows(self.per_column).select(
+            "ordinal", "column_name", "section_order", *[f.name for f in typed.TYPED_SECTION.fields])
 
     @cached_property
     def column_facts(self) -> DataFrame:
         """Every per-column fact, one row per column (COLUMN_REPORT_SCHEMA)."""
-        s = self.scalars
-        facts = s
-        if self.distinct:
-            facts = facts.join(F.broadcast(self.distinct_stats), "ordinal", "left")
-        else:
-            facts = facts.withColumn("unique_values", F.lit(None).cast("bigint"))
-        if self.top_k > 0:
-            facts = facts.join(F.broadcast(fq.ranked_array(self.top_values, "top_five_value")), "ordinal", "left")
-        else:
-            facts = facts.withColumn("top_five_value", F.lit(None).cast("array<string>"))
-        if self.sections:
-            sec_arr = self.typed_sections.groupBy("ordinal").agg(
-                F.transform(
-                    F.array_sort(F.collect_list(F.struct("section_order", *[
-                        F.col(f.name) for f in typed.TYPED_SECTION.fields]))),
-                    lambda x: F.struct(*[x[f.name].alias(f.name) for f in typed.TYPED_SECTION.fields]),
-                ).alias("data_types")
-            )
-            facts = facts.join(F.broadcast(sec_arr), "ordinal", "left")
-        else:
-            facts = facts.withColumn("data_types", F.lit(None).cast(T.ArrayType(typed.TYPED_SECTION)))
+        pc = self.per_column
         n, nn = F.col("n"), F.col("non_null")
         nulls = n - nn
-        out = facts.select(
+        sections = (F.coalesce(typed.data_types(pc), F.array().cast(T.ArrayType(typed.TYPED_SECTION)))
+                    if self.sections else F.lit(None).cast(T.ArrayType(typed.TYPED_SECTION)))
+        unique = (F.coalesce(F.col("unique_values"), F.lit(0)).cast("bigint") if self.distinct
+                  else F.lit(None).cast("bigint"))
+        return pc.select(
             F.col("column_name"),
             F.col("dtype"),
             n.alias("record_count"),
-            F.col("unique_values").cast("bigint") if self.distinct else F.col("unique_values"),
+            unique.alias("unique_values"),
             nn.alias("number_non_empty_cells"),
             nulls.alias("number_empty_cells"),
             null_proportion(nulls, n).alias("null_proportion"),
             F.coalesce(F.col("top_five_value"), F.array().cast("array<string>")).alias("top_five_value"),
-            F.coalesce(F.col("data_types"), F.array().cast(T.ArrayType(typed.TYPED_SECTION))).alias("data_types")
-            if self.sections else F.col("data_types"),
+            sections.alias("data_types"),
             F.col("ordinal"),
             F.col("dclass"),
             F.col("nan_count"),
@@ -227,9 +218,6 @@ class Profile:
             F.col("skewness"),
             F.col("value_bytes").alias("size_bytes"),
         )
-        if self.distinct:
-            out = out.withColumn("unique_values", F.coalesce(F.col("unique_values"), F.lit(0).cast("bigint")))
-        return out
 
     # --------------------------------------------------------------- reports
     @cached_property
@@ -293,10 +281,10 @@ class Profile:
         """Compute the per-column facts once and cut their lineage (reliable
         checkpoint in the cluster's checkpoint folder). All reports after
         this read the small stored table."""
-        self.__dict__["column_facts"] = materialize(self.column_facts)
+        self.per_column  # noqa: B018 — computed and checkpointed on first use
         if self.correlation is not None:
             self.__dict__["correlation"] = materialize(self.correlation)
-        for k in ("column_report", "report_flat", "warnings", "table_report"):
+        for k in ("warnings", "table_report"):
             self.__dict__.pop(k, None)
         return self
 

@@ -44,6 +44,13 @@ def frequency_facts(typed: DataFrame, df: DataFrame, sections: bool = True,
     kinds = [_kind(f.dataType) for f in fields]
     rkinds = [_render_kind(f.dataType) for f in fields]
     kind, rk = _lookup(kinds, "string"), _lookup(rkinds, "string")
+    # bytes of a non-fixed-width, non-text value, from its canonical text
+    elem = [fixed_width(f.dataType.elementType) if isinstance(f.dataType, T.ArrayType) else None for f in fields]
+    ew = _lookup(elem, "int")
+    other_bytes = (F.when(ew.isNotNull(), F.json_array_length(F.col("s")) * ew)
+                   .when(rk == "text", F.octet_length(F.col("s"))))
+    binary = [isinstance(f.dataType, T.BinaryType) for f in fields]
+    other_bytes = F.when(_lookup(binary, "boolean"), F.length(F.col("s")) / 2).otherwise(other_bytes)
     l, d, s, cnt = F.col("l"), F.col("d"), F.col("s"), F.col("cnt")
     w = cnt.cast("double")
 
@@ -63,6 +70,7 @@ def frequency_facts(typed: DataFrame, df: DataFrame, sections: bool = True,
         "ordinal", "cnt", present().alias("nn"), x.alias("x"), F.when(kind == "int", l).alias("xl"),
         text.alias("text"), pr.alias("pr"), pi.alias("pi"), t.alias("t"),
         F.when(kind.isin("float", "real") & F.isnan(x), True).alias("nan"),
+        F.when(kind == "other", other_bytes).alias("ob"),
     )
     X, XL, TX, PR, PI, TT = (F.col(c) for c in ("x", "xl", "text", "pr", "pi", "t"))
     nn = F.col("nn")
@@ -87,6 +95,7 @@ def frequency_facts(typed: DataFrame, df: DataFrame, sections: bool = True,
         F.sum(F.length(TX) * cnt).alias("len_sum"),
         _weighted(is_real_text(TX)).alias("numeric_text_count"),
         F.sum(F.octet_length(TX) * cnt).alias("text_bytes"),
+        F.sum(F.col("ob") * cnt).alias("other_bytes"),
         *stats1(X, "num", XL),
     ]
     if sections:
@@ -133,7 +142,8 @@ def frequency_facts(typed: DataFrame, df: DataFrame, sections: bool = True,
         return F.coalesce(F.col(c), F.lit(0)).cast("bigint")
 
     value_bytes = (F.when(F.col("width").isNotNull(), F.col("width").cast("bigint") * z("non_null"))
-                   .when(is_text, z("text_bytes")))
+                   .when(is_text, z("text_bytes"))
+                   .otherwise(z("other_bytes")))
     out: dict[str, Column] = {
         "ordinal": F.col("ordinal"), "column_name": F.col("column_name"), "dtype": F.col("dtype"),
         "dclass": F.col("dclass"),

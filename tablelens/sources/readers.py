@@ -26,6 +26,9 @@ EXTENSIONS = {
     ".txt": ("text", {}),
     ".text": ("text", {}),
 }
+# A marker no text field holds, so that CSV NULL detection is left to bare
+# empty fields only.
+UNUSED_NULL_MARKER = "\u0000"
 COMPRESSED = (".gz", ".bz2", ".deflate", ".zst", ".lz4", ".snappy")
 
 
@@ -55,7 +58,8 @@ def load(spark: SparkSession, path: str, fmt: str | None = None, schema=None, **
     opts = {**extra, **options}
     if fmt == "csv":
         opts.setdefault("header", "true")
-        opts.setdefault("emptyValue", "")
+        # a quoted "" stays '' (an empty string), a bare empty field is NULL
+        opts.setdefault("nullValue", UNUSED_NULL_MARKER)
         if schema is None:
             opts.setdefault("inferSchema", "true")
     reader = spark.read.format(fmt).options(**opts)

@@ -915,3 +915,24 @@ def _warnings_sql(spec) -> str:
 def warnings_q(spark, sf):
     p = profile(fx.spark_table(spark, sf, fx.LI_NULLS), "lineitem", sections=True)
     return p.warnings.select("column_name", "warning", _r4("value").alias("value"), "rejected")
+
+
+# ============================================================ streaming
+
+@register("stream_profile", union([
+    f"SELECT '{n}' AS column_name, CAST(count(*) AS BIGINT) AS record_count, "
+    f"CAST(count({q(n)}) AS BIGINT) AS number_non_empty_cells, CAST({_size_sql(n, t)} AS BIGINT) AS size_bytes "
+    f"FROM {_src(fx.LI_NULLS)}" for n, t in fx.columns(fx.LI_NULLS)]))
+def stream_profile(spark, sf):
+    """lineitem written as several files, streamed a few files per batch,
+    each batch profiled; totals summed over the batch reports."""
+    from ..streaming.arrivals import profile_arrivals, running_counts
+
+    df = fx.spark_table(spark, sf, fx.LI_NULLS)
+    src = scratch_path(spark, "arrivals")
+    df.repartition(6).write.parquet(src)
+    out = scratch_path(spark, "arrival_reports")
+    q = profile_arrivals(spark, src, df.schema, out, files_per_batch=2, sections=False, top_k=0,
+                         correlations=False)
+    q.awaitTermination()
+    return running_counts(spark, out).select("column_name", "record_count", "number_non_empty_cells", "size_bytes")

@@ -1 +1 @@
-
+"""Structured Streaming: profiles of arriving files."""

@@ -133,12 +133,15 @@ def present() -> F.Column:
     return F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull()
 
 
-def render(typed: DataFrame, df: DataFrame) -> DataFrame:
-    """Frequency table with canonical text values, NULL group dropped."""
+def render(typed: DataFrame, df: DataFrame, keep_null: bool = False) -> DataFrame:
+    """Frequency table with canonical text values; the NULL group (value
+    NULL) is dropped unless ``keep_null``."""
     fields = list(df.schema.fields)
     names = [f.name for f in fields]
     kinds = [_render_kind(f.dataType) for f in fields]
-    return typed.where(present()).select(
+    if not keep_null:
+        typed = typed.where(present())
+    return typed.select(
         "ordinal", _name_of(names).alias("column_name"), _render(kinds).alias("value"), "cnt")
 
 
@@ -166,8 +169,12 @@ def distinct_stats(freq: DataFrame) -> DataFrame:
 
 
 def _top(freq: DataFrame, order, k: int) -> DataFrame:
-    w = Window.partitionBy("ordinal").orderBy(*order)
-    return freq.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+    # A NULL value (the NULL group of a column) sorts last and is dropped
+    # after ranking; the check sits above the window, so it never changes
+    # the shared frequency aggregate below it.
+    w = Window.partitionBy("ordinal").orderBy(F.col("value").isNull().asc(), *order)
+    ranked = freq.withColumn("rank", F.row_number().over(w).cast("bigint"))
+    return ranked.where((F.col("rank") <= k) & F.col("value").isNotNull())
 
 
 def top_values(freq: DataFrame, k: int = 5) -> DataFrame:
@@ -184,7 +191,9 @@ def string_ordinals(df: DataFrame) -> list[int]:
 def shortest_values(freq: DataFrame, k: int = 5) -> DataFrame:
     """k shortest distinct values per column (shortest first, ties by value)."""
     x = freq.withColumn("length", F.length("value").cast("bigint"))
-    return _top(x, [F.asc("length"), F.asc("value")], k).select(
+    # values are unique within a column, so the count never decides the
+    # order; naming it keeps every consumer's aggregate identical (one shuffle)
+    return _top(x, [F.asc("length"), F.asc("value"), F.desc("cnt")], k).select(
         "ordinal", "column_name", "rank", "value", "length"
     )
 
@@ -192,7 +201,7 @@ def shortest_values(freq: DataFrame, k: int = 5) -> DataFrame:
 def longest_values(freq: DataFrame, k: int = 5) -> DataFrame:
     """k longest distinct values per column (longest first, ties by value)."""
     x = freq.withColumn("length", F.length("value").cast("bigint"))
-    return _top(x, [F.desc("length"), F.asc("value")], k).select(
+    return _top(x, [F.desc("length"), F.asc("value"), F.desc("cnt")], k).select(
         "ordinal", "column_name", "rank", "value", "length"
     )
 

@@ -123,10 +123,10 @@ class Profile:
     def frequencies(self) -> DataFrame:
         if not self.uses_frequencies:
             return fq.value_frequencies(self.df)
-        # The NULL group is dropped by a predicate on the count, so Catalyst
-        # keeps it above the aggregate and every consumer shares one shuffle.
-        typed = self.typed_frequencies.where(F.when(fq.present(), F.col("cnt")) > 0)
-        return fq.render(typed, self.df)
+        # Unfiltered: the NULL group (value NULL) stays in and the top-k
+        # rankings drop it above their windows, so no filter is pushed into
+        # the shared aggregate and every consumer reuses its one shuffle.
+        return fq.render(self.typed_frequencies, self.df, keep_null=True)
 
     @cached_property
     def correlation(self) -> DataFrame | None:

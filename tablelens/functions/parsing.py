@@ -66,8 +66,10 @@ def parsed_timestamp(c: Column) -> Column:
 
 
 def report_ts(c: Column) -> Column:
-    """Render a date/timestamp value in the report's fixed layout."""
-    return F.date_format(c.cast("timestamp_ntz"), REPORT_TS_PATTERN)
+    """Render a date/timestamp value in the report's fixed layout
+    (yyyy-MM-dd HH:mm:ss). Taken from the timestamp_ntz text form, which
+    involves no session time zone (date_format would convert through it)."""
+    return F.substring(c.cast("timestamp_ntz").cast("string"), 1, 19)
 
 
 # SQL spellings of the same rules, for oracle queries and docs.

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.canonical import micros_to_ntz
 from ..functions.parsing import is_real_text, parsed_int, parsed_real, parsed_timestamp, report_ts
 from ..functions.types import dtype_class, fixed_width, literal_rows
 from .frequency import _render_kind, present
@@ -58,7 +59,7 @@ def frequency_facts(typed: DataFrame, df: DataFrame, sections: bool = True,
     x = (F.when(kind == "int", l.cast("double"))
          .when(kind == "float", d)
          .when(kind == "real", s.cast("double")))
-    ntz = F.from_utc_timestamp(F.timestamp_micros(l), F.current_timezone()).cast("timestamp_ntz")
+    ntz = micros_to_ntz(l)
     native_t = (F.when(rk == "date", F.date_from_unix_date(l.cast("int")).cast("timestamp_ntz"))
                 .when(rk == "ts", F.timestamp_micros(l).cast("timestamp_ntz"))
                 .when(rk == "ntz", ntz))

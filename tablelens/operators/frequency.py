@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.canonical import canonical
+from ..functions.canonical import canonical, micros_to_ntz, ntz_to_micros
 from ..functions.types import is_string
 from .scalars import col_ref
 
@@ -56,8 +56,7 @@ def _to_slot(c, dt: T.DataType):
     if isinstance(dt, T.TimestampType):
         return F.unix_micros(c)
     if isinstance(dt, T.TimestampNTZType):
-        # wall-clock micros: the same for every session time zone
-        return F.unix_micros(F.to_utc_timestamp(c.cast("timestamp"), F.current_timezone()))
+        return ntz_to_micros(c)  # wall-clock micros, the same in every session zone
     if isinstance(dt, T.BooleanType):
         return c.cast("int").cast("bigint")
     if _slot(dt) == "l":
@@ -71,11 +70,11 @@ def _render(kinds: list[str]):
     """Canonical text of a grouped value, once per distinct value."""
     kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), F.col("ordinal") + 1)
     l, d = F.col("l"), F.col("d")
-    ntz = F.from_utc_timestamp(F.timestamp_micros(l), F.current_timezone()).cast("timestamp_ntz")
+    ntz = micros_to_ntz(l)
     real = F.when(F.isnan(d), F.lit("NaN"))
     return (
         F.when(kind == "int", l.cast("string"))
-        .when(kind == "bool", F.when(l == 1, F.lit("true")).otherwise(F.lit("false")))
+        .when(kind == "bool", F.when(l == 1, F.lit("true")).when(l == 0, F.lit("false")))
         .when(kind == "date", F.date_from_unix_date(l.cast("int")).cast("string"))
         .when(kind == "ts", F.timestamp_micros(l).cast("string"))
         .when(kind == "ntz", ntz.cast("string"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.canonical import canonical
+from ..functions.canonical import canonical, ntz_to_micros
 from ..functions.types import is_numeric, literal_rows
 from .scalars import col_ref
 
@@ -113,7 +113,7 @@ def _slot_value(c, dt: T.DataType):
     if isinstance(dt, T.TimestampType):
         return F.unix_micros(c)
     if isinstance(dt, T.TimestampNTZType):
-        return F.unix_micros(c.cast("timestamp"))
+        return ntz_to_micros(c)
     cls = _slot_class(dt)
     if cls == "l":
         return c.cast("bigint")

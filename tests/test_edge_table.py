@@ -155,3 +155,21 @@ def test_typed_values(spark):
     assert rows["1e3"]["as_integer"] is None and rows["1e3"]["as_real"] == 1000.0
     assert rows["1d"]["as_real"] is None
     assert math.isclose(rows["12"]["as_real"], 12.0)
+
+
+def test_timestamp_ntz_is_time_zone_free(spark):
+    """Wall-clock values are profiled as written, in any session time zone,
+    including a time that falls in that zone's daylight-saving gap."""
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        df = spark.sql(
+            "SELECT * FROM VALUES (timestamp_ntz'2021-03-14 02:30:00'), (timestamp_ntz'2021-03-14 03:30:00'), "
+            "(timestamp_ntz'2021-03-14 02:30:00') AS t(ts)")
+        r = tl.profile(df).column_report.collect()[0]
+        assert r["unique_values"] == 2
+        assert r["top_five_value"] == ["2021-03-14 02:30:00", "2021-03-14 03:30:00"]
+        sec = sections(r)[("DATE/TIME", "native")]
+        assert (sec["min_value"], sec["max_value"]) == ("2021-03-14 02:30:00", "2021-03-14 03:30:00")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

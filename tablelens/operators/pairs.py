@@ -34,6 +34,9 @@ CORR_SCHEMA = T.StructType(
     ]
 )
 
+PAIR_BLOCK = 512
+
+
 def numeric_columns(df: DataFrame) -> list[tuple[int, str]]:
     return [(i, f.name) for i, f in enumerate(df.schema.fields) if is_numeric(f.dataType)]
 
@@ -58,11 +61,16 @@ def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     # present) is applied inside the aggregate
     slots = {i: f"v{i}" for i, _ in nums}
     base = df.select(*[col_ref(n).cast("double").alias(slots[i]) for i, n in nums])
-    recs = [
-        F.struct(F.lit(k).alias("pair"), F.col(slots[ia]).alias("x"), F.col(slots[ib]).alias("y"))
-        for k, ((ia, _), (ib, _)) in enumerate(pairs)
-    ]
-    long = base.select(F.inline(F.array(*recs)))
+    # pairs are expanded in blocks of PAIR_BLOCK, unioned: each block's
+    # generated code stays small, however many columns the table has
+    blocks = []
+    for start in range(0, len(pairs), PAIR_BLOCK):
+        recs = [
+            F.struct(F.lit(k).alias("pair"), F.col(slots[ia]).alias("x"), F.col(slots[ib]).alias("y"))
+            for k, ((ia, _), (ib, _)) in enumerate(pairs[start : start + PAIR_BLOCK], start)
+        ]
+        blocks.append(base.select(F.inline(F.array(*recs))))
+    long = reduce(DataFrame.unionByName, blocks)
     x, y = F.col("x"), F.col("y")
     agg = long.groupBy("pair").agg(
         F.try_divide(

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.canonical import value_bytes
+from ..functions.canonical import canonical, value_bytes
 from ..functions.parsing import is_real_text, parsed_int, parsed_real, parsed_timestamp, report_ts
 from ..functions.types import (
     dtype_class,
@@ -114,7 +114,8 @@ def _record(i: int, f: T.StructField, group: str) -> Column:
         return F.struct(F.lit(i).alias("ordinal"), c.alias("s"))
     if group == "datetime":
         return F.struct(F.lit(i).alias("ordinal"), c.cast("timestamp_ntz").alias("t"))
-    return F.struct(F.lit(i).alias("ordinal"), c.isNotNull().alias("nn"), value_bytes(c, dt).alias("b"))
+    return F.struct(F.lit(i).alias("ordinal"), c.isNotNull().alias("nn"), value_bytes(c, dt).alias("b"),
+                    canonical(c, dt).alias("v"))
 
 
 def _group(dt: T.DataType) -> str:
@@ -174,13 +175,25 @@ def _aggregates(group: str, sections: bool) -> dict[str, Column]:
     return {"n": one, "non_null": F.count_if(F.col("nn")), "value_bytes": F.sum("b")}
 
 
+def _approx_distinct(group: str, rsd: float) -> Column:
+    """HyperLogLog distinct count of one value group's slot (no value shuffle:
+    only fixed-size sketches leave each task)."""
+    if group == "numeric":
+        # one of the two slots is empty for every column; +0.0 folds -0.0
+        return F.greatest(F.approx_count_distinct(F.col("i"), rsd),
+                          F.approx_count_distinct(F.col("x") + F.lit(0.0), rsd))
+    slot = {"string": "s", "datetime": "t"}.get(group, "v")
+    return F.approx_count_distinct(F.col(slot), rsd)
+
+
 _ZERO_WHEN_EMPTY = ("n", "non_null", "value_bytes", "nan_count", "zero_count", "empty_count",
                     "numeric_text_count", "num_count", "text_count", "dt_count", "pr_count", "pi_count")
 _FACTS = [f for f in SCALAR_SCHEMA.fields if f.name not in ("ordinal", "column_name", "dtype", "dclass",
                                                              "num_type", "dt_origin")]
 
 
-def scalar_pass(df: DataFrame, sections: bool = True, class_mode: str = "semantic") -> DataFrame:
+def scalar_pass(df: DataFrame, sections: bool = True, class_mode: str = "semantic",
+                approx_distinct: float | None = None) -> DataFrame:
     """Long form of all scalar facts: one row per column, SCALAR_SCHEMA.
 
     One aggregation per value group present (numeric, text, datetime, other):
@@ -204,11 +217,13 @@ def scalar_pass(df: DataFrame, sections: bool = True, class_mode: str = "semanti
         if not idx:
             continue
         aggs = _aggregates(group, sections)
+        if approx_distinct is not None:
+            aggs["approx_distinct"] = _approx_distinct(group, approx_distinct)
         long = df.select(F.inline(F.array(*[_record(i, fields[i], group) for i in idx])))
         facts = long.groupBy("ordinal").agg(*[v.alias(k) for k, v in aggs.items()])
         parts.append(facts.select("ordinal", *[
             (F.col(f.name) if f.name in aggs else _null(f.dataType)).cast(f.dataType).alias(f.name)
-            for f in _FACTS]))
+            for f in _FACTS], *(["approx_distinct"] if approx_distinct is not None else [])))
     facts = reduce(DataFrame.unionByName, parts)
     # both sides hold one row per column of the schema
     j = meta.join(F.broadcast(facts), "ordinal", "left")
@@ -243,4 +258,7 @@ def scalar_pass(df: DataFrame, sections: bool = True, class_mode: str = "semanti
             v = F.when(kind.isin("string", "datetime") & F.lit(sections), v)
         return v.cast(dt)
 
-    return j.select(*[field(f.name, f.dataType).alias(f.name) for f in SCALAR_SCHEMA.fields])
+    out = [field(f.name, f.dataType).alias(f.name) for f in SCALAR_SCHEMA.fields]
+    if approx_distinct is not None:
+        out.append(F.coalesce(F.col("approx_distinct"), F.lit(0)).cast("bigint").alias("unique_values"))
+    return j.select(*out)

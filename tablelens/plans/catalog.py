@@ -936,3 +936,9 @@ def stream_profile(spark, sf):
                          correlations=False)
     q.awaitTermination()
     return running_counts(spark, out).select("column_name", "record_count", "number_non_empty_cells", "size_bytes")
+
+
+@register("approx_distinct_count")  # HyperLogLog counts: rows-only check (no engine-neutral exact value)
+def approx_distinct_count(spark, sf):
+    p = profile(fx.spark_table(spark, sf, fx.LI_NULLS), "lineitem", approx=True, correlations=False)
+    return p.column_report.select("column_name", "unique_values", "number_non_empty_cells")

@@ -102,13 +102,15 @@ class Profile:
     distinct: bool = True
     correlations: bool = True
     class_mode: str = "semantic"
+    approx: bool = False
+    approx_rsd: float = 0.02
     thresholds: dict = field(default_factory=dict)
     started_at: _dt.datetime = field(default_factory=lambda: _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None))
 
     # ------------------------------------------------------------- passes
     @property
     def uses_frequencies(self) -> bool:
-        return (self.distinct or self.top_k > 0) and bool(self.df.schema.fields)
+        return (self.distinct or self.top_k > 0) and not self.approx and bool(self.df.schema.fields)
 
     @cached_property
     def typed_frequencies(self) -> DataFrame:
@@ -157,9 +159,14 @@ class Profile:
         if self.uses_frequencies:
             facts = frequency_facts(self.typed_frequencies, self.df, self.sections, self.class_mode)
         else:
-            facts = scalar_pass(self.df, sections=self.sections, class_mode=self.class_mode).select(
-                "*", F.lit(None).cast("bigint").alias("unique_values"),
-                F.lit(None).cast("double").alias("avg_distinct_length"))
+            if self.approx and self.distinct:
+                # HyperLogLog distinct counts, no frequency table: one scan, no value shuffle
+                facts = scalar_pass(self.df, sections=self.sections, class_mode=self.class_mode,
+                                    approx_distinct=self.approx_rsd)
+            else:
+                facts = scalar_pass(self.df, sections=self.sections, class_mode=self.class_mode).select(
+                    "*", F.lit(None).cast("bigint").alias("unique_values"))
+            facts = facts.withColumn("avg_distinct_length", F.lit(None).cast("double"))
         if self.top_k > 0 and self.uses_frequencies:
             facts = facts.join(F.broadcast(fq.ranked_array(self.top_values, "top_five_value")), "ordinal", "left")
         else:
@@ -291,7 +298,9 @@ class Profile:
 
 def profile(df: DataFrame, table_name: str = "table", **options) -> Profile:
     """Profile a DataFrame. Options: top_k, extremes_k, sections, distinct,
-    correlations, class_mode ('semantic'|'prefix'), thresholds (dict)."""
+    correlations, class_mode ('semantic'|'prefix'), thresholds (dict),
+    approx (HyperLogLog distinct counts with relative error approx_rsd and no
+    frequency table: no top values or shortest/longest lists)."""
     return Profile(df, table_name, **options)
 
 

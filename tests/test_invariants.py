@@ -109,3 +109,13 @@ def test_sources(spark):
     s1 = readers.sample(sup, 0.5, seed=3).collect()
     s2 = readers.sample(sup, 0.5, seed=3).collect()
     assert s1 == s2
+
+
+def test_approx_profile_is_close_and_shuffle_free(spark):
+    df = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    p = tl.profile(df, approx=True, correlations=False)
+    approx = {r["column_name"]: r["unique_values"] for r in p.column_report.collect()}
+    exact = df.agg(*[F.countDistinct(c).alias(c) for c in df.columns]).collect()[0].asDict()
+    for c, n in exact.items():
+        assert abs(approx[c] - n) <= max(2, 0.1 * n), (c, approx[c], n)
+    assert p.top_values is not None and all(r["top_five_value"] == [] for r in p.column_report.collect())

@@ -14,7 +14,6 @@ NULL and NaN values are not counted.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

@@ -190,9 +190,16 @@ def composite_keys(
     # Level 1 and the pruning bound come from exact distinct counts (the
     # frequency pass): a tuple can only be a key if the product of its
     # columns' distinct counts reaches the row count.
-    n = df.count()
-    stats = fq.distinct_stats(fq.value_frequencies(df, idx)).select("ordinal", "unique_values", "freq_total")
-    distinct = {r["ordinal"]: (r["unique_values"], r["freq_total"]) for r in stats.collect()}  # one row per column
+    # rows, NULLs and distinct values of every column from one frequency job
+    present = fq.present()
+    stats = fq.typed_frequencies(df, idx).groupBy("ordinal").agg(
+        F.sum("cnt").alias("n"),
+        F.count(F.when(present, 1)).alias("unique_values"),
+        F.sum(F.when(present, F.col("cnt"))).alias("non_null"),
+    )
+    rows = stats.collect()  # one row per column
+    n = rows[0]["n"] if rows else 0
+    distinct = {r["ordinal"]: (r["unique_values"], r["non_null"] or 0) for r in rows}
     keys: list[tuple[int, ...]] = [
         (i,) for i in idx if n > 0 and distinct.get(i, (0, 0)) == (n, n)
     ]

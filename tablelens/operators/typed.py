@@ -17,19 +17,6 @@ from ..functions.parsing import parsed_int, parsed_real, parsed_timestamp
 from ..functions.types import is_datetime, is_integral, is_real, is_string
 from .scalars import INTEGER, REAL, col_ref
 
-SECTION_FIELDS = T.StructType(
-    [
-        T.StructField("section_order", T.IntegerType()),
-        T.StructField("type", T.StringType()),
-        T.StructField("origin", T.StringType()),
-        T.StructField("count", T.LongType()),
-        T.StructField("max_value", T.StringType()),
-        T.StructField("min_value", T.StringType()),
-        T.StructField("mean", T.DoubleType()),
-        T.StructField("stddev", T.DoubleType()),
-    ]
-)
-
 TYPED_SECTION = T.StructType(
     [
         T.StructField("type", T.StringType()),

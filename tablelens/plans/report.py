@@ -30,7 +30,6 @@ from ..operators import pairs, size, typed
 from ..operators import warnings as wn
 from ..operators.facts import frequency_facts
 from ..operators.scalars import SCALAR_SCHEMA, scalar_pass
-from ..functions.types import is_string
 from .checkpoint import materialize, materialize_if_possible
 
 COLUMN_REPORT_SCHEMA = T.StructType(

@@ -72,15 +72,22 @@ def frequency_facts(typed: DataFrame, df: DataFrame, sections: bool = True,
         text.alias("text"), pr.alias("pr"), pi.alias("pi"), t.alias("t"),
         F.when(kind.isin("float", "real") & F.isnan(x), True).alias("nan"),
         F.when(kind == "other", other_bytes).alias("ob"),
+        F.when(kind == "real", s).alias("dec"),
     )
     X, XL, TX, PR, PI, TT = (F.col(c) for c in ("x", "xl", "text", "pr", "pi", "t"))
     nn = F.col("nn")
 
-    def stats1(v: Column, p: str, exact_int: Column | None = None) -> list[Column]:
-        mn = F.min(v).cast("string") if exact_int is None else F.coalesce(F.min(exact_int).cast("string"),
-                                                                          F.min(v).cast("string"))
-        mx = F.max(v).cast("string") if exact_int is None else F.coalesce(F.max(exact_int).cast("string"),
-                                                                          F.max(v).cast("string"))
+    def stats1(v: Column, p: str, exact_int: Column | None = None, exact_text: Column | None = None) -> list[Column]:
+        # min/max as text: exact for integers (bigint) and decimals (the
+        # decimal text of the extreme value), else the double's text
+        lo, hi = [F.min(v).cast("string")], [F.max(v).cast("string")]
+        if exact_text is not None:
+            lo.insert(0, F.min_by(exact_text, v))
+            hi.insert(0, F.max_by(exact_text, v))
+        if exact_int is not None:
+            lo.insert(0, F.min(exact_int).cast("string"))
+            hi.insert(0, F.max(exact_int).cast("string"))
+        mn, mx = F.coalesce(*lo), F.coalesce(*hi)
         return [_weighted(v.isNotNull()).alias(f"{p}_count"), mn.alias(f"{p}_min"), mx.alias(f"{p}_max"),
                 F.sum(v * w).alias(f"{p}_s1")]
 
@@ -97,7 +104,7 @@ def frequency_facts(typed: DataFrame, df: DataFrame, sections: bool = True,
         _weighted(is_real_text(TX)).alias("numeric_text_count"),
         F.sum(F.octet_length(TX) * cnt).alias("text_bytes"),
         F.sum(F.col("ob") * cnt).alias("other_bytes"),
-        *stats1(X, "num", XL),
+        *stats1(X, "num", XL, F.col("dec")),
     ]
     if sections:
         aggs += [

@@ -109,6 +109,7 @@ def _record(i: int, f: T.StructField, group: str) -> Column:
             F.lit(i).alias("ordinal"),
             (c.cast("double") if is_real(dt) else _null("double")).alias("x"),
             (c.cast("bigint") if is_integral(dt) else _null("bigint")).alias("i"),
+            (c.cast("string") if isinstance(dt, T.DecimalType) else _null("string")).alias("m"),
         )
     if group == "string":
         return F.struct(F.lit(i).alias("ordinal"), c.alias("s"))
@@ -146,8 +147,9 @@ def _aggregates(group: str, sections: bool) -> dict[str, Column]:
             a.update({
                 "skewness": F.skewness(num),
                 "num_count": F.count(num),
-                "num_min": F.coalesce(F.min(i).cast("string"), F.min(x).cast("string")),
-                "num_max": F.coalesce(F.max(i).cast("string"), F.max(x).cast("string")),
+                # exact text for integers and decimals, the double's text otherwise
+                "num_min": F.coalesce(F.min(i).cast("string"), F.min_by("m", x), F.min(x).cast("string")),
+                "num_max": F.coalesce(F.max(i).cast("string"), F.max_by("m", x), F.max(x).cast("string")),
                 "num_mean": F.avg(num),
                 "num_std": F.stddev_samp(num),
             })

@@ -85,7 +85,7 @@ def test_native_sections(report):
     assert sec["mean"] == pytest.approx(1.25)
     assert sec["stddev"] == pytest.approx(0.9574271, rel=1e-6)
     dec = sections(report["dec"])[("REAL", "native")]
-    assert dec["count"] == 4 and float(dec["max_value"]) == 2.25 and float(dec["min_value"]) == 0.0
+    assert (dec["count"], dec["min_value"], dec["max_value"]) == (4, "0.00", "2.25")
     dates = sections(report["dt"])[("DATE/TIME", "native")]
     assert (dates["count"], dates["min_value"], dates["max_value"]) == (
         4, "2020-01-01 00:00:00", "2020-01-03 00:00:00")
@@ -173,3 +173,10 @@ def test_timestamp_ntz_is_time_zone_free(spark):
         assert (sec["min_value"], sec["max_value"]) == ("2021-03-14 02:30:00", "2021-03-14 03:30:00")
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_decimal_extremes_exact_without_frequencies(spark):
+    df = spark.createDataFrame(ROWS, SCHEMA).select("dec")
+    r = tl.profile(df, distinct=False, top_k=0, correlations=False).column_report.collect()[0]
+    sec = sections(r)[("REAL", "native")]
+    assert (sec["min_value"], sec["max_value"]) == ("0.00", "2.25")

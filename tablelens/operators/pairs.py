@@ -204,22 +204,29 @@ def composite_keys(
         (i,) for i in idx if n > 0 and distinct.get(i, (0, 0)) == (n, n)
     ]
     no_nulls = [i for i in idx if distinct.get(i, (0, 0))[1] == n]  # a column with a NULL is in no key
-    sample = df.sample(fraction=sample_fraction, seed=seed) if 0 < sample_fraction < 1 else None
+
+    def possible(c: tuple[int, ...]) -> bool:
+        bound = 1
+        for i in c:
+            bound *= distinct[i][0]
+        return bound >= n
+
+    single = set(keys)
+    levels = {size: [c for c in itertools.combinations(no_nulls, size)
+                     if possible(c) and not any((i,) in single for i in c)]
+              for size in range(2, max_size + 1)}
+    # One pass over a seeded sample prunes every level at once: a duplicate
+    # in the sample is a duplicate in the table (exact pruning).
+    sampled_out: set[tuple[int, ...]] = set()
+    if 0 < sample_fraction < 1:
+        everyone = [c for cs in levels.values() for c in cs]
+        sample = df.sample(fraction=sample_fraction, seed=seed)
+        sampled_out = {everyone[k] for k in _non_keys(sample, fields, everyone)}
     for size in range(2, max_size + 1):
-        cands = []
-        for c in itertools.combinations(no_nulls, size):
-            if any(set(k).issubset(c) for k in keys):
-                continue
-            bound = 1
-            for i in c:
-                bound *= distinct[i][0]
-            if bound >= n:
-                cands.append(c)
+        cands = [c for c in levels[size]
+                 if c not in sampled_out and not any(set(k).issubset(c) for k in keys)]
         if not cands:
             continue
-        if sample is not None:
-            bad = _non_keys(sample, fields, cands)
-            cands = [c for k, c in enumerate(cands) if k not in bad]
         bad = _non_keys(df, fields, cands)
         keys.extend(c for k, c in enumerate(cands) if k not in bad)
     if n == 0:

@@ -1,55 +1,64 @@
-"""Where lineage is cut and scratch files go.
+"""Where lineage is cut and scratch tables go.
 
-The cluster names a shared folder in ``spark.checkpoint.dir``; everything
-this package writes for itself (reliable checkpoints, scratch tables) goes
-there. Only a local master may fall back to a private temporary folder, as
-in tests; on a cluster an unset folder is an error, never a machine-local path.
+One rule on every master: the shared folder that the session names in
+``spark.checkpoint.dir``. Only where it is unset and the master is local (as in
+tests) a private temporary folder is set for it; on a cluster an unset folder
+is an error. Scratch tables of an application are deleted when it ends.
 """
 
 from __future__ import annotations
 
-import os
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_RUN = uuid.uuid4().hex
+_cleaned: set[str] = set()
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    sc = spark.sparkContext
-    d = sc.getCheckpointDir()
-    if d:
-        return d
-    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder before profiling on a cluster")
-        conf = tempfile.mkdtemp(prefix="tablelens-ckpt-")
-    sc.setCheckpointDir(conf)
-    return sc.getCheckpointDir() or conf
+        sc = spark.sparkContext
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        conf = sc.getCheckpointDir()
+        if not conf:
+            conf = tempfile.mkdtemp(prefix="tablelens-ckpt-")
+            sc.setCheckpointDir(conf)
+    return conf.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder."""
-    base = checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, "tablelens-scratch", uuid.uuid4().hex, name)
+    """A fresh path under the shared folder."""
+    root = f"{checkpoint_dir(spark)}/tablelens-scratch-{_RUN}"
+    if root not in _cleaned:
+        _cleaned.add(root)
+        atexit.register(_drop, spark, root)
+    return f"{root}/{uuid.uuid4().hex}/{name}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss); never localCheckpoint."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _drop(spark: SparkSession, root: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def scratch_table(df: DataFrame, name: str = "table") -> DataFrame:
+    """The rows written once to the shared folder and read back."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def materialize_if_possible(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint when a shared folder is known (or the master is
-    local); otherwise the lazy plan, which is equally correct, only
-    recomputed by every action."""
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint (survives executor loss); never localCheckpoint."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    known = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not known and not sc.master.startswith("local"):
-        return df
-    return materialize(df)
+    base = checkpoint_dir(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(base)
+    return df.checkpoint(eager=True)

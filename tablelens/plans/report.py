@@ -30,7 +30,7 @@ from ..operators import pairs, size, typed
 from ..operators import warnings as wn
 from ..operators.facts import frequency_facts
 from ..operators.scalars import SCALAR_SCHEMA, scalar_pass
-from .checkpoint import materialize, materialize_if_possible
+from .checkpoint import materialize
 
 COLUMN_REPORT_SCHEMA = T.StructType(
     [
@@ -176,7 +176,7 @@ class Profile:
             facts = facts.withColumn("shortest_values", F.lit(None).cast("array<string>")).withColumn(
                 "longest_values", F.lit(None).cast("array<string>"))
         # the joined sides hold at most one row per column of the schema
-        return materialize_if_possible(facts)
+        return materialize(facts)
 
     @cached_property
     def scalars(self) -> DataFrame:

@@ -103,14 +103,17 @@ def local_search(size: np.ndarray, bins: list[list[int]], capacity: int) -> list
     for b, some in enumerate(bins):
         home[some] = b
     held = [set(b) for b in bins]
-    left, stuck = len(bins), set()
+    left, stuck, emptied = len(bins), set(), False
     while left > least:
         open_ = [b for b in np.flatnonzero((fill > 0) & (fill < capacity)).tolist() if b not in stuck]
         if not open_:
-            break
+            if not emptied:  # a whole pass without a bin less: a local optimum
+                break
+            stuck, emptied = set(), False
+            continue
         victim = min(open_, key=lambda b: (fill[b], b))
         if _empty(victim, size, fill, home, held, capacity):
-            left -= 1
+            left, emptied = left - 1, True
         else:
             stuck.add(victim)
     return [sorted(b, key=lambda i: (-size[i], i)) for b in held if b]

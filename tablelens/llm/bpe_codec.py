@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import rank_codec
-from .common import offsets, steps, text_or_empty
+from .common import map_arrow, offsets, steps, text_or_empty
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -40,7 +40,7 @@ def decode(rows: DataFrame, key: str = "doc_id", ids: str = "ids", path: str = V
             out = [codec.decode(np.array(x or [], np.int64)).tobytes().decode("utf-8", "replace") for x in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(out, pa.string())], ["k", "text"])
 
-    return slim.mapInArrow(run, f"k {slim.schema['k'].dataType.simpleString()}, text string").withColumnRenamed("k", key)
+    return map_arrow(slim, run, f"k {slim.schema['k'].dataType.simpleString()}, text string").withColumnRenamed("k", key)
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = VOCABULARY) -> DataFrame:
@@ -73,5 +73,5 @@ def _run(docs: DataFrame, key: str, text: str, path: str, schema: str, columns)
 
     names = [x.split(" ")[0] for x in schema.split(", ")]
     typed = ", ".join(f"c{i} {x.split(' ')[1]}" for i, x in enumerate(schema.split(", ")))
-    out = slim.mapInArrow(run, f"k {slim.schema['k'].dataType.simpleString()}, {typed}")
+    out = map_arrow(slim, run, f"k {slim.schema['k'].dataType.simpleString()}, {typed}")
     return out.toDF(key, *names)

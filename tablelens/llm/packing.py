@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..plans.checkpoint import scratch_table
 from .bpe import word_codec
-from .common import steps, text_or_empty
+from .common import map_arrow, steps, text_or_empty
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Tokens of a sequence.
@@ -66,7 +66,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str =
                     at += n
                 yield pa.record_batch([keys.take(pa.array(rows)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())], ["k", "piece", "start", "length", "ids_crc32"])
 
-    return slim.mapInArrow(run, f"k {slim.schema['k'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("k", key)
+    return map_arrow(slim, run, f"k {slim.schema['k'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("k", key)
 
 
 def best_fit(size: np.ndarray, capacity: int) -> list[list[int]]:
@@ -229,7 +229,7 @@ def _deal(rows: DataFrame, level: int, capacity: int, group: int, loose: int) ->
         if held:
             yield packed(base)[0]
 
-    return rows.repartition(max(1, -(-n // group))).mapInArrow(run, f"{typed}, sequence_id long, offset long, room long")
+    return map_arrow(rows.repartition(max(1, -(-n // group))), run, f"{typed}, sequence_id long, offset long, room long")
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, group: int = GROUP, loose: int = LOOSE) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_codec, packing, token_counts
+from . import bpe_codec, exact_dedup, packing, sharding, token_counts
 from .common import read_table
 
 
@@ -18,10 +19,28 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op4_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("keep").alias("keep_id"), "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op7_byte_bpe)}
+def op10_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_report(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op4_grace_dedup, op7_byte_bpe, op10_bounded_ring)
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_grace_dedup": """
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents)
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+               doc_id = max(doc_id) OVER w AS kept, sha256(body) AS text_sha256
+        FROM t WINDOW w AS (PARTITION BY body)
+    """,
+}

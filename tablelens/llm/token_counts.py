@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..plans.checkpoint import scratch_table
 from .bpe import rank_codec
-from .common import steps, text_or_empty
+from .common import map_arrow, steps, text_or_empty
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: An id that the vocabulary leaves free.
@@ -79,7 +79,7 @@ def write_flat(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
                 yield from cut(False)
         yield from cut(True)
 
-    return scratch_table(slim.mapInArrow(run, "file long, kind string, no long, data binary"), "tokens")
+    return scratch_table(map_arrow(slim, run, "file long, kind string, no long, data binary"), "tokens")
 
 
 def read_flat(spark: SparkSession, paths: str | list[str], width: int = 2, block: int = BLOCK) -> DataFrame:
@@ -103,7 +103,7 @@ def scan(blocks: DataFrame, separator: int = SEPARATOR, width: int = 2) -> DataF
             yield pa.record_batch([b.column("file"), b.column("no"), pa.array(sizes, pa.int64()), pa.array(ends, pa.list_(pa.int64()))], ["file", "no", "size", "ends"])
 
     kind = blocks.schema["file"].dataType.simpleString()
-    found = blocks.select("file", "no", "data").mapInArrow(run, f"file {kind}, no long, size long, ends array<long>")
+    found = map_arrow(blocks.select("file", "no", "data"), run, f"file {kind}, no long, size long, ends array<long>")
     before = Window.partitionBy("file").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
     placed = found.withColumn("base", F.coalesce(F.sum("size").over(before), F.lit(0))).withColumn("number", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)))
     placed = placed.withColumn("stop", F.col("base") + F.element_at("ends", -1))
@@ -130,7 +130,7 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
                 x = np.frombuffer(data, "<i8" if kind == "names" else "u1").astype(np.int64)
                 yield pa.record_batch([pa.array(np.full(len(x), file)), pa.array([kind] * len(x)), pa.array(np.arange(len(x)) + no * NAMES), pa.array(x)], ["file", "kind", "ordinal", "value"])
 
-    rows = flat.filter("kind <> 'ids'").mapInArrow(names, "file long, kind string, ordinal long, value long")
+    rows = map_arrow(flat.filter("kind <> 'ids'"), names, "file long, kind string, ordinal long, value long")
     who = rows.groupBy("file", "ordinal").agg(F.max(F.when(F.col("kind") == "names", F.col("value"))).alias("k"), F.max(F.when(F.col("kind") == "null", F.col("value"))).alias("gone"))
     who = who.select("file", "ordinal", F.when(F.col("gone") == 0, F.col("k")).alias(key))
     return scan(flat.filter("kind = 'ids'")).join(who, ["file", "ordinal"]).select(key, "file", "ordinal", "start", "n_tokens")

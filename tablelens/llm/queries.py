@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, packing, sharding, token_counts
+from . import bpe_codec, exact_dedup, fingerprints, languages, near_dedup, packing, secrets, sharding, token_counts
 from .common import read_table
 
 
@@ -19,21 +19,48 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op3_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.report(read_table(spark, sf_dir, "documents"))
+
+
 def op4_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.col("keep").alias("keep_id"), "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(read_table(spark, sf_dir, "documents")).drop("x")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(read_table(spark, sf_dir, "documents"))
 
 
+def op8_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_pairs(read_table(spark, sf_dir, "documents"))
+
+
+def op9_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(read_table(spark, sf_dir, "documents"))
+
+
 def op10_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op4_grace_dedup, op7_byte_bpe, op10_bounded_ring)
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op2_token_counts,
+        op3_output_codes,
+        op4_grace_dedup,
+        op5_order_minhash,
+        op7_byte_bpe,
+        op8_scaled_sketch,
+        op9_markov_secrets,
+        op10_bounded_ring,
+    )
 }
 
 ORACLES: dict[str, str] = {

@@ -37,7 +37,7 @@ VNODES = 64
 #: Places on the ring, a power of two.
 BITS = 14
 #: Rows that get their rank in one task's window, about.
-ROWS = 4096
+ROWS = 1024
 
 
 def ring(shards: int, vnodes: int, bits: int = BITS) -> list[tuple[int, int]]:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, fingerprints, languages, near_dedup, packing, secrets, sharding, token_counts
+from . import bpe_codec, exact_dedup, fingerprints, html_extract, languages, near_dedup, packing, secrets, sharding, token_counts
 from .common import read_table
 
 
@@ -32,6 +33,10 @@ def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(read_table(spark, sf_dir, "documents")).drop("x")
 
 
+def op6_tree_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(read_table(spark, sf_dir, "documents"))
 
@@ -48,7 +53,8 @@ def op10_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+#: The pipeline at the repository's top belongs to this package.
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": corpus_pipeline.run} | {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
@@ -56,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_output_codes,
         op4_grace_dedup,
         op5_order_minhash,
+        op6_tree_model,
         op7_byte_bpe,
         op8_scaled_sketch,
         op9_markov_secrets,
@@ -63,7 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {
+ORACLES: dict[str, str] = ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}) | {
     "op4_grace_dedup": """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

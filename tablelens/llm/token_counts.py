@@ -106,7 +106,7 @@ def scan(blocks: DataFrame, separator: int = SEPARATOR, width: int = 2) -> DataF
     found = map_arrow(blocks.select("file", "no", "data"), run, f"file {kind}, no long, size long, ends array<long>")
     before = Window.partitionBy("file").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
     placed = found.withColumn("base", F.coalesce(F.sum("size").over(before), F.lit(0))).withColumn("number", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)))
-    placed = placed.withColumn("stop", F.col("base") + F.element_at("ends", -1))
+    placed = placed.withColumn("stop", F.col("base") + F.expr("try_element_at(ends, -1)"))
     placed = placed.withColumn("carry", F.coalesce(F.max("stop").over(before), F.lit(-1)))  # the last separator before the block
     ends = placed.select("file", "number", "base", "carry", "ends", F.posexplode("ends").alias("i", "at"))
     done = ends.select(
@@ -128,7 +128,7 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
         for b in batches:
             for file, kind, no, data in zip(*(c.to_pylist() for c in b.columns)):
                 x = np.frombuffer(data, "<i8" if kind == "names" else "u1").astype(np.int64)
-                yield pa.record_batch([pa.array(np.full(len(x), file)), pa.array([kind] * len(x)), pa.array(np.arange(len(x)) + no * NAMES), pa.array(x)], ["file", "kind", "ordinal", "value"])
+                yield pa.record_batch([pa.array(np.full(len(x), file), pa.int64()), pa.array([kind] * len(x), pa.string()), pa.array(np.arange(len(x)) + no * NAMES), pa.array(x)], ["file", "kind", "ordinal", "value"])
 
     rows = map_arrow(flat.filter("kind <> 'ids'"), names, "file long, kind string, ordinal long, value long")
     who = rows.groupBy("file", "ordinal").agg(F.max(F.when(F.col("kind") == "names", F.col("value"))).alias("k"), F.max(F.when(F.col("kind") == "null", F.col("value"))).alias("gone"))

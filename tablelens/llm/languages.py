@@ -179,7 +179,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
                     seen[labels[lo]] = seen.get(labels[lo], 0) + held * min(1.0, 1000 / max(1, len(found)))
         for label, held in seen.items():
             at = np.flatnonzero(held)
-            yield pa.record_batch([pa.array([label] * len(at)), pa.array(at, pa.int32()), pa.array(held[at], pa.float64())], ["l", "g", "n"])
+            yield pa.record_batch([pa.array([label] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(held[at], pa.float64())], ["l", "g", "n"])
 
     each = map_arrow(sample, count, "l string, g int, n double").groupBy("l", "g").agg(F.sum("n").alias("n"))
     table = np.zeros((len(names), BUCKETS))

@@ -41,6 +41,8 @@ CAPACITY = 4096
 END = 1
 #: Pieces that a task packs at once.
 GROUP = 16_384
+#: Of a bin with more pieces only pairs that stand less than this apart are exchanged for one.
+PAIRS = 16
 #: Bins with more free tokens than this are packed again with those of other groups.
 LOOSE = 8
 
@@ -172,16 +174,20 @@ def _exchange(own: list[int], size, fill, home, room, v: int):
             k = int(gain.argmax())
             if gain[k] > best:
                 best, step = int(gain[k]), ([own[a], own[c]], [int(there[k])], int(home[there[k]]))
-    if step is None:  # one for the two smallest of a bin
-        order = np.lexsort((n, home[there]))
-        h, m, f = home[there][order], n[order], free[order]
-        first = np.flatnonzero((h[:-1] == h[1:]) & np.concatenate([[True], h[1:-1] != h[:-2]]))
+    order = np.argsort(home[there], kind="stable")  # one for two of a bin
+    h, m, f = home[there][order], n[order], free[order]
+    for apart in range(1, min(len(h), PAIRS)):
+        first = np.flatnonzero(h[:-apart] == h[apart:])
+        if not len(first):
+            break
+        two = m[first] + m[first + apart]
         for i in own:
-            gain = size[i] - m[first] - m[first + 1]
+            gain = size[i] - two
             gain = np.where((gain > 0) & (gain <= f[first]), gain, 0)
-            if len(gain) and gain.max() > best:
-                k = first[int(gain.argmax())]
-                best, step = int(gain.max()), ([i], [int(there[order[k]]), int(there[order[k + 1]])], int(h[k]))
+            x = int(gain.argmax())
+            if gain[x] > best:
+                k = first[x]
+                best, step = int(gain[x]), ([i], [int(there[order[k]]), int(there[order[k + apart]])], int(h[k]))
     return step
 
 

@@ -166,7 +166,7 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     )
 
 
-def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]", table: list[float] | None = None) -> DataFrame:
     """docs with every span (those that overlap together) replaced by `mark`."""
     found = F.array_sort(F.concat("__assign", "__access", "__hex", "__markov"))
     t = F.col(text)
@@ -180,5 +180,5 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str =
     def end(acc: Column) -> Column:
         return F.concat(acc["out"], F.substr(t, acc["at"] + 1, F.greatest(F.char_length(t) - acc["at"], F.lit(0))))
 
-    seen = scan(docs, text, key)
+    seen = scan(docs, text, key, table)
     return seen.withColumn(text, F.when(F.size(found) > 0, F.aggregate(found, start, step, end)).otherwise(t)).select(*docs.columns)

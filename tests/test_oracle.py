@@ -7,8 +7,10 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 from oracle_check import compare, duck
 
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+from tablelens.plans import catalog
+
+QUERIES = catalog.QUERIES
+ORACLES = catalog.ORACLES
 
 
 @pytest.fixture(scope="module")

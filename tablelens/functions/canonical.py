@@ -10,6 +10,9 @@ from pyspark.sql import types as T
 
 from .types import fixed_width, is_float_like, is_string
 
+# Timestamps inside nested values keep their microseconds.
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
 
 def canonical(c: Column, dt: T.DataType) -> Column:
     if is_string(dt):
@@ -20,9 +23,9 @@ def canonical(c: Column, dt: T.DataType) -> Column:
     if isinstance(dt, T.BinaryType):
         return F.hex(c)
     if isinstance(dt, T.MapType):
-        return F.to_json(F.array_sort(F.map_entries(c)))
+        return F.to_json(F.array_sort(F.map_entries(c)), _JSON)
     if isinstance(dt, (T.ArrayType, T.StructType)):
-        return F.to_json(c)
+        return F.to_json(c, _JSON)
     return c.cast("string")
 
 
@@ -39,26 +42,3 @@ def value_bytes(c: Column, dt: T.DataType) -> Column:
             return (F.size(c) * F.lit(ew)).cast("bigint")
     return F.octet_length(F.to_json(c)).cast("bigint")
 
-
-_DAY_MICROS = 86400000000
-
-
-def ntz_to_micros(c: Column) -> Column:
-    """Wall-clock microseconds since 1970-01-01 of a timestamp_ntz, from its
-    date and time fields: exact and the same in every session time zone
-    (casting through timestamp would move wall-clock times that fall in a
-    daylight-saving gap of the session zone)."""
-    return (F.unix_date(F.to_date(c)).cast("bigint") * F.lit(_DAY_MICROS)
-            + (F.hour(c) * 3600 + F.minute(c) * 60).cast("bigint") * F.lit(1000000)
-            + (F.extract(F.lit("SECOND"), c) * F.lit(1000000)).cast("bigint"))
-
-
-def micros_to_ntz(l: Column) -> Column:
-    """Inverse of ntz_to_micros."""
-    days = F.floor(l / F.lit(_DAY_MICROS))
-    rem = l - days * F.lit(_DAY_MICROS)
-    day = F.date_from_unix_date(days.cast("int"))
-    secs = ((rem % F.lit(60000000)).cast("decimal(20,0)") / F.lit(1000000)).cast("decimal(16,6)")
-    return F.make_timestamp_ntz(F.year(day), F.month(day), F.dayofmonth(day),
-                                (rem / F.lit(3600000000)).cast("int"), (rem / F.lit(60000000)).cast("int") % 60,
-                                secs)

@@ -1,7 +1,6 @@
 """Typed views of text: numbers and dates hidden inside strings.
 
-All parsing is built-in Spark expressions (regex gate + ``try_cast`` /
-``try_to_timestamp``), so it stays inside whole-stage codegen and gives the
+All parsing is built-in Spark expressions (regex gate + ``try_cast``), so it stays inside whole-stage codegen and gives the
 same answer as any SQL engine that applies the same gate. The gate, not the
 engine's cast, decides what counts as a number: engines disagree on inputs
 such as ``1_000``, ``1d`` or ``12.5`` cast to an integer.
@@ -19,18 +18,19 @@ from pyspark.sql import functions as F
 INT_PATTERN = r"^\s*([+-]?[0-9]+)\s*$"
 REAL_PATTERN = r"^\s*([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)\s*$"
 
-# (shape regex, Spark datetime pattern, strptime pattern), tried in order.
-DATE_FORMATS = (
-    (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "yyyy-MM-dd", "%Y-%m-%d"),
-    (r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$", "yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"),
-    (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}$", "yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S"),
-    (r"^[0-9]{4}/[0-9]{2}/[0-9]{2}$", "yyyy/MM/dd", "%Y/%m/%d"),
-    (r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$", "MM/dd/yyyy", "%m/%d/%Y"),
+# Date layouts: a date, optionally a time of day (minutes, seconds, up to six
+# digits of a second), optionally a zone (Z or an offset). Dotted dates are
+# day first; slashed ones month first, or day first by option.
+TIME_PATTERN = r"([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,6})?)?)"
+ZONE_PATTERN = r" ?(Z|[+-][0-9]{2}:?[0-9]{2})$"
+_REST = TIME_PATTERN + r"?$|" + TIME_PATTERN + ZONE_PATTERN
+ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
+# (date, its year, month and day as groups)
+OTHER_DATES = (
+    (r"^([0-9]{4})/([0-9]{2})/([0-9]{2})", (1, 2, 3)),
+    (r"^([0-9]{2})/([0-9]{2})/([0-9]{4})", (3, 1, 2)),
+    (r"^([0-9]{2})[.]([0-9]{2})[.]([0-9]{4})", (3, 2, 1)),
 )
-
-# Layout used for every DATE/TIME min/max in the report.
-REPORT_TS_PATTERN = "yyyy-MM-dd HH:mm:ss"
-REPORT_TS_STRFTIME = "%Y-%m-%d %H:%M:%S"
 # ---------------------------------------------------------------------------
 
 
@@ -55,21 +55,32 @@ def is_real_text(c: Column) -> Column:
     return c.rlike(REAL_PATTERN)
 
 
-def parsed_timestamp(c: Column) -> Column:
-    """timestamp_ntz if the string has one of the accepted date layouts."""
-    branches = [
-        F.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(fmt)))
-        for shape, fmt, _ in DATE_FORMATS
-    ]
+def _layouts(day_first: bool):
+    for date, order in OTHER_DATES:
+        yield date, (3, 2, 1) if day_first and order == (3, 1, 2) else order
+
+
+def parsed_timestamp(c: Column, day_first: bool = False) -> Column:
+    """timestamp_ntz if the string has one of the accepted date layouts. No
+    session zone takes part; a text with a zone gives the time in UTC."""
+    iso = F.when(c.rlike(f"{ISO_DATE}({_REST})"), c)
+    for date, order in _layouts(day_first):
+        iso = iso.when(c.rlike(f"{date}({_REST})"), F.regexp_replace(c, date, "-".join(f"${g}" for g in order)))
+    zone = F.regexp_extract(iso, TIME_PATTERN + ZONE_PATTERN, 4)
+    local = F.regexp_replace(iso, TIME_PATTERN + ZONE_PATTERN, "$1").try_cast("timestamp_ntz")
+    digits = F.regexp_replace(zone, "[^0-9]", "")
+    minutes = F.substring(digits, 1, 2).cast("int") * 60 + F.substring(digits, 3, 2).cast("int")
+    east = F.when(zone.startswith("-"), -minutes).otherwise(minutes)
+    shifted = local - F.make_dt_interval(F.lit(0), F.lit(0), east, F.lit(0))
     # cheap prefilter: every layout starts with two digits
-    return F.when(c.rlike(r"^[0-9]{2}"), F.coalesce(*branches)).cast("timestamp_ntz")
+    return F.when(c.rlike(r"^[0-9]{2}"), F.when(digits != "", shifted).otherwise(local))
 
 
 def report_ts(c: Column) -> Column:
-    """Render a date/timestamp value in the report's fixed layout
-    (yyyy-MM-dd HH:mm:ss). Taken from the timestamp_ntz text form, which
-    involves no session time zone (date_format would convert through it)."""
-    return F.substring(c.cast("timestamp_ntz").cast("string"), 1, 19)
+    """A date or timestamp in the report's layout: yyyy-MM-dd HH:mm:ss and the
+    fraction of the second if there is one, as timestamp_ntz prints it (so no
+    session time zone takes part)."""
+    return c.cast("timestamp_ntz").cast("string")
 
 
 # SQL spellings of the same rules, for oracle queries and docs.
@@ -81,9 +92,14 @@ def sql_parsed_real(expr: str) -> str:
     return f"try_cast(regexp_extract({expr}, '{REAL_PATTERN}', 1) AS DOUBLE)"
 
 
-def sql_parsed_timestamp(expr: str) -> str:
-    parts = ", ".join(
-        f"CASE WHEN regexp_full_match({expr}, '{shape}') THEN try_strptime({expr}, '{fmt}') END"
-        for shape, _, fmt in DATE_FORMATS
-    )
-    return f"coalesce({parts})"
+def sql_parsed_timestamp(expr: str, day_first: bool = False) -> str:
+    cases = [f"WHEN regexp_matches({expr}, '{ISO_DATE}({_REST})') THEN {expr}"]
+    for date, order in _layouts(day_first):
+        cases.append(f"WHEN regexp_matches({expr}, '{date}({_REST})') THEN regexp_replace({expr}, '{date}', '" + "-".join(f"\\{g}" for g in order) + "')")
+    iso = f"CASE {' '.join(cases)} END"
+    zone = f"regexp_extract({iso}, '{TIME_PATTERN}{ZONE_PATTERN}', 4)"
+    local = f"try_cast(regexp_replace({iso}, '{TIME_PATTERN}{ZONE_PATTERN}', '\\1') AS TIMESTAMP)"
+    digits = f"regexp_replace({zone}, '[^0-9]', '', 'g')"
+    minutes = f"(CAST(substr({digits}, 1, 2) AS INTEGER) * 60 + CAST(substr({digits}, 3, 2) AS INTEGER))"
+    return (f"CASE WHEN {digits} <> '' THEN {local} - to_minutes(CASE WHEN starts_with({zone}, '-') "
+            f"THEN -{minutes} ELSE {minutes} END) ELSE {local} END")

@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.canonical import micros_to_ntz
 from ..functions.parsing import is_real_text, parsed_int, parsed_real, parsed_timestamp, report_ts
 from ..functions.types import dtype_class, fixed_width, literal_rows
 from .frequency import _render_kind, present
@@ -52,6 +51,8 @@ def frequency_facts(typed: DataFrame, df: DataFrame, sections: bool = True,
                    .when(rk == "text", F.octet_length(F.col("s"))))
     binary = [isinstance(f.dataType, T.BinaryType) for f in fields]
     other_bytes = F.when(_lookup(binary, "boolean"), F.length(F.col("s")) / 2).otherwise(other_bytes)
+    # the scale of decimal columns: their extremes are taken over decimals of that scale
+    scales = [f.dataType.scale if isinstance(f.dataType, T.DecimalType) else None for f in fields]
     l, d, s, cnt = F.col("l"), F.col("d"), F.col("s"), F.col("cnt")
     w = cnt.cast("double")
 
@@ -59,10 +60,9 @@ def frequency_facts(typed: DataFrame, df: DataFrame, sections: bool = True,
     x = (F.when(kind == "int", l.cast("double"))
          .when(kind == "float", d)
          .when(kind == "real", s.cast("double")))
-    ntz = micros_to_ntz(l)
     native_t = (F.when(rk == "date", F.date_from_unix_date(l.cast("int")).cast("timestamp_ntz"))
                 .when(rk == "ts", F.timestamp_micros(l).cast("timestamp_ntz"))
-                .when(rk == "ntz", ntz))
+                .when(rk == "ntz", F.col("t")))
     text = F.when(kind == "string", s)
     pr, pi = parsed_real(text), parsed_int(text)
     t = F.coalesce(native_t, parsed_timestamp(text)) if sections else native_t
@@ -72,22 +72,17 @@ def frequency_facts(typed: DataFrame, df: DataFrame, sections: bool = True,
         text.alias("text"), pr.alias("pr"), pi.alias("pi"), t.alias("t"),
         F.when(kind.isin("float", "real") & F.isnan(x), True).alias("nan"),
         F.when(kind == "other", other_bytes).alias("ob"),
-        F.when(kind == "real", s).alias("dec"),
+        *[F.when(_lookup(scales, "int") == k, s.cast(T.DecimalType(38, k))).alias(f"dec{k}")
+          for k in sorted({k for k in scales if k is not None})],
     )
     X, XL, TX, PR, PI, TT = (F.col(c) for c in ("x", "xl", "text", "pr", "pi", "t"))
     nn = F.col("nn")
 
-    def stats1(v: Column, p: str, exact_int: Column | None = None, exact_text: Column | None = None) -> list[Column]:
-        # min/max as text: exact for integers (bigint) and decimals (the
-        # decimal text of the extreme value), else the double's text
-        lo, hi = [F.min(v).cast("string")], [F.max(v).cast("string")]
-        if exact_text is not None:
-            lo.insert(0, F.min_by(exact_text, v))
-            hi.insert(0, F.max_by(exact_text, v))
-        if exact_int is not None:
-            lo.insert(0, F.min(exact_int).cast("string"))
-            hi.insert(0, F.max(exact_int).cast("string"))
-        mn, mx = F.coalesce(*lo), F.coalesce(*hi)
+    def stats1(v: Column, p: str, exact: list[Column] = ()) -> list[Column]:
+        # min/max as text: of the exact forms (bigint, decimals: fixed-size
+        # buffers, so the aggregate hashes), else the double's text
+        forms = [*exact, v]
+        mn, mx = (F.coalesce(*[f(e).cast("string") for e in forms]) for f in (F.min, F.max))
         return [_weighted(v.isNotNull()).alias(f"{p}_count"), mn.alias(f"{p}_min"), mx.alias(f"{p}_max"),
                 F.sum(v * w).alias(f"{p}_s1")]
 
@@ -104,7 +99,7 @@ def frequency_facts(typed: DataFrame, df: DataFrame, sections: bool = True,
         _weighted(is_real_text(TX)).alias("numeric_text_count"),
         F.sum(F.octet_length(TX) * cnt).alias("text_bytes"),
         F.sum(F.col("ob") * cnt).alias("other_bytes"),
-        *stats1(X, "num", XL, F.col("dec")),
+        *stats1(X, "num", [XL, *[F.col(c) for c in base.columns if c.startswith("dec")]]),
     ]
     if sections:
         aggs += [
@@ -112,7 +107,7 @@ def frequency_facts(typed: DataFrame, df: DataFrame, sections: bool = True,
             report_ts(F.min(TT)).alias("dt_min"),
             report_ts(F.max(TT)).alias("dt_max"),
             *stats1(PR, "pr"),
-            *stats1(PI.cast("double"), "pi", PI),
+            *stats1(PI.cast("double"), "pi", [PI]),
         ]
     first = base.groupBy("ordinal").agg(*aggs)
 
@@ -149,6 +144,10 @@ def frequency_facts(typed: DataFrame, df: DataFrame, sections: bool = True,
     def z(c: str) -> Column:
         return F.coalesce(F.col(c), F.lit(0)).cast("bigint")
 
+    def as_typed(c: str) -> Column:
+        # a float's extremes read as the float prints, not as its double
+        return F.when(F.col("rkind") == "float", F.col(c).cast("double").cast("float").cast("string")).otherwise(F.col(c))
+
     value_bytes = (F.when(F.col("width").isNotNull(), F.col("width").cast("bigint") * z("non_null"))
                    .when(is_text, z("text_bytes"))
                    .otherwise(z("other_bytes")))
@@ -173,7 +172,7 @@ def frequency_facts(typed: DataFrame, df: DataFrame, sections: bool = True,
                                F.sqrt(n_num) * F.col("num_m3") / F.pow(F.col("num_m2"), 1.5)),
             "num_type": F.when(numeric, F.when(k == "int", F.lit(INTEGER)).otherwise(F.lit(REAL))),
             "num_count": F.when(numeric, z("num_count")),
-            "num_min": F.when(numeric, F.col("num_min")), "num_max": F.when(numeric, F.col("num_max")),
+            "num_min": F.when(numeric, as_typed("num_min")), "num_max": F.when(numeric, as_typed("num_max")),
             "num_mean": F.when(numeric, F.col("num_mean")), "num_std": F.when(numeric, std("num")),
             "text_count": F.when(is_text, z("non_null")),
             "dt_origin": F.when(k == "datetime", F.lit("native")).when(is_text, F.lit("parsed")),

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.canonical import canonical, micros_to_ntz, ntz_to_micros
+from ..functions.canonical import canonical
 from ..functions.types import is_string
 from .scalars import col_ref
 
@@ -46,10 +46,12 @@ def _name_of(names: list[str]):
 def _slot(dt: T.DataType) -> str:
     """Typed grouping slot: exact and cheaper than text for every row."""
     if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType,
-                       T.DateType, T.TimestampType, T.TimestampNTZType)):
+                       T.DateType, T.TimestampType)):
         return "l"
     if isinstance(dt, (T.FloatType, T.DoubleType)):
         return "d"
+    if isinstance(dt, T.TimestampNTZType):
+        return "t"
     return "s"
 
 
@@ -59,7 +61,7 @@ def _to_slot(c, dt: T.DataType):
     if isinstance(dt, T.TimestampType):
         return F.unix_micros(c)
     if isinstance(dt, T.TimestampNTZType):
-        return ntz_to_micros(c)  # wall-clock micros, the same in every session zone
+        return c
     if isinstance(dt, T.BooleanType):
         return c.cast("int").cast("bigint")
     if _slot(dt) == "l":
@@ -73,14 +75,13 @@ def _render(kinds: list[str]):
     """Canonical text of a grouped value, once per distinct value."""
     kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), F.col("ordinal") + 1)
     l, d = F.col("l"), F.col("d")
-    ntz = micros_to_ntz(l)
     real = F.when(F.isnan(d), F.lit("NaN"))
     return (
         F.when(kind == "int", l.cast("string"))
         .when(kind == "bool", F.when(l == 1, F.lit("true")).when(l == 0, F.lit("false")))
         .when(kind == "date", F.date_from_unix_date(l.cast("int")).cast("string"))
         .when(kind == "ts", F.timestamp_micros(l).cast("string"))
-        .when(kind == "ntz", ntz.cast("string"))
+        .when(kind == "ntz", F.col("t").cast("string"))
         .when(kind == "float", real.otherwise(d.cast("float").cast("string")))
         .when(kind == "double", real.otherwise(d.cast("string")))
         .otherwise(F.col("s"))
@@ -104,11 +105,11 @@ def _render_kind(dt: T.DataType) -> str:
 
 
 def typed_frequencies(df: DataFrame, ordinals: list[int] | None = None) -> DataFrame:
-    """(ordinal, l, d, s, cnt): counts of every value of every column in its
+    """(ordinal, l, d, s, t, cnt): counts of every value of every column in its
     typed slot, NULL included (the group whose slots are all NULL).
 
     Rows are expanded to one record per column with the value in a typed
-    slot (bigint / double / text) and counted by (column, slot values): no
+    slot (bigint / double / text / timestamp_ntz) and counted by (column, slot values): no
     per-row text conversion, exact equality (grouping folds -0.0 into 0.0
     and all NaNs together). Partial aggregation in every scan task collapses
     repeated values, so a hot value or an all-NULL column ships one row per
@@ -126,6 +127,7 @@ def typed_frequencies(df: DataFrame, ordinals: list[int] | None = None) -> DataF
             (v if slot == "l" else F.lit(None).cast("bigint")).alias("l"),
             (v if slot == "d" else F.lit(None).cast("double")).alias("d"),
             (v if slot == "s" else F.lit(None).cast("string")).alias("s"),
+            (v if slot == "t" else F.lit(None).cast("timestamp_ntz")).alias("t"),
         ))
     # unpivot plans an Expand (measured ~10% cheaper per row than
     # inline(array(struct)) here). Wide tables are expanded in blocks of
@@ -139,11 +141,11 @@ def typed_frequencies(df: DataFrame, ordinals: list[int] | None = None) -> DataF
         blocks.append(
             df.select(*[r.alias(c) for r, c in zip(part, slots)]).unpivot([], slots, "slot", "v").select("v.*"))
     long = reduce(DataFrame.unionByName, blocks)
-    return long.groupBy("ordinal", "l", "d", "s").agg(F.count(F.lit(1)).alias("cnt"))
+    return long.groupBy("ordinal", "l", "d", "s", "t").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def present() -> F.Column:
-    return F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull()
+    return F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull() | F.col("t").isNotNull()
 
 
 def render(typed: DataFrame, df: DataFrame, keep_null: bool = False) -> DataFrame:

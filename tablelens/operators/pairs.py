@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.canonical import canonical, ntz_to_micros
+from ..functions.canonical import canonical
 from ..functions.types import is_numeric, literal_rows
 from .scalars import col_ref
 
@@ -108,7 +108,7 @@ def _slot_class(dt: T.DataType) -> str:
     booleans as bigint; float/double as double (grouping folds -0.0 and NaN);
     text as itself; everything else as its canonical text."""
     if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType,
-                       T.DateType, T.TimestampType, T.TimestampNTZType)):
+                       T.DateType, T.TimestampType)):
         return "l"
     if isinstance(dt, (T.FloatType, T.DoubleType)):
         return "d"
@@ -120,8 +120,6 @@ def _slot_value(c, dt: T.DataType):
         return F.unix_date(c).cast("bigint")
     if isinstance(dt, T.TimestampType):
         return F.unix_micros(c)
-    if isinstance(dt, T.TimestampNTZType):
-        return ntz_to_micros(c)
     cls = _slot_class(dt)
     if cls == "l":
         return c.cast("bigint")
@@ -186,7 +184,7 @@ def composite_keys(
     fields = list(df.schema.fields)
     idx = [i for i, f in enumerate(fields) if columns is None or f.name in set(columns)]
     if not idx:
-        return literal_rows(df.sparkSession, [], "key_columns string, size int")
+        return literal_rows(df.sparkSession, [], "key_columns array<string>, size int")
     # Level 1 and the pruning bound come from exact distinct counts (the
     # frequency pass): a tuple can only be a key if the product of its
     # columns' distinct counts reaches the row count.
@@ -231,5 +229,5 @@ def composite_keys(
         keys.extend(c for k, c in enumerate(cands) if k not in bad)
     if n == 0:
         keys = []
-    rows = [(",".join(fields[i].name for i in k), len(k)) for k in keys]
-    return literal_rows(df.sparkSession, rows, "key_columns string, size int")
+    rows = [([fields[i].name for i in k], len(k)) for k in keys]
+    return literal_rows(df.sparkSession, rows, "key_columns array<string>, size int")

@@ -2,9 +2,9 @@
 
 Every order-free fact of every column comes out of ONE aggregation over a
 long form: each row is expanded into one record per column holding the value
-in a typed slot (text, real, integer, timestamp), and the records are
-aggregated by column ordinal. The aggregate is a single fixed list of
-functions whatever the width of the table, so the generated code stays small
+in a typed slot (real, integer, decimals by scale, text, timestamp, other), and
+the records are aggregated by column ordinal. The aggregate is one fixed list
+of functions whatever the width of the table, so the generated code stays small
 enough for the JIT (one struct of aggregates per column in a single wide
 ``agg`` measured 3-10x slower on 11 columns, and grows with the width); the
 source is scanned once; partial aggregation in every task leaves at most one
@@ -16,6 +16,7 @@ tables and all-NULL columns still get their row.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -101,29 +102,50 @@ def _kind(dt: T.DataType) -> str:
     return "other"
 
 
-def _record(i: int, f: T.StructField, group: str) -> Column:
-    """One long-form record: the value of column i in its group's typed slots."""
-    c, dt = col_ref(f.name), f.dataType
-    if group == "numeric":
-        return F.struct(
-            F.lit(i).alias("ordinal"),
-            (c.cast("double") if is_real(dt) else _null("double")).alias("x"),
-            (c.cast("bigint") if is_integral(dt) else _null("bigint")).alias("i"),
-            (c.cast("string") if isinstance(dt, T.DecimalType) else _null("string")).alias("m"),
-        )
-    if group == "string":
-        return F.struct(F.lit(i).alias("ordinal"), c.alias("s"))
-    if group == "datetime":
-        return F.struct(F.lit(i).alias("ordinal"), c.cast("timestamp_ntz").alias("t"))
-    return F.struct(F.lit(i).alias("ordinal"), c.isNotNull().alias("nn"), value_bytes(c, dt).alias("b"),
-                    canonical(c, dt).alias("v"))
-
-
 def _group(dt: T.DataType) -> str:
     k = _kind(dt)
     return {"int": "numeric", "real": "numeric", "float": "numeric"}.get(k, k)
 
 
+def _slots(fields: list[T.StructField], distinct: bool) -> dict[str, str]:
+    """Name and type of the slots that the table's columns need."""
+    groups = {_group(f.dataType) for f in fields}
+    out = {}
+    if "numeric" in groups:
+        out |= {"x": "double", "i": "bigint"}
+        out |= {f"m{k}": f"decimal(38,{k})" for k in sorted(_scales(fields))}
+    if "string" in groups:
+        out["s"] = "string"
+    if "datetime" in groups:
+        out["t"] = "timestamp_ntz"
+    if "other" in groups:
+        out |= {"nn": "boolean", "b": "bigint"} | ({"v": "string"} if distinct else {})
+    return out
+
+
+def _scales(fields: list[T.StructField]) -> set[int]:
+    return {f.dataType.scale for f in fields if isinstance(f.dataType, T.DecimalType)}
+
+
+def _record(i: int, f: T.StructField, slots: dict[str, str]) -> Column:
+    """One long-form record: the value of column i in its typed slots."""
+    c, dt = col_ref(f.name), f.dataType
+    group, held = _group(dt), {}
+    if is_integral(dt):
+        held["i"] = c
+    elif group == "numeric":
+        held["x"] = c
+        if isinstance(dt, T.DecimalType):
+            held[f"m{dt.scale}"] = c
+    elif group == "string":
+        held["s"] = c
+    elif group == "datetime":
+        held["t"] = c
+    else:
+        held |= {"nn": c.isNotNull(), "b": value_bytes(c, dt), "v": canonical(c, dt)}
+    return F.struct(F.lit(i).alias("ordinal"), *[(held[k].cast(t) if k in held else _null(t)).alias(k) for k, t in slots.items()])
+
+
 def _stats(x: Column) -> list[Column]:
     """count, min, max (as text), mean, sample stddev of a numeric expression."""
     return [
@@ -135,57 +157,56 @@ def _stats(x: Column) -> list[Column]:
     ]
 
 
-def _aggregates(group: str, sections: bool) -> dict[str, Column]:
-    """The aggregate list of one value group (fixed, whatever the width)."""
-    one = F.count(F.lit(1))
-    if group == "numeric":
+def _aggregates(slots: dict[str, str], sections: bool) -> dict[str, Column]:
+    """The aggregate list (fixed, whatever the width). All buffers have a fixed size, so it hashes."""
+    a: dict[str, Column] = {"n": F.count(F.lit(1))}
+    present = [F.col(k).isNotNull() for k in ("x", "i", "s", "t") if k in slots] + ([F.col("nn")] if "nn" in slots else [])
+    a["non_null"] = F.count_if(reduce(Column.__or__, present))
+    size = []
+    if "x" in slots:
         x, i = F.col("x"), F.col("i")
         num = F.coalesce(x, i.cast("double"))
-        a = {"n": one, "non_null": F.count(num), "nan_count": F.count_if(F.isnan(x)),
-             "zero_count": F.count_if(num == 0)}
+        a |= {"nan_count": F.count_if(F.isnan(x)), "zero_count": F.count_if(num == 0)}
         if sections:
-            a.update({
+            exact = [i, *[F.col(k) for k in slots if re.fullmatch(r"m\d+", k)], x]
+            a |= {
                 "skewness": F.skewness(num),
                 "num_count": F.count(num),
                 # exact text for integers and decimals, the double's text otherwise
-                "num_min": F.coalesce(F.min(i).cast("string"), F.min_by("m", x), F.min(x).cast("string")),
-                "num_max": F.coalesce(F.max(i).cast("string"), F.max_by("m", x), F.max(x).cast("string")),
+                "num_min": F.coalesce(*[F.min(e).cast("string") for e in exact]),
+                "num_max": F.coalesce(*[F.max(e).cast("string") for e in exact]),
                 "num_mean": F.avg(num),
                 "num_std": F.stddev_samp(num),
-            })
-        return a
-    if group == "string":
+            }
+    dates = []
+    if "s" in slots:
         s = F.col("s")
-        a = {"n": one, "non_null": F.count(s), "value_bytes": F.sum(F.octet_length(s)),
-             "empty_count": F.count_if(s == ""), "max_length": F.max(F.length(s)),
-             "avg_length": F.avg(F.length(s)), "numeric_text_count": F.count_if(is_real_text(s))}
+        size.append(F.sum(F.octet_length(s)))
+        a |= {"empty_count": F.count_if(s == ""), "max_length": F.max(F.length(s)),
+              "avg_length": F.avg(F.length(s)), "numeric_text_count": F.count_if(is_real_text(s))}
         if sections:
-            ts = parsed_timestamp(s)
-            a.update({"text_count": F.count(s), "dt_count": F.count(ts),
-                      "dt_min": report_ts(F.min(ts)), "dt_max": report_ts(F.max(ts))})
-            for k, v in zip(("pr_count", "pr_min", "pr_max", "pr_mean", "pr_std"), _stats(parsed_real(s))):
-                a[k] = v
-            for k, v in zip(("pi_count", "pi_min", "pi_max", "pi_mean", "pi_std"), _stats(parsed_int(s))):
-                a[k] = v
-        return a
-    if group == "datetime":
-        t = F.col("t")
-        a = {"n": one, "non_null": F.count(t)}
-        if sections:
-            a.update({"dt_count": F.count(t), "dt_min": report_ts(F.min(t)), "dt_max": report_ts(F.max(t))})
-        return a
-    return {"n": one, "non_null": F.count_if(F.col("nn")), "value_bytes": F.sum("b")}
+            dates.append(parsed_timestamp(s))
+            a["text_count"] = F.count(s)
+            for p, v in (("pr", parsed_real(s)), ("pi", parsed_int(s))):
+                a |= dict(zip((f"{p}_count", f"{p}_min", f"{p}_max", f"{p}_mean", f"{p}_std"), _stats(v)))
+    if "t" in slots:
+        dates.append(F.col("t"))
+    if sections and dates:
+        t = F.coalesce(*dates)
+        a |= {"dt_count": F.count(t), "dt_min": report_ts(F.min(t)), "dt_max": report_ts(F.max(t))}
+    if "b" in slots:
+        size.append(F.sum("b"))
+    if size:
+        a["value_bytes"] = F.coalesce(*size)
+    return a
 
 
-def _approx_distinct(group: str, rsd: float) -> Column:
-    """HyperLogLog distinct count of one value group's slot (no value shuffle:
-    only fixed-size sketches leave each task)."""
-    if group == "numeric":
-        # one of the two slots is empty for every column; +0.0 folds -0.0
-        return F.greatest(F.approx_count_distinct(F.col("i"), rsd),
-                          F.approx_count_distinct(F.col("x") + F.lit(0.0), rsd))
-    slot = {"string": "s", "datetime": "t"}.get(group, "v")
-    return F.approx_count_distinct(F.col(slot), rsd)
+def _approx_distinct(slots: dict[str, str], rsd: float) -> Column:
+    """HyperLogLog distinct count of a column's slot (no value shuffle: only
+    fixed-size sketches leave each task). The other slots are empty; +0.0 folds -0.0."""
+    held = [F.col(k) + F.lit(0.0) if k == "x" else F.col(k) for k in ("x", "i", "s", "t", "v") if k in slots]
+    counts = [F.approx_count_distinct(c, rsd) for c in held]
+    return F.greatest(*counts) if len(counts) > 1 else counts[0]
 
 
 _ZERO_WHEN_EMPTY = ("n", "non_null", "value_bytes", "nan_count", "zero_count", "empty_count",
@@ -196,12 +217,8 @@ _FACTS = [f for f in SCALAR_SCHEMA.fields if f.name not in ("ordinal", "column_n
 
 def scalar_pass(df: DataFrame, sections: bool = True, class_mode: str = "semantic",
                 approx_distinct: float | None = None) -> DataFrame:
-    """Long form of all scalar facts: one row per column, SCALAR_SCHEMA.
-
-    One aggregation per value group present (numeric, text, datetime, other):
-    at most four, each with a fixed aggregate list, each reading only its own
-    columns.
-    """
+    """Long form of all scalar facts: one row per column, SCALAR_SCHEMA, from
+    one scan and one aggregation."""
     spark = df.sparkSession
     fields = list(df.schema.fields)
     if not fields:
@@ -213,20 +230,15 @@ def scalar_pass(df: DataFrame, sections: bool = True, class_mode: str = "semanti
          for i, f in enumerate(fields)],
         "ordinal int, column_name string, dtype string, dclass string, kind string, width int",
     )
-    parts = []
-    for group in ("numeric", "string", "datetime", "other"):
-        idx = [i for i, f in enumerate(fields) if _group(f.dataType) == group]
-        if not idx:
-            continue
-        aggs = _aggregates(group, sections)
-        if approx_distinct is not None:
-            aggs["approx_distinct"] = _approx_distinct(group, approx_distinct)
-        long = df.select(F.inline(F.array(*[_record(i, fields[i], group) for i in idx])))
-        facts = long.groupBy("ordinal").agg(*[v.alias(k) for k, v in aggs.items()])
-        parts.append(facts.select("ordinal", *[
-            (F.col(f.name) if f.name in aggs else _null(f.dataType)).cast(f.dataType).alias(f.name)
-            for f in _FACTS], *(["approx_distinct"] if approx_distinct is not None else [])))
-    facts = reduce(DataFrame.unionByName, parts)
+    slots = _slots(fields, approx_distinct is not None)
+    aggs = _aggregates(slots, sections)
+    if approx_distinct is not None:
+        aggs["approx_distinct"] = _approx_distinct(slots, approx_distinct)
+    long = df.select(F.inline(F.array(*[_record(i, f, slots) for i, f in enumerate(fields)])))
+    facts = long.groupBy("ordinal").agg(*[v.alias(k) for k, v in aggs.items()])
+    facts = facts.select("ordinal", *[
+        (F.col(f.name) if f.name in aggs else _null(f.dataType)).cast(f.dataType).alias(f.name)
+        for f in _FACTS], *(["approx_distinct"] if approx_distinct is not None else []))
     # both sides hold one row per column of the schema
     j = meta.join(F.broadcast(facts), "ordinal", "left")
     kind = F.col("kind")
@@ -243,7 +255,7 @@ def scalar_pass(df: DataFrame, sections: bool = True, class_mode: str = "semanti
         v = F.col(name)
         if name == "value_bytes":
             # fixed-width types: width × non-null count, no per-row work
-            v = F.coalesce(v, F.col("width").cast("bigint") * F.col("non_null"))
+            v = F.coalesce(F.col("width").cast("bigint") * F.col("non_null"), v)
         if name == "nan_count":
             v = F.when(kind == "float", v)
         if name in _ZERO_WHEN_EMPTY:
@@ -254,6 +266,9 @@ def scalar_pass(df: DataFrame, sections: bool = True, class_mode: str = "semanti
             v = F.when(numeric, v)
         elif name in ("empty_count", "numeric_text_count", "text_count") or name.startswith(("pr_", "pi_")):
             v = F.when(kind == "string", v)
+        elif name in ("num_min", "num_max"):
+            # a float's extremes read as the float prints, not as its double
+            v = F.when(F.col("dtype") == "float", v.cast("double").cast("float").cast("string")).otherwise(v)
         elif name in ("num_count",):
             v = F.when(numeric & F.lit(sections), v)
         elif name == "dt_count":

@@ -4,7 +4,7 @@ Every entry runs a library operator over whole driver tables (or tables Spark
 derives from them) and flattens the result to plain columns; the matching SQL
 computes the same facts independently, so the two can be compared value by
 value. Doubles are rounded to 4 places on both sides, list fields are joined
-with '|', and dates are rendered as 'yyyy-MM-dd HH:mm:ss'.
+with '|', and dates are whole: 'yyyy-MM-dd HH:mm:ss' and the fraction, if any.
 """
 
 from __future__ import annotations
@@ -17,16 +17,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parsing as P
+from ..functions.types import literal_rows
 from ..operators import frequency as fq
 from ..operators import pairs as pr
 from ..operators import warnings as wn
-from ..operators.histogram import histogram
+from ..operators.histogram import category_counts, histogram, month_counts
 from ..operators.typed import typed_values
 from ..sinks import report_io as io
 from ..sources import readers
+from .. import __version__ as tablelens_version
 from . import fixtures as fx
 from .checkpoint import scratch_path
-from .report import light_profile, profile, profile_many
+from .report import (
+    batch_reports,
+    dtype_classes,
+    light_profile,
+    profile,
+    profile_many,
+    row_counts,
+    schema_report,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,8 +78,6 @@ def r4(x: str) -> str:
 NUMERIC_TYPES = ("bigint", "int", "double", "float", "smallint", "tinyint")
 INT_TYPES = ("bigint", "int", "smallint", "tinyint")
 
-TS = P.REPORT_TS_STRFTIME
-
 # Default profile options used by the registered queries.
 MINIMAL = dict(sections=False, distinct=False, top_k=0, correlations=False)
 
@@ -90,8 +98,7 @@ def _src(spec) -> str:
 
 @register("row_count", "SELECT 'lineitem' AS table_name, CAST(count(*) AS BIGINT) AS total_records FROM lineitem")
 def row_count(spark, sf):
-    return profile(fx.read(spark, sf, "lineitem"), "lineitem", **MINIMAL).table_report.select(
-        "table_name", "total_records")
+    return row_counts({"lineitem": fx.read(spark, sf, "lineitem")})
 
 
 COUNT_TABLES = ["lineitem", "orders", "customer", "part", "documents", "embeddings"]
@@ -101,8 +108,8 @@ COUNT_TABLES = ["lineitem", "orders", "customer", "part", "documents", "embeddin
     f"SELECT '{t}' AS table_name, CAST(count(*) AS BIGINT) AS total_variables "
     f"FROM information_schema.columns WHERE table_name = '{t}'" for t in COUNT_TABLES]))
 def column_count(spark, sf):
-    return profile_many({t: fx.read(spark, sf, t) for t in COUNT_TABLES}, **MINIMAL).select(
-        "table_name", "total_variables")
+    return schema_report({t: fx.read(spark, sf, t) for t in COUNT_TABLES}).groupBy("table_name").agg(
+        F.count(F.lit(1)).alias("total_variables"))
 
 
 DUCK_TO_SPARK_TYPE = (
@@ -116,7 +123,7 @@ DUCK_TO_SPARK_TYPE = (
 SELECT CAST(ordinal_position - 1 AS INTEGER) AS ordinal, column_name, {DUCK_TO_SPARK_TYPE} AS dtype
 FROM information_schema.columns WHERE table_name = 'orders'""")
 def schema_columns(spark, sf):
-    return _facts(spark, sf, fx.plain("orders"), **MINIMAL).select("ordinal", "column_name", "dtype")
+    return schema_report({"orders": fx.read(spark, sf, "orders")}).select("ordinal", "column_name", "dtype")
 
 
 def _per_col(spec, tmpl: str, types=None) -> str:
@@ -306,7 +313,7 @@ def parsed_real_stats(spark, sf):
 
 @register("typed_values", f"""
 SELECT kitchen AS value, {P.sql_parsed_int('kitchen')} AS as_integer, {P.sql_parsed_real('kitchen')} AS as_real,
-       kitchen AS as_text, strftime({P.sql_parsed_timestamp('kitchen')}, '{TS}') AS as_timestamp
+       kitchen AS as_text, CAST({P.sql_parsed_timestamp('kitchen')} AS VARCHAR) AS as_timestamp
 FROM {_src(fx.LI_KITCHEN)}""")
 def typed_values_q(spark, sf):
     tv = typed_values(fx.spark_table(spark, sf, fx.LI_KITCHEN), "kitchen")
@@ -322,7 +329,7 @@ def text_count(spark, sf):
 
 def _date_sql(name: str, x: str, src: str, origin: str) -> str:
     return (f"SELECT '{name}' AS column_name, '{origin}' AS origin, CAST(count({x}) AS BIGINT) AS count, "
-            f"strftime(min({x}), '{TS}') AS min_value, strftime(max({x}), '{TS}') AS max_value "
+            f"CAST(min({x}) AS VARCHAR) AS min_value, CAST(max({x}) AS VARCHAR) AS max_value "
             f"FROM {src} HAVING count({x}) > 1")
 
 
@@ -333,9 +340,18 @@ def _date_spark(spark, sf, spec):
 
 
 @register("date_range_native", union([
-    _date_sql(n, q(n), "orders", "native") for n, t in fx.TABLES["orders"] if t == "timestamp_ntz"]))
+    _date_sql(n, q(n), table, "native") for table in ("orders", "events") for n, t in fx.TABLES[table]
+    if t == "timestamp_ntz"]))
 def date_range_native(spark, sf):
-    return _date_spark(spark, sf, fx.plain("orders"))
+    both = [_date_spark(spark, sf, fx.plain(t)).where("origin = 'native'") for t in ("orders", "events")]
+    return reduce(DataFrame.unionByName, both)
+
+
+@register("date_layouts_parsed", union([
+    _date_sql(n, P.sql_parsed_timestamp(q(n)), _src(fx.EVENT_DATES), "parsed") for n, _ in fx.columns(fx.EVENT_DATES)]))
+def date_layouts_parsed(spark, sf):
+    """events.ts as text in every accepted layout."""
+    return _date_spark(spark, sf, fx.EVENT_DATES)
 
 
 @register("date_range_parsed", union([
@@ -360,8 +376,8 @@ def _sections_sql(spec) -> str:
 
         def dt(origin, x):
             return (f"SELECT '{n}' AS column_name, 4 AS section_order, 'DATE/TIME' AS type, '{origin}' AS origin, "
-                    f"CAST(count({x}) AS BIGINT) AS count, strftime(max({x}), '{TS}') AS max_value, "
-                    f"strftime(min({x}), '{TS}') AS min_value, CAST(NULL AS DOUBLE) AS mean, "
+                    f"CAST(count({x}) AS BIGINT) AS count, CAST(max({x}) AS VARCHAR) AS max_value, "
+                    f"CAST(min({x}) AS VARCHAR) AS min_value, CAST(NULL AS DOUBLE) AS mean, "
                     f"CAST(NULL AS DOUBLE) AS stddev, NULL AS shortest, NULL AS longest, "
                     f"CAST(NULL AS DOUBLE) AS average_length FROM {src}")
 
@@ -400,16 +416,14 @@ def typed_sections(spark, sf):
         _r4("average_length").alias("average_length"))
 
 
-@register("nan_as_null_count", """
-SELECT 'nan_tax' AS column_name, CAST(count(nan_tax) AS BIGINT) AS number_non_empty_cells,
-       CAST(count_if(isnan(nan_tax)) AS BIGINT) AS nan_count,
-       CAST(count(nan_tax) - count_if(isnan(nan_tax)) AS BIGINT) AS not_null_nan_as_null
-FROM """ + _src(fx.LI_NUM))
+@register("nan_as_null_count", union([
+    f"SELECT '{n}' AS column_name, CAST(count(nullif(CAST({q(n)} AS DOUBLE), 'NaN')) AS BIGINT) AS number_non_empty_cells, "
+    f"CAST(count(*) - count(nullif(CAST({q(n)} AS DOUBLE), 'NaN')) AS BIGINT) AS number_empty_cells, "
+    f"round(CAST(count(*) - count(nullif(CAST({q(n)} AS DOUBLE), 'NaN')) AS DOUBLE) * 100.0 / count(*), 3) AS null_proportion "
+    f"FROM {_src(fx.LI_NUM)}" for n, _ in fx.columns(fx.LI_NUM)]))
 def nan_as_null_count(spark, sf):
-    f = _facts(spark, sf, fx.LI_NUM, **MINIMAL)
-    return f.where(F.col("column_name") == "nan_tax").select(
-        "column_name", "number_non_empty_cells", "nan_count",
-        (F.col("number_non_empty_cells") - F.col("nan_count")).alias("not_null_nan_as_null"))
+    return _facts(spark, sf, fx.LI_NUM, nan_as_null=True, **MINIMAL).select(
+        "column_name", "number_non_empty_cells", "number_empty_cells", "null_proportion")
 
 
 # ======================================================= step 4: whole report
@@ -448,6 +462,11 @@ def column_report(spark, sf):
     return _column_report_cols(profile(fx.spark_table(spark, sf, fx.LI_NULLS), "lineitem").column_report)
 
 
+@register("events_column_report", _column_report_sql(fx.plain("events")))
+def events_column_report(spark, sf):
+    return _column_report_cols(profile(fx.read(spark, sf, "events"), "events", correlations=False).column_report)
+
+
 def _numeric_pairs_sql(spec, threshold=wn.CORRELATION) -> tuple[str, str]:
     """(rho long-form SQL, rejected-by-correlation SQL)."""
     src = _src(spec)
@@ -570,11 +589,12 @@ def _classes_sql() -> str:
 
 @register("dtype_classes", _classes_sql())
 def dtype_classes_q(spark, sf):
-    parts = []
+    rows = []
     for mode in ("semantic", "prefix"):
-        rep = profile_many({t: fx.read(spark, sf, t) for t in CLASS_TABLES}, class_mode=mode, **MINIMAL)
-        parts.append(rep.select("table_name", F.lit(mode).alias("mode"), "n_numeric", "n_categorical", "n_date"))
-    return reduce(DataFrame.unionByName, parts)
+        for t in CLASS_TABLES:
+            n = dtype_classes(fx.read(spark, sf, t), mode)
+            rows.append((t, mode, n["numeric"], n["categorical"], n["date"]))
+    return literal_rows(spark, rows, "table_name string, mode string, n_numeric bigint, n_categorical bigint, n_date bigint")
 
 
 @register("empty_table", union([
@@ -593,7 +613,7 @@ def empty_table(spark, sf):
 # ===================================================== step 5: sources, sinks
 
 ORDERS_OUT_SQL = ("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, "
-                  f"strftime(o_orderdate, '{TS}') AS o_orderdate, o_orderpriority FROM orders")
+                  f"CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority FROM orders")
 
 
 def _orders_out(df: DataFrame) -> DataFrame:
@@ -701,15 +721,25 @@ def positional_columns(spark, sf):
     return readers.positional_columns(fx.read(spark, sf, "orders"))
 
 
-@register("table_sample")  # seeded Bernoulli sample: rows-only check
+SAMPLE = 0.1
+
+
+@register("table_sample", f"SELECT * FROM orders WHERE substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) < "
+                          f"'{round(SAMPLE * 2**32):08x}'")
 def table_sample(spark, sf):
-    return readers.sample(fx.read(spark, sf, "orders"), 0.1, seed=7)
+    return readers.hash_sample(fx.read(spark, sf, "orders"), SAMPLE, ["o_orderkey"])
 
 
-@register("run_metadata")  # timestamps: rows-only check
+@register("run_metadata", "SELECT 'region' AS table_name, true AS times_in_order, true AS recent, "
+                          f"'{tablelens_version}' AS profiler_version, true AS named_by_start")
 def run_metadata(spark, sf):
     p = profile(fx.read(spark, sf, "region"), "region", **MINIMAL)
-    return io.run_metadata(p, "region.csv")
+    m = io.run_metadata(p, "region.csv")
+    stamp = p.started_at.strftime(io.STAMP_FORMAT)
+    return m.select(
+        "table_name", (F.col("started_at") <= F.col("ended_at")).alias("times_in_order"),
+        (F.abs(F.unix_seconds("ended_at") - F.unix_seconds(F.current_timestamp())) < 3600).alias("recent"),
+        "profiler_version", (F.col("output_name") == f"region_profiled_table_{stamp}").alias("named_by_start"))
 
 
 # ================================================================ step 6: size
@@ -861,8 +891,8 @@ def warn_missing(spark, sf):
     return wn.warn_missing(p.column_facts).select("column_name", "warning", "value")
 
 
-KEY_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_shipdate"]
-KEY_MAX = 4
+KEY_COLUMNS = [n for n, _ in fx.TABLES["lineitem"]]
+KEY_MAX = 2
 
 
 def _keys_sql() -> str:
@@ -881,8 +911,8 @@ def _keys_sql() -> str:
 
 @register("composite_keys", _keys_sql())
 def composite_keys(spark, sf):
-    df = fx.read(spark, sf, "lineitem").select(*KEY_COLUMNS)
-    return pr.composite_keys(df, max_size=KEY_MAX)
+    keys = pr.composite_keys(fx.read(spark, sf, "lineitem"), max_size=KEY_MAX)
+    return keys.select(F.array_join("key_columns", ",").alias("key_columns"), "size")
 
 
 def _warnings_sql(spec) -> str:
@@ -930,15 +960,97 @@ def stream_profile(spark, sf):
 
     df = fx.spark_table(spark, sf, fx.LI_NULLS)
     src = scratch_path(spark, "arrivals")
-    df.repartition(6).write.parquet(src)
+    df.write.option("maxRecordsPerFile", 20_000).parquet(src)
     out = scratch_path(spark, "arrival_reports")
-    q = profile_arrivals(spark, src, df.schema, out, files_per_batch=2, sections=False, top_k=0,
+    q = profile_arrivals(spark, src, df.schema, out, files_per_batch=64, sections=False, top_k=0,
                          correlations=False)
     q.awaitTermination()
     return running_counts(spark, out).select("column_name", "record_count", "number_non_empty_cells", "size_bytes")
 
 
-@register("approx_distinct_count")  # HyperLogLog counts: rows-only check (no engine-neutral exact value)
+@register("approx_distinct_count", _per_col(fx.LI_NULLS,
+          "SELECT '{name}' AS column_name, true AS close, CAST(count({c}) AS BIGINT) AS number_non_empty_cells FROM {src}"))
 def approx_distinct_count(spark, sf):
-    p = profile(fx.spark_table(spark, sf, fx.LI_NULLS), "lineitem", approx=True, correlations=False)
-    return p.column_report.select("column_name", "unique_values", "number_non_empty_cells")
+    """HyperLogLog counts, held against exact ones: within four times the stated error (or 2)."""
+    opts = dict(sections=False, top_k=0, correlations=False)
+    approx = profile(fx.spark_table(spark, sf, fx.LI_NULLS), approx=True, **opts).column_report
+    exact = profile(fx.spark_table(spark, sf, fx.LI_NULLS), **opts).column_report.select(
+        "ordinal", F.col("unique_values").alias("exact"))
+    off = F.abs(F.col("unique_values") - F.col("exact"))
+    return approx.join(exact, "ordinal").select(
+        "column_name", (off <= F.greatest(F.lit(2), F.col("exact") * 0.08)).alias("close"), "number_non_empty_cells")
+
+
+# ============================================== options that leave passes out
+
+_OFF = {"distinct": dict(distinct=False), "correlations": dict(correlations=False), "approx": dict(approx=True)}
+
+
+@register("options_left_out", union([
+    f"SELECT '{name}' AS option, {'NULL' if name == 'distinct' else '(SELECT count(*) FROM (SELECT 1 FROM customer HAVING count(DISTINCT c_name) = count(c_name)))'}::BIGINT AS n_unique_text, "
+    f"{'0' if name == 'approx' else 'NULL'}::BIGINT AS n_rejected, {'0' if name == 'approx' else '5'}::BIGINT AS with_top_values, "
+    f"'{kinds}' AS not_computed"
+    for name, kinds in (("distinct", "constant|high_cardinality"), ("correlations", "correlated"))]))
+def options_left_out(spark, sf):
+    """What a profile did not compute is NULL and named, not 'nothing found'."""
+    parts = []
+    for name in ("distinct", "correlations"):
+        p = profile(fx.read(spark, sf, "customer"), "customer", **_OFF[name])
+        gone = p.warnings.where("column_name IS NULL").agg(F.array_join(F.array_sort(F.collect_list("warning")), "|").alias("not_computed"))
+        held = p.column_report.agg(F.count("top_five_value").alias("with_top_values"))
+        parts.append(p.table_report.select(F.lit(name).alias("option"), "n_unique_text", "n_rejected").join(held).join(gone))
+    return reduce(DataFrame.unionByName, parts)
+
+
+# ===================================== batch reports, document, graph data
+
+@register("batch_columns", union([
+    f"SELECT '{t}' AS table_name, * FROM ({_column_report_sql(fx.plain(t))})" for t in BATCH_TABLES]))
+def batch_columns(spark, sf):
+    rep = batch_reports({t: fx.read(spark, sf, t) for t in BATCH_TABLES}, correlations=False)["column_report"]
+    return rep.select("table_name", *_column_report_cols(rep).columns[:-1],
+                      F.array_join("top_five_value", "|").alias("top_five_value"))
+
+
+@register("nested_document", f"""
+SELECT t.total_records, t.n_numeric, t.n_categorical, c.column_name, c.unique_values, c.top_five_value
+FROM ({_table_report_sql(fx.plain('supplier'), 'supplier')}) t, ({_column_report_sql(fx.plain('supplier'))}) c""")
+def nested_document(spark, sf):
+    """One nested profile document, written, read and walked."""
+    p = profile(fx.read(spark, sf, "supplier"), "supplier")
+    path = io.write_json(p.document, scratch_path(spark, "document"))
+    d = io.read_document(spark, path, p.document.schema)
+    return d.select("general_db_info.total_records", F.col("attribute_analysis.numeric").alias("n_numeric"),
+                    F.col("attribute_analysis.categorical").alias("n_categorical"),
+                    F.explode("column_analysis").alias("c")).select(
+        "total_records", "n_numeric", "n_categorical", "c.column_name", "c.unique_values",
+        F.array_join("c.top_five_value", "|").alias("top_five_value"))
+
+
+def _categories_sql(spec, top: int) -> str:
+    ranked = (f"SELECT column_name, value, cnt, row_number() OVER (PARTITION BY column_name ORDER BY cnt DESC, value) AS rank "
+              f"FROM ({_freq_sql(spec)}) WHERE column_name IN ("
+              + ", ".join(f"'{n}'" for n, t in fx.columns(spec) if t == "string") + ")")
+    return (f"SELECT column_name, CAST(rank AS BIGINT) AS rank, value, cnt FROM ({ranked}) WHERE rank <= {top} UNION ALL "
+            f"SELECT column_name, {top + 1}, NULL, CAST(sum(cnt) AS BIGINT) FROM ({ranked}) WHERE rank > {top} GROUP BY column_name")
+
+
+@register("category_counts", _categories_sql(fx.plain("orders"), 2))
+def category_counts_q(spark, sf):
+    return category_counts(fx.read(spark, sf, "orders"), 2).select("column_name", "rank", "value", "cnt")
+
+
+@register("month_counts", union([
+    f"SELECT '{n}' AS column_name, strftime({q(n)}, '%Y-%m') AS month, CAST(count(*) AS BIGINT) AS cnt FROM {t} "
+    f"WHERE {q(n)} IS NOT NULL GROUP BY 1, 2" for t, n in (("orders", "o_orderdate"), ("lineitem", "l_shipdate"))]))
+def month_counts_q(spark, sf):
+    return reduce(DataFrame.unionByName, [
+        month_counts(fx.read(spark, sf, t)).select("column_name", "month", "cnt") for t in ("orders", "lineitem")])
+
+
+@register("warn_many", f"""
+SELECT column_name, 'many_warnings' AS warning, CAST(count(*) AS DOUBLE) AS value
+FROM ({_warnings_sql(fx.LI_NUM)}) WHERE NOT isnan(value) GROUP BY column_name HAVING count(*) > 1""")
+def warn_many(spark, sf):
+    w = profile(fx.spark_table(spark, sf, fx.LI_NUM), "lineitem").warnings
+    return wn.warn_many(w.where("warning <> 'many_warnings'"), 1).select("column_name", "warning", "value")

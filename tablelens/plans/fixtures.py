@@ -87,6 +87,23 @@ LI_KITCHEN = (
     ],
 )
 
+# events.ts as text, in each layout that counts as a date
+EVENT_DATES = (
+    "events",
+    [
+        ("iso_space", "date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSSSSS')", "strftime(ts, '%Y-%m-%d %H:%M:%S.%f')", "string"),
+        ("iso_t", "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSS\")", "strftime(ts, '%Y-%m-%dT%H:%M:%S.%g')", "string"),
+        ("iso_zulu", "concat(date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\"), 'Z')", "strftime(ts, '%Y-%m-%dT%H:%M:%SZ')", "string"),
+        ("iso_offset", "concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSSSSS'), '+05:30')",
+         "concat(strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), '+05:30')", "string"),
+        ("minutes", "date_format(ts, 'yyyy-MM-dd HH:mm')", "strftime(ts, '%Y-%m-%d %H:%M')", "string"),
+        ("slashes", "date_format(ts, 'yyyy/MM/dd HH:mm:ss')", "strftime(ts, '%Y/%m/%d %H:%M:%S')", "string"),
+        ("month_first", "date_format(ts, 'MM/dd/yyyy HH:mm')", "strftime(ts, '%m/%d/%Y %H:%M')", "string"),
+        ("dotted", "date_format(ts, 'dd.MM.yyyy HH:mm:ss')", "strftime(ts, '%d.%m.%Y %H:%M:%S')", "string"),
+        ("as_cast", "CAST(ts AS STRING)", "CAST(ts AS VARCHAR)", "string"),
+    ],
+)
+
 # numbers with a NaN, a constant and a perfectly correlated column
 LI_NUM = (
     "lineitem",
@@ -100,10 +117,10 @@ LI_NUM = (
 
 # documents with NULL labels from a left join
 DOCS_LABELS_SQL = (
-    "SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic "
+    "SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic "
     "FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
 )
-DOCS_LABELS_COLS = [("doc_id", "bigint"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint"),
+DOCS_LABELS_COLS = [("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint"),
                     ("quality", "int"), ("toxic", "int")]
 
 
@@ -126,6 +143,6 @@ def columns(spec) -> list[tuple[str, str]]:
 
 
 def docs_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    d = read(spark, sf_dir, "documents")
     lab = read(spark, sf_dir, "labels")
     return d.join(lab, "doc_id", "left").select(*[n for n, _ in DOCS_LABELS_COLS])

@@ -1,17 +1,17 @@
 """The profile plan: wires the passes into the report DataFrames.
 
-``profile(df)`` is lazy. Its DataFrames share one plan shape:
-
-    scan ──► scalar pass (global agg, no shuffle) ──────────────┐
-    scan ──► unpivot ─► partial agg ─► shuffle(column,value) ─► │ per-column
-              frequency table ─► distinct stats / top-k windows ┤ joins (≤ #columns rows,
-                                                                │ broadcast)
-    scan ──► correlation pass (global agg, no shuffle) ─────────┘
-
-All joins in the assembly are between tables of at most a few rows per
-column of the schema, so broadcasting them is bounded by the schema, not
-the data. ``Profile.persist()`` writes the per-column facts once (reliable
-checkpoint) so that every report after it is computed from that small table.
+    scan ──► expand ─► partial agg ─► shuffle(column, value) ─► frequency table
+              facts, top-k windows (≤ #columns rows each) ─► one row per column
+    scan ──► correlation pass (global agg, no value shuffle)
+
+A report's first use runs the passes it needs and cuts their lineage with a
+reliable checkpoint (see ``persist``): the per-column facts and the correlation
+are computed once, and every report after that reads those small tables.
+All joins in the assembly are between tables of at most a few rows per column
+of the schema, so broadcasting them is bounded by the schema, not the data.
+
+What a profile's options leave out is NULL in the reports, and the warnings
+name each kind that was not computed.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ from ..operators import frequency as fq
 from ..operators import pairs, size, typed
 from ..operators import warnings as wn
 from ..operators.facts import frequency_facts
-from ..operators.scalars import SCALAR_SCHEMA, scalar_pass
+from ..functions.types import CATEGORICAL, DATE, NUMERIC, OTHER, dtype_class, is_float_like, literal_rows
+from ..operators.scalars import SCALAR_SCHEMA, col_ref, scalar_pass
 from .checkpoint import materialize
 
 COLUMN_REPORT_SCHEMA = T.StructType(
@@ -103,8 +104,13 @@ class Profile:
     class_mode: str = "semantic"
     approx: bool = False
     approx_rsd: float = 0.02
+    nan_as_null: bool = False
     thresholds: dict = field(default_factory=dict)
-    started_at: _dt.datetime = field(default_factory=lambda: _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None))
+    started_at: _dt.datetime = field(default_factory=lambda: _dt.datetime.now(_dt.timezone.utc))
+
+    def __post_init__(self) -> None:
+        if self.nan_as_null:
+            self.df = nan_to_null(self.df)
 
     # ------------------------------------------------------------- passes
     @property
@@ -131,7 +137,7 @@ class Profile:
 
     @cached_property
     def correlation(self) -> DataFrame | None:
-        return pairs.correlation(self.df) if self.correlations else None
+        return materialize(pairs.correlation(self.df)) if self.correlations else None
 
     @cached_property
     def top_values(self) -> DataFrame:
@@ -210,7 +216,8 @@ class Profile:
             nn.alias("number_non_empty_cells"),
             nulls.alias("number_empty_cells"),
             null_proportion(nulls, n).alias("null_proportion"),
-            F.coalesce(F.col("top_five_value"), F.array().cast("array<string>")).alias("top_five_value"),
+            (F.coalesce(F.col("top_five_value"), F.array().cast("array<string>"))
+             if self.top_k > 0 and self.uses_frequencies else F.col("top_five_value")).alias("top_five_value"),
             sections.alias("data_types"),
             F.col("ordinal"),
             F.col("dclass"),
@@ -241,11 +248,14 @@ class Profile:
 
     @cached_property
     def warnings(self) -> DataFrame:
-        return wn.all_warnings(self.column_facts, self.correlation, **self.thresholds)
+        return wn.all_warnings(self.column_facts, self.correlation, distinct=self.distinct, sections=self.sections,
+                               **self.thresholds)
 
     @cached_property
     def table_report(self) -> DataFrame:
         rejected = wn.rejected_columns(self.warnings).select("ordinal", F.lit(True).alias("_rejected"))
+        ended_at = _dt.datetime.now(_dt.timezone.utc)  # the passes have run
+        unknown = F.lit(None).cast("bigint")
         # both sides hold at most one row per column of the schema
         f = self.column_facts.join(F.broadcast(rejected), "ordinal", "left")
         agg = f.agg(
@@ -275,29 +285,46 @@ class Profile:
             F.col("n_numeric").cast("bigint"),
             F.col("n_categorical").cast("bigint"),
             F.col("n_date").cast("bigint"),
-            F.col("n_unique_text").cast("bigint"),
-            F.col("n_rejected").cast("bigint"),
+            (F.col("n_unique_text").cast("bigint") if self.distinct else unknown).alias("n_unique_text"),
+            (F.col("n_rejected").cast("bigint") if self.distinct and self.correlations else unknown).alias("n_rejected"),
             F.lit(self.started_at).cast("timestamp").alias("started_at"),
-            F.current_timestamp().alias("ended_at"),
+            F.lit(ended_at).cast("timestamp").alias("ended_at"),
             F.lit(__version__).alias("profiler_version"),
         )
 
+    @cached_property
+    def document(self) -> DataFrame:
+        """The whole profile as one nested row: table facts, column classes,
+        column reports in order, warnings."""
+        general = self.table_report.select(F.struct("*").alias("general_db_info"), F.struct(
+            F.col("n_numeric").alias("numeric"), F.col("n_categorical").alias("categorical"), F.col("n_date").alias("date"),
+        ).alias("attribute_analysis"))
+
+        def rows(df: DataFrame, name: str) -> DataFrame:
+            # one struct per column of the schema (or warning), in order
+            return df.agg(F.array_sort(F.collect_list(F.struct("ordinal", *[c for c in df.columns if c != "ordinal"]))).alias(name))
+
+        return (general.crossJoin(rows(self.column_report, "column_analysis"))  # one row each
+                .crossJoin(rows(self.warnings.withColumnRenamed("rejected", "is_rejected"), "warnings")))
+
     # ------------------------------------------------------------ execution
     def persist(self) -> "Profile":
-        """Compute the per-column facts once and cut their lineage (reliable
-        checkpoint in the cluster's checkpoint folder). All reports after
-        this read the small stored table."""
-        self.per_column  # noqa: B018 — computed and checkpointed on first use
-        if self.correlation is not None:
-            self.__dict__["correlation"] = materialize(self.correlation)
-        for k in ("warnings", "table_report"):
-            self.__dict__.pop(k, None)
+        """Run the passes now. The per-column facts and the correlation are
+        kept in the cluster's checkpoint folder; all reports read them."""
+        self.per_column, self.correlation  # noqa: B018 — computed and checkpointed on first use
         return self
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN cells of float and double columns as NULL."""
+    return df.select(*[
+        F.nanvl(col_ref(f.name), F.lit(None).cast(f.dataType)).alias(f.name) if is_float_like(f.dataType) else col_ref(f.name)
+        for f in df.schema.fields])
+
+
 def profile(df: DataFrame, table_name: str = "table", **options) -> Profile:
     """Profile a DataFrame. Options: top_k, extremes_k, sections, distinct,
-    correlations, class_mode ('semantic'|'prefix'), thresholds (dict),
+    correlations, class_mode ('semantic'|'prefix'), thresholds (dict), nan_as_null,
     approx (HyperLogLog distinct counts with relative error approx_rsd and no
     frequency table: no top values or shortest/longest lists)."""
     return Profile(df, table_name, **options)
@@ -315,10 +342,30 @@ def profile_many(tables: dict[str, DataFrame], **options) -> DataFrame:
     return reduce(DataFrame.unionByName, reps)
 
 
+def batch_reports(tables: dict[str, DataFrame], **options) -> dict[str, DataFrame]:
+    """Every report of several inputs: table_report, column_report, report_flat
+    and warnings, each over all tables with their names."""
+    done = {name: profile(df, name, **options) for name, df in tables.items()}
+    named = lambda p, report: getattr(p, report).withColumn("table_name", F.lit(p.table_name))
+    return {report: reduce(DataFrame.unionByName, [named(p, report) for p in done.values()])
+            for report in ("table_report", "column_report", "report_flat", "warnings")}
+
+
+def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, total_records); no column is read."""
+    return reduce(DataFrame.unionByName, [
+        df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("total_records")) for name, df in tables.items()])
+
+
+def schema_report(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, ordinal, column_name, dtype), from the schemas only: no data is read."""
+    first = next(iter(tables.values()))
+    rows = [(name, i, f.name, f.dataType.simpleString()) for name, df in tables.items() for i, f in enumerate(df.schema.fields)]
+    return literal_rows(first.sparkSession, rows, "table_name string, ordinal int, column_name string, dtype string")
+
+
 def dtype_classes(df: DataFrame, mode: str = "semantic") -> dict[str, int]:
     """Counts of columns per class, from the schema only."""
-    from ..functions.types import CATEGORICAL, DATE, NUMERIC, OTHER, dtype_class
-
     out = {NUMERIC: 0, CATEGORICAL: 0, DATE: 0, OTHER: 0}
     for f in df.schema.fields:
         out[dtype_class(f.dataType, mode)] += 1

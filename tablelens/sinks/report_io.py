@@ -90,6 +90,11 @@ def read_flat_csv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_document(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A saved document; the schema is that of ``Profile.document``."""
+    return spark.read.schema(schema).json(path)
+
+
 def walk_sections(column_report: DataFrame) -> DataFrame:
     """One row per (column, typed section) of a read-back report."""
     return column_report.select("column_name", "dtype", F.explode("data_types").alias("s")).select(
@@ -98,7 +103,8 @@ def walk_sections(column_report: DataFrame) -> DataFrame:
 
 
 def save_profile(p: Profile, base: str, input_name: str | None = None, mode: str = "overwrite") -> dict[str, str]:
-    """Write table report + column report (JSON) and flat report (CSV) under
+    """Write table report, column report and the whole profile as one nested
+    document (JSON) and the flat report (CSV) under
     ``base/<name>_profiled_table_<stamp>/``. Facts are computed once."""
     p.persist()
     root = os.path.join(base, output_name(input_name or p.table_name, p.started_at))
@@ -106,6 +112,7 @@ def save_profile(p: Profile, base: str, input_name: str | None = None, mode: str
         "table_report": write_json(p.table_report, os.path.join(root, "table_report"), mode),
         "column_report": write_json(p.column_report, os.path.join(root, "column_report"), mode),
         "report_flat": write_flat_csv(p.report_flat, os.path.join(root, "report_flat"), mode),
+        "document": write_json(p.document, os.path.join(root, "document"), mode),
     }
     return out
 

@@ -87,11 +87,14 @@ def sample(df: DataFrame, fraction: float = 0.1, seed: int | None = 42) -> DataF
     return df.sample(withReplacement=False, fraction=fraction, seed=seed)
 
 
-def hash_sample(df: DataFrame, fraction: float, key: list[str], buckets: int = 1000) -> DataFrame:
-    """Deterministic sample: keeps the rows whose key hashes into the first
-    ``fraction`` of ``buckets``; the same rows whatever the partitioning."""
-    h = F.pmod(F.xxhash64(*[col_ref(k) for k in key]), F.lit(buckets))
-    return df.where(h < F.lit(int(round(fraction * buckets))))
+def hash_sample(df: DataFrame, fraction: float, key: list[str]) -> DataFrame:
+    """Deterministic sample: the rows whose key's digest is in the first
+    ``fraction`` of all digests (to one part in 2^32); the same rows in any
+    partitioning and in any engine with md5."""
+    if fraction >= 1:
+        return df
+    digest = F.md5(F.concat_ws("\x1f", *[col_ref(k).cast("string") for k in key]))
+    return df.where(F.substring(digest, 1, 8) < F.lit(f"{max(0, round(fraction * 2**32)):08x}"))
 
 
 def preview(df: DataFrame, n: int = 5, order_by: list[str] | None = None) -> DataFrame:

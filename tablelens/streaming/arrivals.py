@@ -11,6 +11,7 @@ location, so a restarted query resumes after the last committed batch.
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.checkpoint import checkpoint_dir
 from ..plans.report import profile
+from ..sources.readers import UNUSED_NULL_MARKER
 
 
 def profile_arrivals(
@@ -36,11 +38,12 @@ def profile_arrivals(
     reader = spark.readStream.schema(schema).format(fmt)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    if fmt == "csv":
-        reader = reader.option("header", "true")
+    if fmt == "csv":  # as sources.load reads it: '' stays '', a bare empty field is NULL
+        reader = reader.option("header", "true").option("nullValue", UNUSED_NULL_MARKER)
     stream = reader.load(source_dir)
-    location = checkpoint_location or os.path.join(checkpoint_dir(spark), "tablelens-stream",
-                                                   os.path.basename(output_dir.rstrip("/")))
+    # by default one location for each output folder, by its whole path
+    name = hashlib.sha256(output_dir.rstrip("/").encode()).hexdigest()[:32]
+    location = checkpoint_location or f"{checkpoint_dir(spark)}/tablelens-stream/{name}"
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         rep = profile(batch, f"batch_{batch_id}", **profile_options).column_report

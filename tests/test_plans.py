@@ -19,7 +19,7 @@ def _final_plan(df) -> str:
 @pytest.fixture
 def lazy_facts(monkeypatch):
     # inspect the plan that the checkpoint would run
-    monkeypatch.setattr(report, "materialize_if_possible", lambda df: df)
+    monkeypatch.setattr(report, "materialize", lambda df: df)
 
 
 def test_profile_scans_the_source_once(spark, lazy_facts):

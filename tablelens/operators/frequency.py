@@ -55,7 +55,7 @@ def _slot(dt: T.DataType) -> str:
     return "s"
 
 
-def _to_slot(c, dt: T.DataType):
+def to_slot(c, dt: T.DataType):
     if isinstance(dt, T.DateType):
         return F.unix_date(c).cast("bigint")
     if isinstance(dt, T.TimestampType):
@@ -120,7 +120,7 @@ def typed_frequencies(df: DataFrame, ordinals: list[int] | None = None) -> DataF
     recs = []
     for i in picked:
         c, dt = col_ref(fields[i].name), fields[i].dataType
-        v = _to_slot(c, dt)
+        v = to_slot(c, dt)
         slot = _slot(dt)
         recs.append(F.struct(
             F.lit(i).alias("ordinal"),
@@ -172,17 +172,6 @@ def value_frequencies(df: DataFrame, ordinals: list[int] | None = None) -> DataF
     return render(typed, df)
 
 
-def distinct_stats(freq: DataFrame) -> DataFrame:
-    """Per column: distinct count, Σ frequency, average length of the
-    distinct values, and the top count. One row per column that has a value."""
-    return freq.groupBy("ordinal").agg(
-        F.count(F.lit(1)).alias("unique_values"),
-        F.sum("cnt").alias("freq_total"),
-        F.avg(F.length("value")).alias("avg_distinct_length"),
-        F.max("cnt").alias("top_count"),
-    )
-
-
 def _top(freq: DataFrame, order, k: int) -> DataFrame:
     # A NULL value (the NULL group of a column) sorts last and is dropped
     # after ranking; the check sits above the window, so it never changes

@@ -15,12 +15,13 @@ from __future__ import annotations
 
 import itertools
 from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.canonical import canonical
-from ..functions.types import is_numeric, literal_rows
+from ..functions.types import is_float_like, is_numeric, literal_rows
+from .frequency import to_slot
 from .scalars import col_ref
 
 CORR_SCHEMA = T.StructType(
@@ -93,47 +94,24 @@ def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     )
 
 
-def correlated_pairs(corr: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """Pairs with |ρ| above the threshold; the later column is the one to reject."""
-    return corr.where(F.abs(F.col("rho")) > threshold)
-
-
 # ---------------------------------------------------------------- composite keys
 
 KEY_CHUNK = 256
 
 
-def _slot_class(dt: T.DataType) -> str:
-    """Exact typed slot for a key value: integers, dates, timestamps and
-    booleans as bigint; float/double as double (grouping folds -0.0 and NaN);
-    text as itself; everything else as its canonical text."""
-    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType,
-                       T.DateType, T.TimestampType)):
-        return "l"
-    if isinstance(dt, (T.FloatType, T.DoubleType)):
-        return "d"
-    return "s"
-
-
-def _slot_value(c, dt: T.DataType):
-    if isinstance(dt, T.DateType):
-        return F.unix_date(c).cast("bigint")
-    if isinstance(dt, T.TimestampType):
-        return F.unix_micros(c)
-    cls = _slot_class(dt)
-    if cls == "l":
-        return c.cast("bigint")
-    if cls == "d":
-        return c.cast("double")
-    return canonical(c, dt)
+def _key_value(c, dt: T.DataType):
+    """A value as the frequency pass groups it (adding zero folds -0.0 into 0.0)."""
+    v = to_slot(c, dt)
+    return v + F.lit(0.0) if is_float_like(dt) else v
 
 
 def _non_keys(df: DataFrame, fields: list[T.StructField], cands: list[tuple[int, ...]]) -> set[int]:
     """Indexes into ``cands`` that are NOT keys of ``df`` (a NULL or a duplicate).
 
     Candidates are checked in chunks; each chunk is one job over
-    ``rows × chunk`` records keyed by (candidate, typed key), partially
-    aggregated before the shuffle (a hot tuple collapses in every task).
+    ``rows × chunk`` records keyed by (candidate, 128-bit digest of the tuple), so
+    a record has the same size whatever the columns; partially aggregated
+    before the shuffle (a hot tuple collapses in every task).
     """
     out: set[int] = set()
     for start in range(0, len(cands), KEY_CHUNK):
@@ -145,26 +123,16 @@ def _non_keys_chunk(df: DataFrame, fields: list[T.StructField], cands: list[tupl
     if not cands:
         return set()
     used = sorted({i for c in cands for i in c})
-    # slots per class: as many as the largest count of that class in one candidate
-    width = {cls: max(sum(1 for i in c if _slot_class(fields[i].dataType) == cls) for c in cands)
-             for cls in ("l", "d", "s")}
-    base = df.select(*[_slot_value(col_ref(fields[i].name), fields[i].dataType).alias(f"c{i}") for i in used])
+    base = df.select(*[_key_value(col_ref(fields[i].name), fields[i].dataType).alias(f"c{i}") for i in used])
     recs = []
     for k, cand in enumerate(cands):
-        by_cls: dict[str, list[str]] = {"l": [], "d": [], "s": []}
-        for i in cand:
-            by_cls[_slot_class(fields[i].dataType)].append(f"c{i}")
-        has_null = reduce(lambda a, b: a | b, [F.col(f"c{i}").isNull() for i in cand])
-        vals = [F.lit(k).alias("cand"), has_null.alias("has_null")]
-        for cls, dt in (("l", "bigint"), ("d", "double"), ("s", "string")):
-            names = by_cls[cls]
-            for j in range(width[cls]):
-                v = F.col(names[j]) if j < len(names) else F.lit(None).cast(dt)
-                vals.append(v.cast(dt).alias(f"{cls}{j}"))
-        recs.append(F.struct(*vals))
+        held = [F.col(f"c{i}") for i in cand]
+        has_null = reduce(lambda a, b: a | b, [c.isNull() for c in held])
+        # 128 bits of the tuple: different digests prove different tuples
+        recs.append(F.struct(F.lit(k).alias("cand"), has_null.alias("has_null"), F.xxhash64(*held).alias("h1"),
+                             F.xxhash64(F.lit(1), *held).alias("h2")))
     keyed = base.select(F.inline(F.array(*recs)))
-    key_cols = [f"{cls}{j}" for cls in ("l", "d", "s") for j in range(width[cls])]
-    grouped = keyed.groupBy("cand", *key_cols).agg(
+    grouped = keyed.groupBy("cand", "h1", "h2").agg(
         F.count(F.lit(1)).alias("cnt"), F.max(F.col("has_null").cast("int")).alias("nulls"))
     bad = grouped.where((F.col("cnt") > 1) | (F.col("nulls") > 0)).select("cand").distinct()
     return {r["cand"] for r in bad.collect()}  # candidate ids only: bounded by the schema

@@ -8,28 +8,10 @@ measures; no sample, no cache, no private planner statistics.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
 
 
-def size_by_column(scalars: DataFrame) -> DataFrame:
-    return scalars.select("ordinal", "column_name", F.col("value_bytes").alias("size_bytes"))
-
-
-def size_summary(scalars: DataFrame, target_bytes: int = TARGET_PARTITION_BYTES) -> DataFrame:
-    """One row: estimated_size_bytes, avg_record_bytes, recommended_partitions."""
-    s = scalars.agg(
-        F.coalesce(F.sum("value_bytes"), F.lit(0)).cast("bigint").alias("estimated_size_bytes"),
-        F.coalesce(F.max("n"), F.lit(0)).cast("bigint").alias("total_records"),
-    )
-    return s.select(
-        "estimated_size_bytes",
-        F.try_divide(F.col("estimated_size_bytes").cast("double"), F.col("total_records")).alias("avg_record_bytes"),
-        partition_advice(F.col("estimated_size_bytes"), target_bytes).alias("recommended_partitions"),
-    )
-
-
 def partition_advice(size_col, target_bytes: int = TARGET_PARTITION_BYTES):
     return F.greatest(F.lit(1).cast("bigint"), F.ceil(size_col / F.lit(float(target_bytes))).cast("bigint"))

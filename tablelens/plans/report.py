@@ -30,7 +30,7 @@ from ..operators import pairs, size, typed
 from ..operators import warnings as wn
 from ..operators.facts import frequency_facts
 from ..functions.types import CATEGORICAL, DATE, NUMERIC, OTHER, dtype_class, is_float_like, literal_rows
-from ..operators.scalars import SCALAR_SCHEMA, col_ref, scalar_pass
+from ..operators.scalars import col_ref, scalar_pass
 from .checkpoint import materialize
 
 COLUMN_REPORT_SCHEMA = T.StructType(
@@ -184,14 +184,6 @@ class Profile:
         # the joined sides hold at most one row per column of the schema
         return materialize(facts)
 
-    @cached_property
-    def scalars(self) -> DataFrame:
-        return self.per_column.select(*[f.name for f in SCALAR_SCHEMA.fields])
-
-    @cached_property
-    def distinct_stats(self) -> DataFrame:
-        return self.per_column.select("ordinal", "unique_values", "avg_distinct_length")
-
     @cached_property
     def typed_sections(self) -> DataFrame:
         """Long form: one row per (column, section) with TEXT extras filled."""

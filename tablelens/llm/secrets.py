@@ -8,8 +8,7 @@ ratio is summed, and a run whose ratio is above that of the prior odds is a
 span of kind `markov` unless it overlaps a base span.
 
 Training samples. Ordinary: the runs of four and more characters, without
-what the base rules find, of at most TRAIN_ROWS documents (those of least
-hash). Random: as many strings of the alphabets that keys are written in,
+what the base rules find, of about TRAIN_ROWS documents, chosen by a hash. Random: as many strings of the alphabets that keys are written in,
 made from hash digests. Only counts of character pairs (67 x 67) reach the
 driver; they become a table of ratios.
 
@@ -42,7 +41,7 @@ LETTERS = "A-Za-z0-9+/_=.-"
 #: Shortest run that the models judge.
 RUN = 20
 RUNS = f"[{LETTERS}]{{{RUN},}}"
-#: Documents whose identifiers train the ordinary model, at most, and random strings.
+#: Documents whose identifiers train the ordinary model, about, and random strings.
 TRAIN_ROWS, RANDOM = 2000, 20_000
 #: A run is a secret if random is this many times likelier.
 ODDS = 1e6
@@ -90,7 +89,8 @@ def base_spans(t: Column) -> list[Column]:
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> list[float]:
     """The log-likelihood ratio of every pair of characters (row: first one)."""
     t = text_or_empty(text)
-    sample = docs.select(t.alias("t"), F.xxhash64(key, t).alias("h")).orderBy("h").limit(rows)
+    chance = min(1.0, rows / max(1, docs.count()))
+    sample = docs.filter(F.pmod(F.xxhash64(key, t), F.lit(1 << 30)) / (1 << 30) < chance).select(t.alias("t"))
     clean = F.col("t")
     for pattern in (ASSIGN, ACCESS, HEX):
         clean = F.regexp_replace(clean, pattern, " ")

@@ -157,7 +157,7 @@ def _buckets(built: DataFrame) -> DataFrame:
         large = sized.groupBy("bucket").agg(F.sum("b").alias("b"), F.count("*").alias("hashes")).filter((F.col("b") > 2 * BUCKET_BYTES) & (F.col("hashes") > 1)).select("bucket", F.lit(True).alias("large"))
         many = large.count()
         if not many:
-            return rows.repartition(number, "bucket")
+            return rows.repartitionById(number, F.pmod("bucket", F.lit(number)).cast("int"))
         level += 1
         large = F.broadcast(large) if many <= FEW else large
         again = F.xxhash64("bucket", F.pmod(F.xxhash64("h", F.lit(level)), F.lit(FAN_OUT)))

@@ -42,7 +42,7 @@ EXHAUSTIVE = 7
 #: A text is ambiguous if the loss of its second codeword is less than this many times that of the first.
 MARGIN = 1.1
 #: Characters of a step.
-STEP = 1_000_000
+STEP = 250_000
 #: N-grams beyond this number make a text no surer.
 SURE = 400
 UND = "und"

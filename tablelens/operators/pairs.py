@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -97,6 +98,8 @@ def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 # ---------------------------------------------------------------- composite keys
 
 KEY_CHUNK = 256
+#: Rows of the first sample.
+FIRST_SAMPLE = 10_000
 
 
 def _key_value(c, dt: T.DataType):
@@ -123,15 +126,20 @@ def _non_keys_chunk(df: DataFrame, fields: list[T.StructField], cands: list[tupl
     if not cands:
         return set()
     used = sorted({i for c in cands for i in c})
-    base = df.select(*[_key_value(col_ref(fields[i].name), fields[i].dataType).alias(f"c{i}") for i in used])
-    recs = []
-    for k, cand in enumerate(cands):
-        held = [F.col(f"c{i}") for i in cand]
-        has_null = reduce(lambda a, b: a | b, [c.isNull() for c in held])
-        # 128 bits of the tuple: different digests prove different tuples
-        recs.append(F.struct(F.lit(k).alias("cand"), has_null.alias("has_null"), F.xxhash64(*held).alias("h1"),
-                             F.xxhash64(F.lit(1), *held).alias("h2")))
-    keyed = base.select(F.inline(F.array(*recs)))
+    # each column is hashed once, whatever the number of candidates; place 0 is no column
+    digests = []
+    for half in (1, 2):
+        held = [F.lit(0).cast("long")]
+        for i in used:
+            v = _key_value(col_ref(fields[i].name), fields[i].dataType)
+            held.append(F.when(v.isNotNull(), F.xxhash64(F.lit(half), F.lit(i), v)))
+        digests.append(F.array(*held).alias(f"d{half}"))
+    size = max(map(len, cands))
+    places = [[used.index(i) + 1 for i in c] + [0] * (size - len(c)) for c in cands]
+    listed = F.from_json(F.lit(json.dumps([{"cand": k, "m": m} for k, m in enumerate(places)])), "array<struct<cand:int,m:array<int>>>")
+    # 128 bits of the tuple: different digests prove different tuples; with a NULL the digest is NULL
+    h1, h2 = (F.expr(" ^ ".join(f"d{half}[m[{j}]]" for j in range(size))) for half in (1, 2))
+    keyed = df.select(*digests).select("d1", "d2", F.inline(listed)).select("cand", h1.isNull().alias("has_null"), h1.alias("h1"), h2.alias("h2"))
     grouped = keyed.groupBy("cand", "h1", "h2").agg(
         F.count(F.lit(1)).alias("cnt"), F.max(F.col("has_null").cast("int")).alias("nulls"))
     bad = grouped.where((F.col("cnt") > 1) | (F.col("nulls") > 0)).select("cand").distinct()
@@ -186,8 +194,11 @@ def composite_keys(
     sampled_out: set[tuple[int, ...]] = set()
     if 0 < sample_fraction < 1:
         everyone = [c for cs in levels.values() for c in cs]
-        sample = df.sample(fraction=sample_fraction, seed=seed)
-        sampled_out = {everyone[k] for k in _non_keys(sample, fields, everyone)}
+        # a few rows rule most out, so the larger sample meets the rest only
+        for fraction in sorted({min(sample_fraction, FIRST_SAMPLE / max(n, 1)), sample_fraction}):
+            left = [c for c in everyone if c not in sampled_out]
+            sample = df.sample(fraction=fraction, seed=seed)
+            sampled_out |= {left[k] for k in _non_keys(sample, fields, left)}
     for size in range(2, max_size + 1):
         cands = [c for c in levels[size]
                  if c not in sampled_out and not any(set(k).issubset(c) for k in keys)]

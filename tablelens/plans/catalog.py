@@ -892,7 +892,7 @@ def warn_missing(spark, sf):
 
 
 KEY_COLUMNS = [n for n, _ in fx.TABLES["lineitem"]]
-KEY_MAX = 2
+KEY_MAX = 4
 
 
 def _keys_sql() -> str:

@@ -119,3 +119,11 @@ def test_approx_profile_is_close_and_shuffle_free(spark):
     for c, n in exact.items():
         assert abs(approx[c] - n) <= max(2, 0.1 * n), (c, approx[c], n)
     assert p.top_values is not None and all(r["top_five_value"] is None for r in p.column_report.collect())
+
+
+def test_composite_keys_query_has_keys_of_three_and_four_columns(spark):
+    from tablelens.plans import catalog
+
+    sizes = {r["size"] for r in catalog.QUERIES["composite_keys"](spark, SF_SMALL).collect()}
+    print("sizes", sizes)
+    assert sizes >= {2, 3, 4}

@@ -14,7 +14,7 @@ from tablelens.operators.warnings import rejected_columns
 from tablelens.plans.report import row_counts, schema_report
 from tablelens.sources import readers
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 TEXTS = {
     "2020-01-01": "2020-01-01 00:00:00",

@@ -11,7 +11,7 @@ from tablelens.operators.pairs import composite_keys, correlation
 from tablelens.sinks import report_io as io
 from tablelens.sources import readers
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def _li(spark):

@@ -4,7 +4,7 @@ driver tables: same columns, same rows, same values."""
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from oracle_check import compare, duck
 
 from tablelens.plans import catalog

@@ -7,7 +7,7 @@ import tablelens as tl
 import tablelens.plans.report as report
 from tablelens.operators import frequency as fq
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def _final_plan(df) -> str:

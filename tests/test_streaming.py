@@ -6,7 +6,7 @@ import tempfile
 
 from tablelens.streaming.arrivals import profile_arrivals, read_batches, running_counts
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_arrivals_resume_and_add_up(spark):

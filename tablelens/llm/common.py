@@ -37,8 +37,29 @@ def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def quoted(name: str) -> str:
+    """The name as SQL takes it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def named(df: DataFrame, name: str) -> Column:
+    """The column of that very name (dots are part of it)."""
+    return df[quoted(name)]
+
+
 def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
+    return F.coalesce(F.col(quoted(name)), F.lit(""))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that the table doesn't have (nor one that differs by case only)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def steps(texts: list[str], chars: int = STEP_CHARS) -> Iterator[tuple[int, int]]:

@@ -4,23 +4,25 @@
   one global aggregate (chunked), pairwise-complete rows, ``try_divide`` so a
   constant column yields NULL instead of a divide-by-zero error.
 * ``composite_keys``: minimal column sets (up to ``max_size``) whose tuples
-  are all distinct and never NULL. Candidates are pruned level by level
-  (a superset of a key is never minimal) and on a seeded sample (a duplicate
-  in the sample is a duplicate in the table, so pruning is exact); survivors
-  are verified on the full table. Only candidate ids — schema-sized — reach
-  the driver.
+  are all distinct and never NULL. Sets grow by a column at a time (a superset
+  of a key is never minimal), bounded by their distinct tuples, and are looked
+  at through mergeable threshold sketches of their digests (a tuple twice in a
+  sketch is twice in the table, so pruning is exact); survivors are verified on
+  the full table. Only candidate ids — schema-sized — reach the driver.
 """
 
 from __future__ import annotations
 
 import itertools
 import json
+import math
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.checkpoint import scratch_table
 from ..functions.types import is_float_like, is_numeric, literal_rows
 from .frequency import to_slot
 from .scalars import col_ref
@@ -97,9 +99,16 @@ def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 # ---------------------------------------------------------------- composite keys
 
-KEY_CHUNK = 256
-#: Rows of the first sample.
-FIRST_SAMPLE = 10_000
+#: Rows of a candidate's first sketch, about, and how many times more each next one has.
+SKETCH_ROWS, GROWTH = 1 << 13, 16
+#: Candidates of a job.
+KEY_CHUNK = 4096
+#: Repeated tuples of parts that are sent to all tasks at most (some 20 bytes each).
+FEW = 200_000
+#: Relative error of a single column's distinct count.
+KEY_RSD = 0.02
+#: Standard errors that an estimate is allowed to be off.
+SURE = 6
 
 
 def _key_value(c, dt: T.DataType):
@@ -108,105 +117,133 @@ def _key_value(c, dt: T.DataType):
     return v + F.lit(0.0) if is_float_like(dt) else v
 
 
-def _non_keys(df: DataFrame, fields: list[T.StructField], cands: list[tuple[int, ...]]) -> set[int]:
-    """Indexes into ``cands`` that are NOT keys of ``df`` (a NULL or a duplicate).
+def _hashed(df: DataFrame, fields: list[T.StructField], idx: list[int]) -> DataFrame:
+    """(d1, d2): two 64-bit hashes of each column's value, NULL for NULL."""
+    def of(half: int) -> Column:
+        values = ((i, _key_value(col_ref(fields[i].name), fields[i].dataType)) for i in idx)
+        return F.array(*[F.when(v.isNotNull(), F.xxhash64(F.lit(half), F.lit(i), v)) for i, v in values]).alias(f"d{half}")
 
-    Candidates are checked in chunks; each chunk is one job over
-    ``rows × chunk`` records keyed by (candidate, 128-bit digest of the tuple), so
-    a record has the same size whatever the columns; partially aggregated
-    before the shuffle (a hot tuple collapses in every task).
+    return df.select(of(1), of(2))
+
+
+def _column_counts(hashed: DataFrame, idx: list[int]) -> tuple[int, int, dict[int, int], dict[int, float]]:
+    """Tasks that had rows, rows, each column's values that aren't NULL, and an
+    upper bound of its distinct values: one scan, a HyperLogLog buffer a column in each task."""
+    got = hashed.select(F.spark_partition_id().alias("p"), F.posexplode("d1").alias("at", "h")).groupBy("at").agg(
+        F.count(F.lit(1)).alias("n"), F.count("h").alias("present"), F.approx_count_distinct("h", KEY_RSD).alias("d"),
+        F.approx_count_distinct("p").alias("tasks")).collect()  # one row per column
+    n, tasks = (got[0]["n"], got[0]["tasks"]) if got else (0, 0)
+    return tasks, n, {idx[r["at"]]: r["present"] for r in got}, {idx[r["at"]]: min(n, r["d"] * (1 + SURE * KEY_RSD) + 1) for r in got}
+
+
+def _tuples(hashed: DataFrame, idx: list[int], sets: dict[str, list[tuple[int, ...]]]) -> DataFrame:
+    """(cand, then h1 and h2 for each name): the tuples of every row for a list of
+    column sets under each name, as 128-bit digests (different ones prove different tuples)."""
+    # place 0 of the hashes is no column
+    held = hashed.select(*[F.concat(F.array(F.lit(0).cast("long")), F.col(f"d{half}")).alias(f"d{half}") for half in (1, 2)])
+    size = {name: max(map(len, cs)) for name, cs in sets.items()}
+    rows = [{"cand": k} | {name: [idx.index(i) + 1 for i in c] + [0] * (size[name] - len(c)) for name, c in zip(sets, cs)}
+            for k, cs in enumerate(zip(*sets.values()))]
+    listed = F.from_json(F.lit(json.dumps(rows)), f"array<struct<cand:int,{','.join(f'{name}:array<int>' for name in sets)}>>")
+    xor = lambda name, half: F.expr(" ^ ".join(f"d{half}[{name}[{j}]]" for j in range(size[name]))).alias(f"{name}_h{half}")
+    return held.select("d1", "d2", F.inline(listed)).select("cand", *[xor(name, half) for name in sets for half in (1, 2)])
+
+
+def _sketches(hashed: DataFrame, idx: list[int], cands: list[tuple[int, ...]], theta: float) -> dict[int, tuple[int, bool]]:
+    """For each candidate the distinct tuples whose digest lies below a fraction
+    ``theta`` of its range, and whether one of them occurs twice.
+
+    That sketch merges by union, its size is about ``theta`` times the distinct
+    tuples, and as all copies of a tuple are in it or none, a tuple found
+    twice proves that the candidate isn't a key. Only digests below the
+    fraction leave a task.
     """
-    out: set[int] = set()
+    out: dict[int, tuple[int, bool]] = {}
     for start in range(0, len(cands), KEY_CHUNK):
-        out |= {start + k for k in _non_keys_chunk(df, fields, cands[start : start + KEY_CHUNK])}
-    return out
-
-
-def _non_keys_chunk(df: DataFrame, fields: list[T.StructField], cands: list[tuple[int, ...]]) -> set[int]:
-    if not cands:
-        return set()
-    used = sorted({i for c in cands for i in c})
-    # each column is hashed once, whatever the number of candidates; place 0 is no column
-    digests = []
-    for half in (1, 2):
-        held = [F.lit(0).cast("long")]
-        for i in used:
-            v = _key_value(col_ref(fields[i].name), fields[i].dataType)
-            held.append(F.when(v.isNotNull(), F.xxhash64(F.lit(half), F.lit(i), v)))
-        digests.append(F.array(*held).alias(f"d{half}"))
-    size = max(map(len, cands))
-    places = [[used.index(i) + 1 for i in c] + [0] * (size - len(c)) for c in cands]
-    listed = F.from_json(F.lit(json.dumps([{"cand": k, "m": m} for k, m in enumerate(places)])), "array<struct<cand:int,m:array<int>>>")
-    # 128 bits of the tuple: different digests prove different tuples; with a NULL the digest is NULL
-    h1, h2 = (F.expr(" ^ ".join(f"d{half}[m[{j}]]" for j in range(size))) for half in (1, 2))
-    keyed = df.select(*digests).select("d1", "d2", F.inline(listed)).select("cand", h1.isNull().alias("has_null"), h1.alias("h1"), h2.alias("h2"))
-    grouped = keyed.groupBy("cand", "h1", "h2").agg(
-        F.count(F.lit(1)).alias("cnt"), F.max(F.col("has_null").cast("int")).alias("nulls"))
-    bad = grouped.where((F.col("cnt") > 1) | (F.col("nulls") > 0)).select("cand").distinct()
-    return {r["cand"] for r in bad.collect()}  # candidate ids only: bounded by the schema
-
-
-def composite_keys(
-    df: DataFrame,
-    max_size: int = 3,
-    columns: list[str] | None = None,
-    sample_fraction: float = 0.1,
-    seed: int = 17,
-) -> DataFrame:
+        keyed = _tuples(hashed, idx, {"own": cands[start : start + KEY_CHUNK]})
+        if theta < 1:
+            keyed = keyed.where(F.col("own_h1").bitwiseAND(F.lit((1 << 63) - 1)) < int(theta * (1 << 63)))
+        held = keyed.groupBy("cand", "own_h1", "own_h2").agg(F.count(F.lit(1)).alias("cnt"))
+        for r in held.groupBy("cand").agg(F.count(F.lit(1)).alias("d"), F.max("cnt").alias("most")).collect():  # one row per candidate
+            out[start + r["cand"]] = (r["d"], r["most"] > 1)
+    return {k: out.get(k, (0, False)) for k in range(len(cands))}
+
+
+def _verified(hashed: DataFrame, idx: list[int], cands: list[tuple[int, ...]], parts: list[tuple[int, ...]]) -> list[bool]:
+    """Whether each candidate is a key, by all rows. A tuple that comes twice does so
+    in each part as well, so of every candidate only rows are grouped whose tuple
+    in its largest part comes twice; a part is grouped once for all candidates.
+    Without parts, or if they repeat too much, all rows are grouped."""
+    own = list(dict.fromkeys(parts))
+    if own != [()]:
+        twice = _tuples(hashed, idx, {"own": own}).groupBy("cand", "own_h1", "own_h2").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1")
+        twice = scratch_table(twice.select(F.col("cand").alias("p"), F.col("own_h1").alias("p1"), F.col("own_h2").alias("p2")), "twice")
+        if twice.limit(FEW + 1).count() <= FEW:
+            part_of = F.element_at(F.array(*[F.lit(own.index(p)) for p in parts]), F.col("cand") + 1)
+            keyed = _tuples(hashed, idx, {"own": cands, "part": parts}).withColumn("p", part_of)
+            keyed = keyed.join(F.broadcast(twice), (keyed["p"] == twice["p"]) & (F.col("part_h1") == F.col("p1")) & (F.col("part_h2") == F.col("p2")), "left_semi")
+            bad = keyed.groupBy("cand", "own_h1", "own_h2").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1").select("cand").distinct()
+            gone = {r["cand"] for r in bad.collect()}  # candidates only
+            return [k not in gone for k in range(len(cands))]
+    found = _sketches(hashed, idx, cands, 1.0)
+    return [not found[k][1] for k in range(len(cands))]
+
+
+def composite_keys(df: DataFrame, max_size: int = 3, columns: list[str] | None = None) -> DataFrame:
     """Minimal keys of size 1..max_size: (key_columns, size), column names
-    joined by ',' in schema order."""
-    from . import frequency as fq
-
+    joined by ',' in schema order.
+
+    Sets grow by a column at a time from those that are no key. A bound of the
+    distinct tuples of each (from the sketches, and from products of what
+    its parts have) drops the sets that no further columns can lift to the row count,
+    so only few of all combinations are ever listed, and only sets that may be
+    keys are looked at. Those get sketches of more and more rows until a tuple
+    comes twice; what is left at the end has been verified on all rows.
+    """
     fields = list(df.schema.fields)
     idx = [i for i, f in enumerate(fields) if columns is None or f.name in set(columns)]
-    if not idx:
-        return literal_rows(df.sparkSession, [], "key_columns array<string>, size int")
-    # Level 1 and the pruning bound come from exact distinct counts (the
-    # frequency pass): a tuple can only be a key if the product of its
-    # columns' distinct counts reaches the row count.
-    # rows, NULLs and distinct values of every column from one frequency job
-    present = fq.present()
-    stats = fq.typed_frequencies(df, idx).groupBy("ordinal").agg(
-        F.sum("cnt").alias("n"),
-        F.count(F.when(present, 1)).alias("unique_values"),
-        F.sum(F.when(present, F.col("cnt"))).alias("non_null"),
-    )
-    rows = stats.collect()  # one row per column
-    n = rows[0]["n"] if rows else 0
-    distinct = {r["ordinal"]: (r["unique_values"], r["non_null"] or 0) for r in rows}
-    keys: list[tuple[int, ...]] = [
-        (i,) for i in idx if n > 0 and distinct.get(i, (0, 0)) == (n, n)
-    ]
-    no_nulls = [i for i in idx if distinct.get(i, (0, 0))[1] == n]  # a column with a NULL is in no key
-
-    def possible(c: tuple[int, ...]) -> bool:
-        bound = 1
-        for i in c:
-            bound *= distinct[i][0]
+    hashed = _hashed(df, fields, idx) if idx else df
+    tasks, n, present, single = _column_counts(hashed, idx) if idx else (0, 0, {}, {})
+    parallel = df.sparkSession.sparkContext.defaultParallelism
+    if 2 * tasks < parallel and n > parallel:  # a source that can't be split leaves most cores idle
+        hashed = scratch_table(hashed.repartition(parallel), "hashed")
+    usable = [i for i in idx if present.get(i) == n]  # a column with a NULL is in no key
+    widest = sorted(usable, key=lambda i: -single[i])
+    keys: list[tuple[int, ...]] = []
+
+    def reaches(c: tuple[int, ...], bound: float) -> bool:
+        """Whether the set may be part of a key."""
+        for i in itertools.islice((i for i in widest if i not in c), max_size - len(c)):
+            bound *= single[i]
         return bound >= n
 
-    single = set(keys)
-    levels = {size: [c for c in itertools.combinations(no_nulls, size)
-                     if possible(c) and not any((i,) in single for i in c)]
-              for size in range(2, max_size + 1)}
-    # One pass over a seeded sample prunes every level at once: a duplicate
-    # in the sample is a duplicate in the table (exact pruning).
-    sampled_out: set[tuple[int, ...]] = set()
-    if 0 < sample_fraction < 1:
-        everyone = [c for cs in levels.values() for c in cs]
-        # a few rows rule most out, so the larger sample meets the rest only
-        for fraction in sorted({min(sample_fraction, FIRST_SAMPLE / max(n, 1)), sample_fraction}):
-            left = [c for c in everyone if c not in sampled_out]
-            sample = df.sample(fraction=fraction, seed=seed)
-            sampled_out |= {left[k] for k in _non_keys(sample, fields, left)}
-    for size in range(2, max_size + 1):
-        cands = [c for c in levels[size]
-                 if c not in sampled_out and not any(set(k).issubset(c) for k in keys)]
-        if not cands:
-            continue
-        bad = _non_keys(df, fields, cands)
-        keys.extend(c for k, c in enumerate(cands) if k not in bad)
-    if n == 0:
-        keys = []
+    open_: dict[tuple[int, ...], float] = {(): 1.0}  # no keys, with bounds of their distinct tuples
+    for _ in range(max_size if n else 0):
+        bounds: dict[tuple[int, ...], float] = {}
+        for held, bound in open_.items():
+            for i in usable:
+                if held and i <= held[-1]:
+                    continue
+                c = (*held, i)
+                parts = [open_.get(c[:k] + c[k + 1 :]) for k in range(len(c))]
+                if None in parts:  # a part is a key, or in none
+                    continue
+                bounds[c] = min(b * single[c[k]] for k, b in enumerate(parts))
+        bounds = {c: b for c, b in bounds.items() if reaches(c, b)}
+        left, theta = [c for c, b in bounds.items() if b >= n], min(1.0, SKETCH_ROWS / n)
+        while left and theta < 1:
+            found = _sketches(hashed, idx, left, theta)
+            for k, c in enumerate(left):
+                d, twice = found[k]
+                if twice:
+                    bounds[c] = min(bounds[c], (d + SURE * math.sqrt(d) + SURE * SURE) / theta)
+            left = [c for k, c in enumerate(left) if not found[k][1]]
+            theta = min(1.0, theta * GROWTH)
+        if left:
+            # every part of a set is in open_; the one with most distinct tuples repeats least
+            parts = [max((c[:k] + c[k + 1 :] for k in range(len(c))), key=open_.__getitem__) for c in left]
+            keys += [c for c, fine in zip(left, _verified(hashed, idx, left, parts)) if fine]
+        open_ = {c: b for c, b in bounds.items() if c not in set(keys) and reaches(c, b)}
+    keys.sort(key=lambda c: (len(c), c))
     rows = [([fields[i].name for i in k], len(k)) for k in keys]
     return literal_rows(df.sparkSession, rows, "key_columns array<string>, size int")

@@ -43,8 +43,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def _drop(spark: SparkSession, root: str) -> None:
     with contextlib.suppress(Exception):  # the session may have ended before
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, root)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_table(df: DataFrame, name: str = "table") -> DataFrame:
@@ -52,7 +56,16 @@ def scratch_table(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Deletes scratch tables that nothing reads any more, so that a job of many
+    steps holds the disk of a few."""
+    for table in tables:
+        _delete(table.sparkSession, table.scratch_path)
 
 
 def materialize(df: DataFrame) -> DataFrame:

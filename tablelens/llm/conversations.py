@@ -259,8 +259,8 @@ def _ordered(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("x", F.unhex(F.sha2(F.col("text").cast("binary"), 256))).repartition("conv")
     seen = F.row_number().over(Window.partitionBy("conv", "role", "x").orderBy(F.asc_nulls_first("turn")))
     fault = F.when(bare == "", BLANK).when(seen > 1, SEEN).when(~F.right(bare, F.lit(1)).isin(".", "!", "?"), CUT).otherwise(GOOD)
-    rows = rows.select("conv", "turn", "there", "role", "text", fault.alias("fault"))
-    return rows.sortWithinPartitions(F.asc_nulls_first("conv"), F.asc_nulls_first("turn"), "role", "text", "fault")
+    rows = rows.select("conv", "turn", "there", "role", "text", fault.alias("fault"), seen.alias("nth"))
+    return rows.sortWithinPartitions(F.asc_nulls_first("conv"), F.asc_nulls_first("turn"), "role", "text", "nth")
 
 
 def repair(rows: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Pass 3 (on request) — facts about pairs and tuples of columns.
 
-* ``correlation``: Pearson ρ for every pair of numeric columns, all pairs in
-  one global aggregate (chunked), pairwise-complete rows, ``try_divide`` so a
-  constant column yields NULL instead of a divide-by-zero error.
+* ``correlation``: Pearson ρ for every pair of numeric columns from a
+  co-moment matrix of each task, pairwise-complete rows; a constant column
+  yields NULL.
 * ``composite_keys``: minimal column sets (up to ``max_size``) whose tuples
   are all distinct and never NULL. Sets grow by a column at a time (a superset
   of a key is never minimal), bounded by their distinct tuples, and are looked
@@ -16,9 +16,7 @@ from __future__ import annotations
 import itertools
 import json
 import math
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,20 +36,80 @@ CORR_SCHEMA = T.StructType(
     ]
 )
 
-PAIR_BLOCK = 512
-
-
 def numeric_columns(df: DataFrame) -> list[tuple[int, str]]:
     return [(i, f.name) for i, f in enumerate(df.schema.fields) if is_numeric(f.dataType)]
 
 
+def _moments(p: int):
+    """For mapInArrow over p columns of doubles: the task's co-moments, a row for each pair.
+
+    Batches are numpy matrices. Columns with the same NULLs form a group; two
+    groups are taken over the rows where both have values, shifted by their
+    first row and centred, so that one matrix product gives all their pairs and
+    constants give exact zeros. Batches are merged by the parallel formulas
+    for means and sums of squares. Values that aren't finite are counted apart.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        n, bad = np.zeros((p, p)), np.zeros((p, p))
+        mean, square, cross = np.zeros((p, p)), np.zeros((p, p)), np.zeros((p, p))
+        low, high = np.full((p, p), np.inf), np.full((p, p), -np.inf)
+        some, pending = False, []
+        for b in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1)
+            there = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in b.columns], axis=1)
+            some |= len(x) > 0
+            finite = there & np.isfinite(x)
+            both = there.astype(float)
+            bad += both.T @ both - finite.astype(float).T @ finite
+            groups: dict[bytes, list[int]] = {}
+            for i in range(p):
+                groups.setdefault(np.packbits(finite[:, i]).tobytes(), []).append(i)
+            for one in groups.values():
+                for other in groups.values():
+                    rows = finite[:, one[0]] & finite[:, other[0]]
+                    m = int(rows.sum())
+                    if not m:
+                        continue
+                    left, right = x[np.ix_(rows, one)], x[np.ix_(rows, other)]
+                    centred = []
+                    for part in (left, right):
+                        part = part - part[0]
+                        centred.append(part - part.mean(axis=0))
+                    at = np.ix_(one, other)
+                    here = (left[0] + (left - left[0]).mean(axis=0))[:, None]  # of the left columns
+                    there_ = (right[0] + (right - right[0]).mean(axis=0))[None, :]
+                    total, before = n[at] + m, n[at]
+                    dl, dr = here - mean[at], there_ - mean.T[at]
+                    cross[at] += centred[0].T @ centred[1] + dl * dr * before * m / total
+                    square[at] += (centred[0] ** 2).sum(axis=0)[:, None] + dl**2 * before * m / total
+                    # both halves of `mean` are read above: the other half is another pair of groups' turn
+                    new = mean[at] + dl * m / total
+                    pending.append((at, new, total))
+                    low[at] = np.minimum(low[at], left.min(axis=0)[:, None])
+                    high[at] = np.maximum(high[at], left.max(axis=0)[:, None])
+            for at, new, total in pending:
+                mean[at], n[at] = new, total
+            pending.clear()
+        if some:
+            i, j = np.triu_indices(p, 1)
+            columns = {"n": n[i, j], "bad": bad[i, j], "cross": cross[i, j]}
+            for name, (a, c) in {"x": (i, j), "y": (j, i)}.items():
+                columns |= {f"m{name}": mean[a, c], f"s{name}": square[a, c], f"l{name}": low[a, c], f"h{name}": high[a, c]}
+            yield pa.record_batch({"pair": np.arange(len(i), dtype=np.int32)} | columns)
+
+    return run
+
+
 def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Long form (ordinal_a, column_a, ordinal_b, column_b, rho, pairs), a < b.
 
-    Every row is expanded to one (pair, x, y) record per pair and aggregated
-    by pair id: one fixed set of aggregate functions whatever the number of
-    columns (compact generated code), partial aggregation per task, and a
-    shuffle of at most (#pairs × #tasks) rows.
+    One scan: every task reduces its rows to a co-moment matrix (``_moments``),
+    whatever the number of columns, and a row per pair and task is shuffled
+    and merged.
     """
     nums = numeric_columns(df)
     if columns is not None:
@@ -60,40 +118,33 @@ def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     pairs = list(itertools.combinations(nums, 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], CORR_SCHEMA)
-    # project every numeric column to double once; the expansion then only
-    # copies column references, and the pairwise-complete rule (both values
-    # present) is applied inside the aggregate
-    slots = {i: f"v{i}" for i, _ in nums}
-    base = df.select(*[col_ref(n).cast("double").alias(slots[i]) for i, n in nums])
-    # pairs are expanded in blocks of PAIR_BLOCK, unioned: each block's
-    # generated code stays small, however many columns the table has
-    blocks = []
-    for start in range(0, len(pairs), PAIR_BLOCK):
-        recs = [
-            F.struct(F.lit(k).alias("pair"), F.col(slots[ia]).alias("x"), F.col(slots[ib]).alias("y"))
-            for k, ((ia, _), (ib, _)) in enumerate(pairs[start : start + PAIR_BLOCK], start)
-        ]
-        blocks.append(base.select(F.inline(F.array(*recs))))
-    long = reduce(DataFrame.unionByName, blocks)
-    x, y = F.col("x"), F.col("y")
-    agg = long.groupBy("pair").agg(
-        F.try_divide(
-            F.covar_pop(x, y),
-            F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y)),
-        ).alias("rho"),
-        F.count(F.when(y.isNotNull(), x)).alias("pairs"),
+    names = ["n", "bad", "cross", *[f"{k}{v}" for v in "xy" for k in "mslh"]]
+    base = df.select(*[col_ref(n).cast("double").alias(f"v{i}") for i, n in nums])
+    parts = base.mapInArrow(_moments(len(nums)), "pair int, " + ", ".join(f"{c} double" for c in names))
+    # a row for each task and pair: centred anew on the mean of all tasks
+    of_pair = Window.partitionBy("pair")
+    n = F.col("n")
+    held = parts.select("*", *[F.try_divide(F.sum(n * F.col(f"m{v}")).over(of_pair), F.sum(n).over(of_pair)).alias(f"a{v}") for v in "xy"])
+    dev = {v: F.col(f"m{v}") - F.col(f"a{v}") for v in "xy"}
+    merged = held.groupBy("pair").agg(
+        F.sum("n").alias("n"), F.sum("bad").alias("bad"),
+        F.sum(F.col("cross") + n * dev["x"] * dev["y"]).alias("cross"),
+        *[F.sum(F.col(f"s{v}") + n * dev[v] * dev[v]).alias(f"s{v}") for v in "xy"],
+        *[(F.min(f"l{v}") < F.max(f"h{v}")).alias(f"varies_{v}") for v in "xy"],
     )
+    rho = F.when(F.col("bad") > 0, F.lit(float("nan"))).when(
+        F.col("varies_x") & F.col("varies_y"), F.try_divide(F.col("cross"), F.sqrt("sx") * F.sqrt("sy")))
 
     def lookup(values, dt):
         return F.element_at(F.array(*[F.lit(v).cast(dt) for v in values]), F.col("pair") + 1)
 
-    return agg.select(
+    return merged.select(
         lookup([p[0][0] for p in pairs], "int").alias("ordinal_a"),
         lookup([p[0][1] for p in pairs], "string").alias("column_a"),
         lookup([p[1][0] for p in pairs], "int").alias("ordinal_b"),
         lookup([p[1][1] for p in pairs], "string").alias("column_b"),
-        F.col("rho").cast("double").alias("rho"),
-        F.col("pairs").cast("bigint").alias("pairs"),
+        rho.cast("double").alias("rho"),
+        (F.col("n") + F.col("bad")).cast("bigint").alias("pairs"),
     )
 
 

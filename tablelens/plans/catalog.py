@@ -20,6 +20,7 @@ from ..functions import parsing as P
 from ..functions.types import literal_rows
 from ..operators import frequency as fq
 from ..operators import pairs as pr
+from ..operators import state as st
 from ..operators import warnings as wn
 from ..operators.histogram import category_counts, histogram, month_counts
 from ..operators.typed import typed_values
@@ -981,6 +982,101 @@ def approx_distinct_count(spark, sf):
         "column_name", (off <= F.greatest(F.lit(2), F.col("exact") * 0.08)).alias("close"), "number_non_empty_cells")
 
 
+# ====================================================== states that merge
+
+STATE_COLUMNS = ("column_name", "record_count", "number_non_empty_cells", "distinct_close", "mean", "stddev", "max_length")
+
+
+def _state_sql() -> str:
+    parts = []
+    for n, t in fx.columns(fx.LI_NULLS):
+        number = t in NUMERIC_TYPES
+        finite = f"FILTER (WHERE isfinite(CAST({q(n)} AS DOUBLE)))"
+        mean, std = ((r4(f"avg(CAST({q(n)} AS DOUBLE)) {finite}"), r4(f"stddev_samp(CAST({q(n)} AS DOUBLE)) {finite}")) if number
+                     else ("CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)"))
+        length = f"CAST(max(length({q(n)})) AS BIGINT)" if t == "string" else "CAST(NULL AS BIGINT)"
+        parts.append(f"SELECT '{n}' AS column_name, CAST(count(*) AS BIGINT) AS record_count, CAST(count({q(n)}) AS BIGINT) AS number_non_empty_cells, "
+                     f"true AS distinct_close, {mean} AS mean, {std} AS stddev, {length} AS max_length FROM {_src(fx.LI_NULLS)}")
+    return union(parts)
+
+
+def _held_against_exact(spark, sf, found: DataFrame) -> DataFrame:
+    """Distinct counts within six standard errors (or 2) of the exact ones."""
+    exact = profile(fx.spark_table(spark, sf, fx.LI_NULLS), sections=False, top_k=0, correlations=False).column_report.select(
+        "ordinal", F.col("unique_values").alias("exact"))
+    close = F.abs(F.col("unique_values") - F.col("exact")) <= F.greatest(F.lit(2.0), F.col("exact") * 6 * st.DISTINCT_ERROR)
+    found = found.withColumn("mean", _r4("mean")).withColumn("stddev", _r4("stddev"))
+    return found.join(F.broadcast(exact), "ordinal").withColumn("distinct_close", close).select(*STATE_COLUMNS)  # one row per column
+
+
+@register("merged_state", _state_sql())
+def merged_state(spark, sf):
+    """The profile of a table from the states of four parts of it, one of them empty."""
+    df = fx.spark_table(spark, sf, fx.LI_NULLS)
+    parts = [df.where(F.pmod(F.xxhash64(*df.columns), F.lit(3)) == k) for k in range(3)] + [df.where(F.lit(False))]
+    states = reduce(DataFrame.unionByName, [st.column_states(p) for p in parts])
+    return _held_against_exact(spark, sf, st.finish(st.merge_states(states)))
+
+
+@register("stream_state", _state_sql())
+def stream_state(spark, sf):
+    """The same from the batches of a stream of files."""
+    from ..streaming.arrivals import profile_arrivals, running_profile
+
+    df = fx.spark_table(spark, sf, fx.LI_NULLS)
+    src, out = scratch_path(spark, "growing"), scratch_path(spark, "growing_reports")
+    df.write.option("maxRecordsPerFile", 20_000).parquet(src)
+    profile_arrivals(spark, src, df.schema, out, files_per_batch=64, states=True, sections=False, top_k=0, correlations=False).awaitTermination()
+    return _held_against_exact(spark, sf, running_profile(spark, out))
+
+
+NUMBERS = [n for n, t in fx.TABLES["lineitem"] if t in NUMERIC_TYPES]
+
+
+def _numbers(df: DataFrame) -> DataFrame:
+    """(column_name, x): the numbers of lineitem in long form."""
+    return df.select(*[F.col(n).cast("double").alias(n) for n in NUMBERS]).unpivot([], NUMBERS, "column_name", "x").where("x IS NOT NULL")
+
+
+@register("quantile_ranks", union([f"SELECT '{n}' AS column_name, {p}::DOUBLE AS quantile, true AS within, count({q(n)}) AS n FROM lineitem"
+                                   for n in NUMBERS for p in (0.05, 0.25, 0.5, 0.75, 0.95)]))
+def quantile_ranks(spark, sf):
+    """Quantiles from the KLL sketches: the true ranks of each are within the stated error."""
+    df = fx.read(spark, sf, "lineitem")
+    found = st.finish(st.column_states(df.select(*NUMBERS)), quantiles=(0.05, 0.25, 0.5, 0.75, 0.95))
+    found = found.select("column_name", F.inline(F.arrays_zip(F.col("quantiles").alias("value"), F.col("quantiles_of").alias("quantile"))))
+    both = _numbers(df).join(F.broadcast(found), "column_name")  # five rows per column
+    held = both.groupBy("column_name", "quantile").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x") < F.col("value")).alias("below"), F.count_if(F.col("x") <= F.col("value")).alias("upto"))
+    slack = F.col("n") * st.RANK_ERROR
+    want = F.col("n") * F.col("quantile")
+    return held.select("column_name", "quantile", ((F.col("below") <= want + slack) & (F.col("upto") >= want - slack)).alias("within"), "n")
+
+
+@register("equal_depth_histogram", union([f"SELECT '{n}' AS column_name, {b} AS bucket, true AS within, round(count({q(n)}) / 10.0, 1)::DOUBLE AS depth FROM lineitem"
+                                          for n in NUMBERS for b in range(10)]))
+def equal_depth_histogram(spark, sf):
+    """Equal-depth graph data: the share of numbers up to each bucket's upper bound is right within the stated error."""
+    df = fx.read(spark, sf, "lineitem")
+    found = st.equal_depth(st.column_states(df.select(*NUMBERS))).drop("ordinal")
+    both = _numbers(df).join(F.broadcast(found), "column_name")  # ten rows per column
+    held = both.groupBy("column_name", "bucket", "depth").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x") < F.col("high")).alias("below"), F.count_if(F.col("x") <= F.col("high")).alias("upto"))
+    want, slack = (F.col("bucket") + 1) * F.col("depth"), F.col("n") * st.RANK_ERROR
+    return held.select("column_name", "bucket", ((F.col("below") <= want + slack) & (F.col("upto") >= want - slack)).alias("within"), F.round("depth", 1).alias("depth"))
+
+
+#: Columns of so few values that the heavy-hitter summary holds them all.
+FEW_VALUES = ["l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+
+
+@register("heavy_hitters", union([
+    f"SELECT * FROM (SELECT '{n}' AS column_name, {sql_canon(n, dict(fx.TABLES['lineitem'])[n])} AS value, count(*) AS cnt FROM lineitem WHERE {q(n)} IS NOT NULL GROUP BY ALL ORDER BY cnt DESC, value LIMIT 5)"
+    for n in FEW_VALUES]))
+def heavy_hitters(spark, sf):
+    """Most frequent values without a shuffle of values."""
+    found = st.finish(st.column_states(fx.read(spark, sf, "lineitem").select(*FEW_VALUES)))
+    return found.select("column_name", F.inline("top_values")).withColumnRenamed("count", "cnt")
+
+
 # ============================================== options that leave passes out
 
 _OFF = {"distinct": dict(distinct=False), "correlations": dict(correlations=False), "approx": dict(approx=True)}

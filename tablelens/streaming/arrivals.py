@@ -5,7 +5,10 @@ Each micro-batch of new files is profiled with the same plan as a batch
 table, and its column report is appended, tagged with the batch id, to an
 output folder. Counts add up exactly across batches (rows, NULLs, bytes), so
 ``running_counts`` gives whole-folder totals from the appended reports
-without re-reading any data. Progress is kept in the query's checkpoint
+without re-reading any data. Distinct counts, moments, quantiles and top values
+don't add up; for those each batch also leaves its mergeable state
+(``states=True``, operators/state.py), and ``running_profile`` is the profile of
+the whole folder from the states. Progress is kept in the query's checkpoint
 location, so a restarted query resumes after the last committed batch.
 """
 
@@ -18,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.state import column_states, finish, merge_states
 from ..plans.checkpoint import checkpoint_dir
 from ..plans.report import profile
 from ..sources.readers import UNUSED_NULL_MARKER
@@ -32,6 +36,7 @@ def profile_arrivals(
     checkpoint_location: str | None = None,
     files_per_batch: int | None = None,
     available_now: bool = True,
+    states: bool = False,
     **profile_options,
 ) -> StreamingQuery:
     """Start the stream; returns the StreamingQuery (call awaitTermination)."""
@@ -50,12 +55,23 @@ def profile_arrivals(
         # idempotent per batch id: a replayed batch overwrites its own folder
         rep.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(
             os.path.join(output_dir, f"batch_id={batch_id}"))
+        if states:
+            column_states(batch).write.mode("overwrite").parquet(os.path.join(_states_dir(output_dir), f"batch_id={batch_id}"))
 
     writer = stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
 
 
+def _states_dir(output_dir: str) -> str:
+    return f"{output_dir.rstrip('/')}-states"
+
+
+def running_profile(spark: SparkSession, output_dir: str, **options) -> DataFrame:
+    """The whole folder's profile (state.finish) from the states of its batches."""
+    return finish(merge_states(spark.read.parquet(_states_dir(output_dir)).drop("batch_id")), **options)
+
+
 def read_batches(spark: SparkSession, output_dir: str) -> DataFrame:
     return spark.read.parquet(output_dir)
 

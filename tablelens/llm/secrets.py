@@ -5,7 +5,8 @@ its form. Two first-order Markov models over the characters of identifiers,
 one of random strings and one of ordinary identifiers, find more: of every run
 of RUN or more such characters with a letter and a digit the log-likelihood
 ratio is summed, and a run whose ratio is above that of the prior odds is a
-span of kind `markov` unless it overlaps a base span.
+span of kind `markov`; for short runs the odds must be higher.
+Of a run that a base span overlaps the parts outside are judged each for itself.
 
 Training samples. Ordinary: the runs of four and more characters, without
 what the base rules find, of about TRAIN_ROWS documents, chosen by a hash. Random: as many strings of the alphabets that keys are written in,
@@ -27,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import fresh, named, quoted, text_or_empty
 
 # The base rules and the least length of what they find.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -39,12 +40,14 @@ LEAST_VALUE, LEAST_ACCESS = 8, 16
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-"
 LETTERS = "A-Za-z0-9+/_=.-"
 #: Shortest run that the models judge.
-RUN = 20
-RUNS = f"[{LETTERS}]{{{RUN},}}"
+RUN = 12
+#: Whole runs with a digit and a letter; a run is looked at from its first character only.
+RUNS = f"(?<![{LETTERS}])(?=[A-Za-z+/_=.-]*+[0-9])(?=[0-9+/_=.-]*+[A-Za-z])[{LETTERS}]{{{RUN},}}+"
 #: Documents whose identifiers train the ordinary model, about, and random strings.
 TRAIN_ROWS, RANDOM = 2000, 20_000
-#: A run is a secret if random is this many times likelier.
-ODDS = 1e6
+#: A run is a secret if random is this many times likelier, and e to the power of
+#: SHORT times for each character that it is shorter than PLAIN: ordinary runs are the more the shorter.
+ODDS, PLAIN, SHORT = 1e6, 20, 0.5
 
 SPAN = "array<struct<start:bigint,kind:int,stop:bigint>>"
 
@@ -90,7 +93,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int =
     """The log-likelihood ratio of every pair of characters (row: first one)."""
     t = text_or_empty(text)
     chance = min(1.0, rows / max(1, docs.count()))
-    sample = docs.filter(F.pmod(F.xxhash64(key, t), F.lit(1 << 30)) / (1 << 30) < chance).select(t.alias("t"))
+    sample = docs.filter(F.pmod(F.xxhash64(F.col(quoted(key)), t), F.lit(1 << 30)) / (1 << 30) < chance).select(t.alias("t"))
     clean = F.col("t")
     for pattern in (ASSIGN, ACCESS, HEX):
         clean = F.regexp_replace(clean, pattern, " ")
@@ -114,7 +117,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int =
 
 def ratio(s: Column, table: Column) -> Column:
     """The summed log-likelihood ratio of a run."""
-    codes = F.transform(F.sequence(F.lit(1), F.char_length(s)), lambda i: F.instr(F.lit(ALPHABET), F.substr(s, i, F.lit(1))) - 1)
+    codes = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
     return F.element_at(
         F.transform(
             F.array(codes),
@@ -124,26 +127,41 @@ def ratio(s: Column, table: Column) -> Column:
     )
 
 
-def markov_spans(t: Column, table: list[float], odds: float = ODDS) -> Column:
-    """Spans of the runs that the models take for random."""
+def markov_spans(t: Column, table: list[float], base: Column, odds: float = ODDS) -> Column:
+    """Spans that the models take for random: runs, and what base spans leave of runs."""
     ratios = F.from_json(F.lit(json.dumps(table)), "array<double>")
+    none = F.array().cast(SPAN)
 
     def secret(m: Column) -> Column:
-        mixed = m.rlike("[0-9]") & m.rlike("[A-Za-z]")
-        return mixed & (ratio(m, ratios) >= math.log(odds))
+        least = math.log(odds) + SHORT * F.greatest(F.lit(0), F.lit(PLAIN) - F.char_length(m))
+        return m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (ratio(m, ratios) >= least)
 
-    some = F.exists(F.regexp_extract_all(t, F.lit(RUNS), F.lit(0)), secret)
-    return F.when(some, _spans(t, RUNS, 3, lambda m, i: secret(m))).otherwise(F.array().cast(SPAN))
+    def overlap(b: Column, m: Column) -> Column:
+        return (b["start"] < m["stop"]) & (m["start"] < b["stop"])
 
+    def parts(run: Column) -> Column:
+        def cut(acc: Column, b: Column) -> Column:
+            one = F.array(F.struct(acc["at"].alias("start"), F.lit(3).alias("kind"), b["start"].alias("stop")))
+            return F.struct(F.greatest(acc["at"], b["stop"]).alias("at"), F.when(b["start"] > acc["at"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", table: list[float] | None = None) -> DataFrame:
-    """docs with __assign, __access, __hex and __markov: arrays of spans (start, kind, stop)."""
+        start = F.struct(run["start"].alias("at"), none.alias("out"))
+        last = lambda acc: F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), F.lit(3).alias("kind"), run["stop"].alias("stop"))))
+        return F.aggregate(F.array_sort(F.filter(base, lambda b: overlap(b, run))), start, cut, last)
+
+    whole = F.when(F.exists(F.regexp_extract_all(t, F.lit(RUNS), F.lit(0)), secret), _spans(t, RUNS, 3, lambda m, i: secret(m))).otherwise(none)
+    whole = F.filter(whole, lambda m: ~F.exists(base, lambda b: overlap(b, m)))
+    touched = F.filter(_spans(t, RUNS, 3, lambda m, i: F.lit(True)), lambda m: F.exists(base, lambda b: overlap(b, m)))
+    long_ = lambda m: (m["stop"] - m["start"] >= RUN) & secret(F.substr(t, m["start"] + 1, m["stop"] - m["start"]))
+    left = F.when(F.size(base) > 0, F.filter(F.flatten(F.transform(touched, parts)), long_)).otherwise(none)
+    return F.concat(whole, left)
+
+
+def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", table: list[float] | None = None) -> tuple[DataFrame, list[str]]:
+    """docs with a column of spans (start, kind, stop) for each kind, and the columns' names."""
     table = train(docs, key, text) if table is None else table
-    t = text_or_empty(text)
-    out = docs.withColumns(dict(zip(("__assign", "__access", "__hex", "__markov"), [*base_spans(t), markov_spans(t, table)])))
-    base = F.concat("__assign", "__access", "__hex")
-    alone = F.filter("__markov", lambda m: ~F.exists(base, lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])))
-    return out.withColumn("__markov", F.when(F.size("__markov") > 0, alone).otherwise(F.col("__markov")))
+    names = fresh(docs, "assign", "access", "hex", "markov")
+    out = docs.withColumns(dict(zip(names, base_spans(text_or_empty(text)))))
+    return out.withColumn(names[3], markov_spans(text_or_empty(text), table, F.concat(*names[:3]))), names
 
 
 def as_text(spans: Column) -> Column:
@@ -154,22 +172,25 @@ def as_text(spans: Column) -> Column:
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Counts and spans of every document."""
-    base = F.concat("__assign", "__access", "__hex")
-    return scan(docs.select(key, text), text, key).select(
-        key,
-        F.size("__assign").cast("long").alias("n_assign"),
-        F.size("__access").cast("long").alias("n_access"),
-        F.size("__hex").cast("long").alias("n_hex"),
+    rows = docs.select(named(docs, key).alias("k"), named(docs, text).alias("t"))
+    found, (assign, access, hex_, markov) = scan(rows, "t", "k")
+    base = F.concat(assign, access, hex_)
+    return found.select(
+        F.col("k").alias(key),
+        F.size(assign).cast("long").alias("n_assign"),
+        F.size(access).cast("long").alias("n_access"),
+        F.size(hex_).cast("long").alias("n_hex"),
         F.sha2(as_text(base), 256).alias("base_sha256"),
-        as_text(F.concat(base, "__markov")).alias("spans"),
-        F.size("__markov").cast("long").alias("n_markov"),
+        as_text(F.concat(base, markov)).alias("spans"),
+        F.size(markov).cast("long").alias("n_markov"),
     )
 
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]", table: list[float] | None = None) -> DataFrame:
     """docs with every span (those that overlap together) replaced by `mark`."""
-    found = F.array_sort(F.concat("__assign", "__access", "__hex", "__markov"))
-    t = F.col(text)
+    seen, names = scan(docs, text, key, table)
+    found = F.array_sort(F.concat(*names))
+    t = F.col(quoted(text))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -180,5 +201,5 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str =
     def end(acc: Column) -> Column:
         return F.concat(acc["out"], F.substr(t, acc["at"] + 1, F.greatest(F.char_length(t) - acc["at"], F.lit(0))))
 
-    seen = scan(docs, text, key, table)
-    return seen.withColumn(text, F.when(F.size(found) > 0, F.aggregate(found, start, step, end)).otherwise(t)).select(*docs.columns)
+    clean = F.when(F.size(found) > 0, F.aggregate(found, start, step, end)).otherwise(t)
+    return seen.select(*[(clean if c == text else F.col(quoted(c))).alias(c) for c in docs.columns])

@@ -21,11 +21,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _shipped: set[str] = set()
+#: Bytes of a batch that goes to a Python worker, where the session doesn't say (texts may be long).
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """df.mapInArrow; executors get this package's code from the driver."""
-    sc = df.sparkSession.sparkContext
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def ship(spark: SparkSession) -> None:
+    """Once for an application: the package's code for the executors, and batches of bounded size."""
+    if spark.conf.get(BATCH_BYTES[0], None) is None:
+        spark.conf.set(*BATCH_BYTES)
+    sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         root = Path(__file__).resolve().parents[1]
         path = os.path.join(tempfile.mkdtemp(prefix="tablelens-code-"), f"{root.name}.zip")
@@ -34,7 +44,6 @@ def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
                 z.write(p, p.relative_to(root.parent))
         sc.addPyFile(path)
         _shipped.add(sc.applicationId)
-    return df.mapInArrow(run, schema)
 
 
 def quoted(name: str) -> str:

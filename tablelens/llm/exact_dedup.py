@@ -22,16 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.checkpoint import scratch_table
-from .common import map_arrow, text_or_empty
+from .common import map_arrow, named, text_or_empty
 
 #: Bytes of different contents that a bucket may hold.
-BUCKET_BYTES = 48 << 20
-#: Bytes of different contents that a task holds before it passes them on.
-TASK_BYTES = 48 << 20
+BUCKET_BYTES = 24 << 20
+#: Bytes of different contents, and of what else a task keeps of its rows, that it holds before it passes them on.
+TASK_BYTES = 24 << 20
 #: Into how many buckets a bucket that does not fit is partitioned again.
 FAN_OUT = 8
 #: Buckets that are too large are sent to all tasks up to this number, else joined.
@@ -89,30 +90,31 @@ class ContentTable:
 
 
 def _best(entry: np.ndarray, key: pa.Array) -> np.ndarray:
-    """For each entry the row with the largest key, null keys last, then the last row."""
-    value = key.fill_null(0).to_numpy(zero_copy_only=False)
-    order = np.lexsort((np.arange(len(entry)), value, key.is_valid().to_numpy(zero_copy_only=False), entry))
+    """For each entry the row with the largest key (of any type), null keys last, then the last row."""
+    rows = pa.table({"entry": entry, "null": key.is_valid(), "key": key})
+    order = pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in rows.column_names]).to_numpy()
     return order[np.append(np.flatnonzero(np.diff(entry[order])), len(order) - 1)]
 
 
 def _slim(docs: DataFrame, key: str, text: str, whole: bool) -> DataFrame:
     t = text_or_empty(text)
-    rest = F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != text], docs[text].isNull().alias("__null")) if whole else F.lit(0)
-    return docs.select(docs[key].cast("long").alias("k"), F.xxhash64(t).alias("h"), t.cast("binary").alias("t"), rest.alias("rest"))
+    others = [named(docs, c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text]
+    rest = F.struct(*others, named(docs, text).isNull().alias("null")) if whole else F.lit(0)
+    return docs.select(named(docs, key).alias("k"), F.xxhash64(t).alias("h"), t.cast("binary").alias("t"), rest.alias("rest"))
 
 
 def _build(slim: DataFrame, members: bool) -> DataFrame:
     """Rows with a content: the best row of each content in a task (n: its rows).
     With `members` also a row without content for each row of the input; g says
     which content of which task it has, r is its number."""
-    rest = slim.schema["rest"].dataType.simpleString()
+    rest, kind = (slim.schema[c].dataType.simpleString() for c in ("rest", "k"))
     out = ["k", "r", "g", "n", "h", "t", "rest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 33
-        table, kept, entries = ContentTable(), [], []
+        table, kept, entries, held = ContentTable(), [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal number
@@ -127,8 +129,10 @@ def _build(slim: DataFrame, members: bool) -> DataFrame:
                 contents = pa.array([table.content[e] for e in entry[at]], pa.binary())
                 yield pa.record_batch([k.take(some), pa.array(r[at]), pa.array(g[at]), pa.array(count[entry[at]]), pa.array(table.hash[entry[at]].view(np.int64)), contents, rest_.take(some)], out)
             if members:
-                none = [pa.nulls(len(entry), t) for t in (pa.int64(), pa.int64(), pa.binary(), rest_.type)]
-                yield pa.record_batch([k, pa.array(r), pa.array(g), *none], out)
+                for lo in range(0, len(entry), 65_536):
+                    some = slice(lo, lo + 65_536)
+                    none = [pa.nulls(len(entry[some]), t) for t in (pa.int64(), pa.int64(), pa.binary(), rest_.type)]
+                    yield pa.record_batch([k[some], pa.array(r[some]), pa.array(g[some]), *none], out)
             number += len(entry)
 
         for b in batches:
@@ -136,13 +140,14 @@ def _build(slim: DataFrame, members: bool) -> DataFrame:
                 some = b.slice(lo, 512)
                 entries.append(table.add(some.column("h").to_numpy().view(np.uint64), some.column("t").to_pylist()))
                 kept.append(pa.record_batch([some.column("k"), pa.concat_arrays([some.column("rest")])], ["k", "rest"]))
-                if table.bytes > TASK_BYTES:
+                held += kept[-1].nbytes + 32 * len(some)
+                if table.bytes + held > TASK_BYTES:
                     yield from flush()
-                    table, kept, entries = ContentTable(), [], []
+                    table, kept, entries, held = ContentTable(), [], [], 0
         if kept:
             yield from flush()
 
-    return map_arrow(slim, run, f"k long, r long, g long, n long, h long, t binary, rest {rest}")
+    return map_arrow(slim, run, f"k {kind}, r long, g long, n long, h long, t binary, rest {rest}")
 
 
 def _buckets(built: DataFrame) -> DataFrame:
@@ -194,7 +199,7 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         r = rows.column("r").combine_chunks()
         yield pa.record_batch([rows.column("g").combine_chunks(), k.take(at), r.take(at), pa.array(size[entry]), rows.column("rest").combine_chunks().take(at)], ["g", "keep", "keep_r", "group_size", "digest"])
 
-    groups = _probe(_buckets(built), "g long, keep long, keep_r long, group_size long, digest string", emit)
+    groups = _probe(_buckets(built), f"g long, keep {built.schema['k'].dataType.simpleString()}, keep_r long, group_size long, digest string", emit)
     rows = built.filter("t IS NULL").select("k", "r", "g")
     return rows.join(groups, "g").select(F.col("k").alias(key), "keep", "group_size", (F.col("r") == F.col("keep_r")).alias("kept"), "digest")
 
@@ -213,4 +218,5 @@ def distinct(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     found = _probe(_buckets(built), f"rest {rest}, t binary", emit)
     kind = docs.schema[text].dataType
-    return found.select(*[F.when(~F.col("rest.__null"), F.col("t").cast("string")).cast(kind).alias(c) if c == text else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
+    body = F.when(~F.col("rest.null"), F.col("t").cast("string")).cast(kind)
+    return found.select(*[(body if c == text else F.col(f"rest.c{i}")).alias(c) for i, c in enumerate(docs.columns)])

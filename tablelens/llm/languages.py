@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..plans.checkpoint import scratch_table
 from .bpe import LETTER, classes, splitmix
-from .common import map_arrow, offsets, steps, text_or_empty
+from .common import fresh, map_arrow, named, offsets, quoted, ship, steps
 
 #: Rows of each language that train, about.
 TRAIN_ROWS = 2000
@@ -153,19 +153,20 @@ def decode(margin: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np
 
 def remainder(key: str) -> Column:
     """crc32 of the key as text, mod 4."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % 4
+    return F.crc32(F.col(quoted(key)).cast("string").cast("binary")) % 4
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> Model | None:
     """Learns from rows with a label whose remainder is not 2."""
-    labelled = docs.filter((remainder(key) != 2) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r["l"]: r["n"] for r in labelled.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).collect()}
+    labelled = docs.filter((remainder(key) != 2) & named(docs, lang).isNotNull() & named(docs, text).isNotNull())
+    labelled = labelled.select(named(docs, key).alias("k"), named(docs, lang).alias("l"), named(docs, text).alias("t"))
+    counts = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count("*").alias("n")).collect()}
     names = sorted(counts)
     if not names:
         return None
-    chance = F.element_at(F.create_map(*[x for l in names for x in (F.lit(l), F.lit(min(1.0, rows / counts[l])))]), F.col(lang))
-    drawn = F.pmod(F.xxhash64(key, text), F.lit(1 << 30)) / (1 << 30) < chance
-    sample = scratch_table(labelled.filter(drawn).select(F.col(lang).alias("l"), F.col(text).alias("t")), "sample")
+    chance = F.element_at(F.create_map(*[x for l in names for x in (F.lit(l), F.lit(min(1.0, rows / counts[l])))]), F.col("l"))
+    drawn = F.pmod(F.xxhash64("k", "t"), F.lit(1 << 30)) / (1 << 30) < chance
+    sample = scratch_table(labelled.filter(drawn).select("l", "t"), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
@@ -226,36 +227,38 @@ def calibrate(z: np.ndarray, y: np.ndarray, turns: int = 50, ridge: float = 1e-2
     return float(w[0] / spread), float(w[1] - w[0] * centre / spread)
 
 
-def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """docs with __lang, __score and __ambiguous."""
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    columns = list(docs.columns)
-    at = columns.index(text)
+def languages_of(docs: DataFrame, model: Model | None, text: str = "text") -> Column:
+    """(lang, score, ambiguous) of each row's text; only the text goes to Python."""
+    ship(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [t or "" for t in b.column(at).to_pylist()]
-            for lo, hi in steps(texts, 4 * STEP):
-                some = texts[lo:hi]
-                lang, score, unsure = [UND] * len(some), np.zeros(len(some)), np.zeros(len(some), bool)
-                if model:
-                    mean, n = means(some, model.odds)
-                    best, value, vague = decode(margins(mean, n, model), model)
-                    lang = [model.languages[x] if c else UND for x, c in zip(best, n)]
-                    score, unsure = np.where(n > 0, value, 0.0), vague & (n > 0)
-                yield pa.record_batch([*b.slice(lo, hi - lo).columns, pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], [*columns, "__lang", "__score", "__ambiguous"])
+    def found(texts: pa.Array) -> pa.Array:
+        held, out = [t or "" for t in texts.to_pylist()], ([], [], [])
+        for lo, hi in steps(held, 4 * STEP):
+            some = held[lo:hi]
+            lang, score, unsure = [UND] * len(some), np.zeros(len(some)), np.zeros(len(some), bool)
+            if model:
+                mean, n = means(some, model.odds)
+                best, value, vague = decode(margins(mean, n, model), model)
+                lang = [model.languages[x] if c else UND for x, c in zip(best, n)]
+                score, unsure = np.where(n > 0, value, 0.0), vague & (n > 0)
+            for column, values in zip(out, (lang, score, unsure)):
+                column.extend(values)
+        kinds = (pa.string(), pa.float64(), pa.bool_())
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["lang", "score", "ambiguous"])
 
-    return map_arrow(docs, run, f"{names}, __lang string, __score double, __ambiguous boolean")
+    return F.arrow_udf(found, "lang string, score double, ambiguous boolean")(named(docs, text))
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """key, held_out, lang_pred, score and ambiguous of every row."""
-    model = fit(docs, key, text, lang)
-    found = identify(docs.select(key, text_or_empty(text).alias("t")), model, "t")
-    return found.select(key, F.coalesce(remainder(key) == 2, F.lit(False)).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), F.col("__ambiguous").alias("ambiguous"))
+    found = languages_of(docs, fit(docs, key, text, lang), text)
+    rows = docs.select(named(docs, key).alias("k"), found.alias("found"))
+    out = rows.select("k", F.coalesce(remainder("k") == 2, F.lit(False)).alias("held_out"), F.col("found.lang").alias("lang_pred"), "found.score", "found.ambiguous")
+    return out.withColumnRenamed("k", key)
 
 
 def accepted(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows whose text has a language."""
-    found = identify(docs, fit(docs, key, text, lang), text)
-    return found.filter(F.col("__lang") != UND).select(*docs.columns)
+    (column,) = fresh(docs, "found")
+    found = docs.withColumn(column, languages_of(docs, fit(docs, key, text, lang), text))
+    return found.filter(F.col(column)["lang"] != UND).drop(column)

@@ -39,6 +39,8 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 CAPACITY = 4096
 #: The id after each document.
 END = 1
+#: Characters encoded at once.
+STEP = 1_000_000
 #: Pieces that a task packs at once.
 GROUP = 16_384
 #: Of a bin with more pieces only pairs that stand less than this apart are exchanged for one.
@@ -55,7 +57,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str =
         codec = word_codec(path)
         for b in batches:
             texts, keys = b.column(1).to_pylist(), b.column(0)
-            for lo, hi in steps(texts):
+            for lo, hi in steps(texts, STEP):
                 ids, lens = codec.encode(texts[lo:hi])
                 cut = np.cumsum(lens)
                 raw = np.insert(ids, cut, end).astype("<u4")  # the end id after each document

@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import parsing as P
 from ..functions.types import literal_rows
@@ -632,6 +633,29 @@ def csv_scan(spark, sf):
     return _orders_out(readers.csv_scan(spark, path))
 
 
+@register("bad_records", """
+SELECT count(*) AS records, count_if(o_orderkey % 97 IN (0, 1, 2)) AS bad_records, count_if(o_orderkey % 97 NOT IN (0, 1, 2)) AS good_rows,
+       CAST(sum(o_custkey) FILTER (o_orderkey % 97 NOT IN (0, 1, 2)) AS BIGINT) AS custkeys,
+       count_if(o_orderkey % 97 = 0) AS kept_lines FROM orders""")
+def bad_records(spark, sf):
+    """orders as CSV lines, some with a word for a number, a field more or one
+    less: all are counted in the scan that reads the others."""
+    key, cust, price = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_totalprice")
+    kind = key % 97
+    line = F.when(kind == 0, F.concat_ws(",", key, cust, F.lit("not a number"))).when(kind == 1, F.concat_ws(",", key, cust, price, F.lit("more"))).when(
+        kind == 2, F.concat_ws(",", key, cust)).otherwise(F.concat_ws(",", key, cust, price))
+    path = scratch_path(spark, "orders_with_bad_lines")
+    fx.read(spark, sf, "orders").select(line.alias("value")).write.text(path)
+    schema = "o_orderkey bigint, o_custkey bigint, o_totalprice double"
+    rows, seen = readers.load_checked(spark, path, T.StructType.fromDDL(schema), "csv", header="false")
+    good = F.col("_bad_record").isNull()
+    facts = rows.agg(F.count_if(good).alias("good_rows"), F.sum(F.when(good, F.col("o_custkey"))).alias("custkeys"),
+                     F.count_if(F.col("_bad_record").endswith("not a number")).alias("kept_lines")).first()  # one row
+    counts = seen.get
+    return literal_rows(spark, [(counts["records"], counts["bad_records"], *facts)],
+                        "records bigint, bad_records bigint, good_rows bigint, custkeys bigint, kept_lines bigint")
+
+
 @register("tsv_to_csv", ORDERS_OUT_SQL)
 def tsv_to_csv(spark, sf):
     tsv = scratch_path(spark, "orders_tsv")

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.scalars import col_ref
 
@@ -68,6 +69,24 @@ def load(spark: SparkSession, path: str, fmt: str | None = None, schema=None, **
     return reader.load(path)
 
 
+def load_checked(spark: SparkSession, path: str, schema: T.StructType, fmt: str | None = None, bad: str = "_bad_record",
+                 **options) -> tuple[DataFrame, Observation]:
+    """A CSV, TSV or JSON source read under a schema, with what doesn't fit it
+    accounted for. Rows that can't be parsed (a value of another type, too few or too many
+    fields) keep what could be read and hold their whole line in the column ``bad``,
+    which is NULL otherwise. The second value has ``records``, ``bad_records``
+    and a ``checksum`` of all fields (it doesn't depend on the order of rows) after the
+    first action, from that same scan: no second pass, whatever the action reads.
+    """
+    whole = T.StructType([*schema.fields, T.StructField(bad, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad, "columnPruning": "false"} | options
+    seen = Observation()
+    rows = load(spark, path, fmt, whole, **options)
+    # the checksum needs all fields: they are parsed whatever columns are used, or the count would depend on them
+    checksum = F.bit_xor(F.xxhash64(*[col_ref(f.name) for f in schema.fields]))
+    return rows.observe(seen, F.count(F.lit(1)).alias("records"), F.count(col_ref(bad)).alias("bad_records"), checksum.alias("checksum")), seen
+
+
 def csv_scan(spark: SparkSession, path: str, sep: str = ",", schema=None, **options) -> DataFrame:
     return load(spark, path, "csv", schema=schema, sep=sep, **options)
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import parsing as P
+from ..functions.shapes import shaped_timestamp
 from ..functions.types import literal_rows
 from ..operators import frequency as fq
 from ..operators import pairs as pr
@@ -972,6 +973,28 @@ def warnings_q(spark, sf):
     return p.warnings.select("column_name", "warning", _r4("value").alias("value"), "rejected")
 
 
+# ============================================================ dates by shape
+
+SHAPED = ["yyyyMMdd", "dd MMM yyyy", "MMMM d, yyyy HH:mm:ss", "MM/dd/yyyy hh:mm:ss a", "dd-MMM-yy", "yyyyMMdd'T'HHmmss"]
+
+
+@register("date_shapes", """
+WITH e AS (SELECT event_id % 6 AS layout, date_trunc(CASE WHEN event_id % 6 IN (0, 1, 4) THEN 'day' ELSE 'second' END, ts) AS t FROM events WHERE ts IS NOT NULL)
+SELECT CAST(layout AS INTEGER) AS layout, count(*) AS n, count(t) AS right_, strftime(min(t), '%Y-%m-%d %H:%M:%S') AS first_, strftime(max(t), '%Y-%m-%d %H:%M:%S') AS last_
+FROM e GROUP BY layout""")
+def date_shapes(spark, sf):
+    """events.ts written in six layouts (names of months, no separators, 12
+    hours, years of two digits) and read by the shape of each different text."""
+    events = fx.read(spark, sf, "events").where("ts IS NOT NULL").select((F.col("event_id") % 6).cast("int").alias("layout"), "ts")
+    whole = F.when(F.col("layout").isin(0, 1, 4), F.date_trunc("day", "ts")).otherwise(F.date_trunc("second", "ts")).cast("timestamp_ntz")
+    text = F.coalesce(*[F.when(F.col("layout") == k, F.date_format("ts", f)) for k, f in enumerate(SHAPED)])
+    values = events.select("layout", text.alias("value"), whole.alias("t")).groupBy("layout", "value", "t").agg(F.count(F.lit(1)).alias("cnt"))
+    read = values.withColumn("read", shaped_timestamp(F.col("value")))
+    shown = lambda f: F.date_format(f("read"), "yyyy-MM-dd HH:mm:ss")
+    return read.groupBy("layout").agg(F.sum("cnt").alias("n"), F.sum(F.when(F.col("read") == F.col("t"), F.col("cnt"))).alias("right_"),
+                                      shown(F.min).alias("first_"), shown(F.max).alias("last_"))
+
+
 # ============================================================ streaming
 
 @register("stream_profile", union([

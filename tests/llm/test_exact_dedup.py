@@ -64,3 +64,23 @@ def test_table_compares_contents_when_hashes_are_equal():
     got = np.concatenate([table.add(h[:90], words[:90]), table.add(h[90:], words[90:])])
     assert [table.content[e] for e in got] == words
     assert len(table.content) == 40
+
+
+def test_any_key_and_any_names(spark):
+    """Text keys, dots in names, and columns named as the operator's own."""
+    docs = spark.createDataFrame(
+        [("k1", "a", 1, 2, 3), ("k3", "a", 1, 2, 3), (None, "a", 1, 2, 3), ("k2", None, 1, 2, 3), ("k20", "", 1, 2, 3)],
+        "`a.b` string, text string, __null int, rest int, t int",
+    )
+    got = {r["a.b"]: (r["keep"], r["group_size"], r["kept"]) for r in exact_dedup.duplicates(docs, "a.b").collect()}
+    assert got == {"k1": ("k3", 3, False), "k3": ("k3", 3, True), None: ("k3", 3, False), "k2": ("k20", 2, False), "k20": ("k20", 2, True)}
+    kept = exact_dedup.distinct(docs, "a.b")
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [("k20", "", 1, 2, 3), ("k3", "a", 1, 2, 3)]
+
+
+def test_one_text_repeated_is_passed_on_in_parts(spark, monkeypatch):
+    """What a task holds is bounded by its rows, too, not by different texts alone."""
+    monkeypatch.setattr(exact_dedup, "TASK_BYTES", 100_000)
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "'same' AS text").coalesce(1)
+    got = exact_dedup.duplicates(docs)
+    assert got.count() == 20_000 and [(r.doc_id, r.group_size) for r in got.filter("kept").collect()] == [(19_999, 20_000)]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
@@ -9,6 +12,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +32,20 @@ BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """df.mapInArrow; executors get this package's code from the driver."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(task, schema)
+
+
+def give_back() -> None:
+    """Workers live on between stages: what a task no longer uses goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where there is no glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def ship(spark: SparkSession) -> None:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..plans.checkpoint import scratch_table
 from .bpe import LETTER, classes, splitmix
-from .common import fresh, map_arrow, named, offsets, quoted, ship, steps
+from .common import fresh, give_back, map_arrow, named, offsets, quoted, ship, steps
 
 #: Rows of each language that train, about.
 TRAIN_ROWS = 2000
@@ -244,6 +244,7 @@ def languages_of(docs: DataFrame, model: Model | None, text: str = "text") -> Co
             for column, values in zip(out, (lang, score, unsure)):
                 column.extend(values)
         kinds = (pa.string(), pa.float64(), pa.bool_())
+        give_back()
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["lang", "score", "ambiguous"])
 
     return F.arrow_udf(found, "lang string, score double, ambiguous boolean")(named(docs, text))

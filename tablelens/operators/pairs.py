@@ -13,14 +13,17 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 import json
 import math
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.checkpoint import scratch_table
+from ..plans.checkpoint import drop_tables, scratch_table
 from ..functions.types import is_float_like, is_numeric, literal_rows
 from .frequency import to_slot
 from .scalars import col_ref
@@ -152,8 +155,10 @@ def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 #: Rows of a candidate's first sketch, about, and how many times more each next one has.
 SKETCH_ROWS, GROWTH = 1 << 13, 16
-#: Candidates of a job.
-KEY_CHUNK = 4096
+#: The largest part of the rows that is sketched before all are looked at.
+LAST = 0.5
+#: Candidates of a job, and the rows (of all its candidates) that it shuffles, about: more only for one candidate.
+KEY_CHUNK, SHIPPED = 4096, 1 << 24
 #: Repeated tuples of parts that are sent to all tasks at most (some 20 bytes each).
 FEW = 200_000
 #: Relative error of a single column's distinct count.
@@ -169,18 +174,18 @@ def _key_value(c, dt: T.DataType):
 
 
 def _hashed(df: DataFrame, fields: list[T.StructField], idx: list[int]) -> DataFrame:
-    """(d1, d2): two 64-bit hashes of each column's value, NULL for NULL."""
-    def of(half: int) -> Column:
-        values = ((i, _key_value(col_ref(fields[i].name), fields[i].dataType)) for i in idx)
-        return F.array(*[F.when(v.isNotNull(), F.xxhash64(F.lit(half), F.lit(i), v)) for i, v in values]).alias(f"d{half}")
-
-    return df.select(of(1), of(2))
+    """(a0, b0, a1, ...): two 64-bit hashes of each column's value, NULL for NULL. A job reads
+    only the columns of its sets."""
+    values = [(k, i, _key_value(col_ref(fields[i].name), fields[i].dataType)) for k, i in enumerate(idx)]
+    return df.select(*[F.when(v.isNotNull(), F.xxhash64(F.lit(half), F.lit(i), v)).alias(f"{name}{k}")
+                       for half, name in ((1, "a"), (2, "b")) for k, i, v in values])
 
 
 def _column_counts(hashed: DataFrame, idx: list[int]) -> tuple[int, int, dict[int, int], dict[int, float]]:
     """Tasks that had rows, rows, each column's values that aren't NULL, and an
     upper bound of its distinct values: one scan, a HyperLogLog buffer a column in each task."""
-    got = hashed.select(F.spark_partition_id().alias("p"), F.posexplode("d1").alias("at", "h")).groupBy("at").agg(
+    own = F.array(*[f"a{k}" for k in range(len(idx))])
+    got = hashed.select(F.spark_partition_id().alias("p"), F.posexplode(own).alias("at", "h")).groupBy("at").agg(
         F.count(F.lit(1)).alias("n"), F.count("h").alias("present"), F.approx_count_distinct("h", KEY_RSD).alias("d"),
         F.approx_count_distinct("p").alias("tasks")).collect()  # one row per column
     n, tasks = (got[0]["n"], got[0]["tasks"]) if got else (0, 0)
@@ -190,54 +195,97 @@ def _column_counts(hashed: DataFrame, idx: list[int]) -> tuple[int, int, dict[in
 def _tuples(hashed: DataFrame, idx: list[int], sets: dict[str, list[tuple[int, ...]]]) -> DataFrame:
     """(cand, then h1 and h2 for each name): the tuples of every row for a list of
     column sets under each name, as 128-bit digests (different ones prove different tuples)."""
+    used = sorted({i for cs in sets.values() for c in cs for i in c})
     # place 0 of the hashes is no column
-    held = hashed.select(*[F.concat(F.array(F.lit(0).cast("long")), F.col(f"d{half}")).alias(f"d{half}") for half in (1, 2)])
+    held = hashed.select(*[F.array(F.lit(0).cast("long"), *[F.col(f"{name}{idx.index(i)}") for i in used]).alias(f"d{half}") for half, name in ((1, "a"), (2, "b"))])
     size = {name: max(map(len, cs)) for name, cs in sets.items()}
-    rows = [{"cand": k} | {name: [idx.index(i) + 1 for i in c] + [0] * (size[name] - len(c)) for name, c in zip(sets, cs)}
+    rows = [{"cand": k} | {name: [used.index(i) + 1 for i in c] + [0] * (size[name] - len(c)) for name, c in zip(sets, cs)}
             for k, cs in enumerate(zip(*sets.values()))]
     listed = F.from_json(F.lit(json.dumps(rows)), f"array<struct<cand:int,{','.join(f'{name}:array<int>' for name in sets)}>>")
     xor = lambda name, half: F.expr(" ^ ".join(f"d{half}[{name}[{j}]]" for j in range(size[name]))).alias(f"{name}_h{half}")
     return held.select("d1", "d2", F.inline(listed)).select("cand", *[xor(name, half) for name in sets for half in (1, 2)])
 
 
-def _sketches(hashed: DataFrame, idx: list[int], cands: list[tuple[int, ...]], theta: float) -> dict[int, tuple[int, bool]]:
+def _parts_of(sets: list, rows: float) -> Iterator[list]:
+    """The sets of one job after another, each of which groups about ``rows`` rows of every
+    set: together no more than SHIPPED, or one set."""
+    step = max(1, min(KEY_CHUNK, int(SHIPPED / max(1, rows))))
+    for start in range(0, len(sets), step):
+        yield sets[start : start + step]
+
+
+def _freed(spark: SparkSession, rows: float) -> None:
+    """Spark deletes the files of a shuffle when the driver no longer holds its plan, so
+    after a job of many rows the plans go at once: disk is that of one job."""
+    if rows >= SHIPPED / 8:
+        gc.collect()
+        spark._jvm.System.gc()
+
+
+def _sketches(hashed: DataFrame, idx: list[int], cands: list[tuple[int, ...]], theta: float) -> dict[int, tuple[int, int]]:
     """For each candidate the distinct tuples whose digest lies below a fraction
-    ``theta`` of its range, and whether one of them occurs twice.
+    ``theta`` of its range, and how many of them occur twice.
 
     That sketch merges by union, its size is about ``theta`` times the distinct
     tuples, and as all copies of a tuple are in it or none, a tuple found
     twice proves that the candidate isn't a key. Only digests below the
     fraction leave a task.
     """
-    out: dict[int, tuple[int, bool]] = {}
+    out: dict[int, tuple[int, int]] = {}
     for start in range(0, len(cands), KEY_CHUNK):
         keyed = _tuples(hashed, idx, {"own": cands[start : start + KEY_CHUNK]})
         if theta < 1:
             keyed = keyed.where(F.col("own_h1").bitwiseAND(F.lit((1 << 63) - 1)) < int(theta * (1 << 63)))
         held = keyed.groupBy("cand", "own_h1", "own_h2").agg(F.count(F.lit(1)).alias("cnt"))
-        for r in held.groupBy("cand").agg(F.count(F.lit(1)).alias("d"), F.max("cnt").alias("most")).collect():  # one row per candidate
-            out[start + r["cand"]] = (r["d"], r["most"] > 1)
-    return {k: out.get(k, (0, False)) for k in range(len(cands))}
-
-
-def _verified(hashed: DataFrame, idx: list[int], cands: list[tuple[int, ...]], parts: list[tuple[int, ...]]) -> list[bool]:
+        for r in held.groupBy("cand").agg(F.count(F.lit(1)).alias("d"), F.count_if(F.col("cnt") > 1).alias("twice")).collect():  # one row per candidate
+            out[start + r["cand"]] = (r["d"], r["twice"])
+    return {k: out.get(k, (0, 0)) for k in range(len(cands))}
+
+
+def _all_rows(hashed: DataFrame, idx: list[int], cands: list[tuple[int, ...]]) -> list[bool]:
+    """Whether each candidate is a key, by grouping all rows: half digests that differ prove
+    different tuples, so only these are shuffled. Where one comes twice, its
+    rows' other halves are compared; a collision of the first halves is grouped by both."""
+    halves = _tuples(hashed, idx, {"own": cands}).groupBy("cand", "own_h1").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1")
+    twice = {r["cand"]: r["h"] for r in halves.groupBy("cand").agg(F.min("own_h1").alias("h")).collect()}  # one row per candidate
+    if not twice:
+        return [True] * len(cands)
+    asked = sorted(twice)
+    one = F.element_at(F.array(*[F.lit(twice[k]) for k in asked]), F.col("cand") + 1)
+    same = _tuples(hashed, idx, {"own": [cands[k] for k in asked]}).where(F.col("own_h1") == one)
+    same = same.groupBy("cand", "own_h1", "own_h2").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1").select("cand").distinct()
+    bad = {asked[r["cand"]] for r in same.collect()}
+    unsure = [k for k in asked if k not in bad]
+    if unsure:
+        both = _sketches(hashed, idx, [cands[k] for k in unsure], 1.0)
+        bad |= {k for j, k in enumerate(unsure) if both[j][1]}
+    return [k not in bad for k in range(len(cands))]
+
+
+def _verified(hashed: DataFrame, idx: list[int], n: int, cands: list[tuple[int, ...]], parts: list[tuple[int, ...]], repeats: dict[tuple[int, ...], float]) -> list[bool]:
     """Whether each candidate is a key, by all rows. A tuple that comes twice does so
-    in each part as well, so of every candidate only rows are grouped whose tuple
-    in its largest part comes twice; a part is grouped once for all candidates.
-    Without parts, or if they repeat too much, all rows are grouped."""
-    own = list(dict.fromkeys(parts))
-    if own != [()]:
+    in each part as well, so of a candidate only rows are grouped whose tuple
+    in its part comes twice; a part is grouped once for all candidates.
+    Without parts, or if they repeat too much (``repeats``, an estimate, then
+    the count), all rows are grouped."""
+    fine: dict[tuple[int, ...], bool] = {}
+    for own in _parts_of([p for p in dict.fromkeys(parts) if p and repeats.get(p, FEW) < FEW], n):
         twice = _tuples(hashed, idx, {"own": own}).groupBy("cand", "own_h1", "own_h2").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1")
         twice = scratch_table(twice.select(F.col("cand").alias("p"), F.col("own_h1").alias("p1"), F.col("own_h2").alias("p2")), "twice")
+        some = [(c, p) for c, p in zip(cands, parts) if p in own]
         if twice.limit(FEW + 1).count() <= FEW:
-            part_of = F.element_at(F.array(*[F.lit(own.index(p)) for p in parts]), F.col("cand") + 1)
-            keyed = _tuples(hashed, idx, {"own": cands, "part": parts}).withColumn("p", part_of)
+            part_of = F.element_at(F.array(*[F.lit(own.index(p)) for _, p in some]), F.col("cand") + 1)
+            keyed = _tuples(hashed, idx, {"own": [c for c, _ in some], "part": [p for _, p in some]}).withColumn("p", part_of)
             keyed = keyed.join(F.broadcast(twice), (keyed["p"] == twice["p"]) & (F.col("part_h1") == F.col("p1")) & (F.col("part_h2") == F.col("p2")), "left_semi")
             bad = keyed.groupBy("cand", "own_h1", "own_h2").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1").select("cand").distinct()
             gone = {r["cand"] for r in bad.collect()}  # candidates only
-            return [k not in gone for k in range(len(cands))]
-    found = _sketches(hashed, idx, cands, 1.0)
-    return [not found[k][1] for k in range(len(cands))]
+            fine |= {c: k not in gone for k, (c, _) in enumerate(some)}
+        drop_tables(twice)
+        _freed(hashed.sparkSession, n * len(own))
+    for some in _parts_of([c for c in cands if c not in fine], n):
+        fine |= dict(zip(some, _all_rows(hashed, idx, some)))
+        _freed(hashed.sparkSession, n * len(some))
+    return [fine[c] for c in cands]
 
 
 def composite_keys(df: DataFrame, max_size: int = 3, columns: list[str] | None = None) -> DataFrame:
@@ -261,6 +309,7 @@ def composite_keys(df: DataFrame, max_size: int = 3, columns: list[str] | None =
     usable = [i for i in idx if present.get(i) == n]  # a column with a NULL is in no key
     widest = sorted(usable, key=lambda i: -single[i])
     keys: list[tuple[int, ...]] = []
+    repeats: dict[tuple[int, ...], float] = {}  # estimates of the tuples that come twice
 
     def reaches(c: tuple[int, ...], bound: float) -> bool:
         """Whether the set may be part of a key."""
@@ -282,18 +331,25 @@ def composite_keys(df: DataFrame, max_size: int = 3, columns: list[str] | None =
                 bounds[c] = min(b * single[c[k]] for k, b in enumerate(parts))
         bounds = {c: b for c, b in bounds.items() if reaches(c, b)}
         left, theta = [c for c, b in bounds.items() if b >= n], min(1.0, SKETCH_ROWS / n)
-        while left and theta < 1:
-            found = _sketches(hashed, idx, left, theta)
-            for k, c in enumerate(left):
-                d, twice = found[k]
-                if twice:
-                    bounds[c] = min(bounds[c], (d + SURE * math.sqrt(d) + SURE * SURE) / theta)
-            left = [c for k, c in enumerate(left) if not found[k][1]]
-            theta = min(1.0, theta * GROWTH)
+        while left and theta < LAST:
+            unseen = []
+            for some in _parts_of(left, theta * n):
+                found = _sketches(hashed, idx, some, theta)
+                for k, c in enumerate(some):
+                    d, twice = found[k]
+                    if twice:
+                        bounds[c] = min(bounds[c], (d + SURE * math.sqrt(d) + SURE * SURE) / theta)
+                        repeats[c] = twice / theta
+                    else:
+                        unseen.append(c)
+                _freed(hashed.sparkSession, theta * n * len(some))
+            left, theta = unseen, theta * GROWTH
         if left:
             # every part of a set is in open_; the one with most distinct tuples repeats least
             parts = [max((c[:k] + c[k + 1 :] for k in range(len(c))), key=open_.__getitem__) for c in left]
-            keys += [c for c, fine in zip(left, _verified(hashed, idx, left, parts)) if fine]
+            fine = _verified(hashed, idx, n, left, parts, repeats)
+            keys += [c for c, ok in zip(left, fine) if ok]
+            repeats |= {c: 0.0 for c, ok in zip(left, fine) if not ok}  # too few for any sketch
         open_ = {c: b for c, b in bounds.items() if c not in set(keys) and reaches(c, b)}
     keys.sort(key=lambda c: (len(c), c))
     rows = [([fields[i].name for i in k], len(k)) for k in keys]

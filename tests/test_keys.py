@@ -5,6 +5,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablelens.operators import pairs
 
@@ -66,3 +67,30 @@ def test_a_hundred_columns(spark, monkeypatch):
     t = time.time()
     assert found(spark, rows, columns, 4) == [["c0", "c1"]]
     assert len(listed) < 500 and time.time() - t < 120
+
+
+def test_a_job_shuffles_few_candidates_of_a_large_table(spark, monkeypatch):
+    """However many candidates are left, a job groups about SHIPPED rows."""
+    rng = random.Random(5)
+    monkeypatch.setattr(pairs, "SKETCH_ROWS", 30)
+    monkeypatch.setattr(pairs, "SHIPPED", 700)
+    monkeypatch.setattr(pairs, "FEW", 0)
+    columns = [f"c{i}" for i in range(6)]
+    rows = [tuple(rng.randrange(w) for w in (30, 40, 50, 60, 70, 300)) for _ in range(300)]
+    jobs, tuples = [], pairs._tuples
+    monkeypatch.setattr(pairs, "_tuples", lambda h, i, sets: jobs.append(len(sets["own"])) or tuples(h, i, sets))
+    verified = pairs._all_rows
+    whole = []
+    monkeypatch.setattr(pairs, "_all_rows", lambda h, i, cands: whole.append(len(cands)) or verified(h, i, cands))
+    keys = found(spark, rows, columns, 3)
+    assert keys == brute(rows, columns, 3) and len(keys) > 4
+    assert max(whole) <= 2 and sum(whole) > 4
+
+
+def test_halves_of_digests_that_collide(spark):
+    """Tuples whose first halves are equal are told apart by the others."""
+    rows = [(i // 10, i % 10) for i in range(100)]
+    df = spark.createDataFrame(rows, "a int, b int")
+    h = pairs._hashed(df, df.schema.fields, [0, 1])
+    weak = h.select(*[(F.lit(0).cast("long") if c.startswith("a") else F.col(c)).alias(c) for c in h.columns])
+    assert pairs._all_rows(weak, [0, 1], [(0, 1), (0,), (1,)]) == [True, False, False]

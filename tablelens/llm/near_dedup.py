@@ -14,10 +14,11 @@ occurred before.
    so a group of copies costs one row for each task, whatever its size.
 3. Candidates. The representatives of a bucket (sketch, value) are compared
    with its first one: n - 1 pairs, not n^2. Those that fail are compared with
-   those that are near it (unless the distances to it rule that out), the ones
-   that come near by that again with those left, until none comes. What is left
-   of at most SMALL rows is compared pair by pair; of larger buckets it goes to
-   buckets of that value and the next sketch's value, until no bucket has two rows.
+   those that are near it (unless the distances to it rule that out). What is left
+   of at most SMALL rows is compared pair by pair. The rows that are left of any
+   larger bucket are joined exactly: an edit changes one word of a text, so two
+   near texts share one of their rarest words (as many as may be edited and one more). Texts whose links so far make them one class
+   aren't compared again.
 4. Verification. Banded alignment: the edit distance in words within a band
    around the diagonal that is as wide as SIMILARITY allows, first in a narrow
    band, for a batch of pairs at once. Similarity is 1 - distance / longer.
@@ -58,8 +59,8 @@ PLACES = 8
 SIMILARITY = 0.8
 #: Rows of a bucket whose undecided pairs are all compared.
 SMALL = 32
-#: Levels of finer buckets that are looked at together.
-LEVELS = 3
+#: Counters of the words, by hash (a power of two): any order of the words is exact, the rarest first gives the fewest pairs.
+COUNTERS = 1 << 18
 #: The first band, as a part of the length; what it can't decide gets the whole band.
 NARROW = 1 / 16
 #: Pairs up to this number send the numbers of their rows to all tasks (8 bytes each); more are joined.
@@ -325,84 +326,112 @@ def links(rows: DataFrame, reps: DataFrame) -> DataFrame:
         checked = _verify(pairs, rows)
         found = checked if found is None else found.unionByName(checked)
 
-    while True:  # in each turn at least the first row of a bucket leaves
-        heads = bucket.groupBy("b").agg(F.min("ri").alias("first"), F.count("*").alias("held")).filter("held > 1")
-        members = bucket.join(heads, "b").select("b", "ri", F.shiftright("ri", PLACES).alias("r"), F.shiftright("first", PLACES).alias("head"), "held").filter("r <> head")
-        members = scratch_table(members.join(size, "r").join(size.toDF("head", "m"), "head"), "members")
-        if members.isEmpty():
-            break
-        check(members.filter(f"abs(n - m) <= {LIMIT}").select("r", "head"))
-        low = F.coalesce("low", F.expr(f"greatest(abs(n - m), {LIMIT} + 1)"))
-        state = members.join(found, ["r", "head"], "left").select("b", "ri", "r", "n", "held", F.coalesce("near", F.lit(False)).alias("near"), low.alias("low"))
-        state = scratch_table(state, "state")
-        rest = state.filter("NOT near")
-        # A row that is not near the head may be near the rows that are, unless the
-        # head is farther from it than both limits: most are ruled out by the farthest.
-        near = state.filter("near").select("b", F.col("r").alias("head"), F.col("n").alias("m"), F.col("low").alias("far"))
-        farthest = near.groupBy("b").agg(F.max("far").alias("farthest"))
-        reach = rest.join(farthest, "b").filter(f"low - farthest <= floor(n * {(1 - SIMILARITY) / SIMILARITY} + 1e-9)").select("b", "r", "n", "low")
-        others = reach.join(near, "b").filter(f"r <> head AND abs(n - m) <= {LIMIT} AND low - far <= {LIMIT}").select("r", "head")
-        small = rest.filter(f"held <= {SMALL}").select("b", "r", "n")
-        deep = _levels(rest.filter(f"held > {SMALL}").select("b", "ri", "r", "n"), reps)
-        leaves = small.unionByName(deep.filter("level IS NOT NULL").select("b", "r", "n"))
-        within = leaves.join(leaves.toDF("b", "head", "m"), "b").filter(f"head < r AND abs(n - m) <= {LIMIT}").select("r", "head")
-        check(others.union(within))
-        bucket = scratch_table(deep.filter("level IS NULL").select("b", "ri"), "bucket")
-        drop_tables(members, state, deep)
-        if bucket.isEmpty():
-            break
-    return found.filter("near").select("r", "head").distinct() if found is not None else reps.sparkSession.createDataFrame([], "r long, head long")
-
-
-def _levels(rest: DataFrame, reps: DataFrame) -> DataFrame:
-    """rest (b, ri, r, n), the undecided rows of large buckets: in each, texts that
-    also share the next value, the two next ones and so on are a level finer. A
-    row's bucket is its first of at most SMALL rows; with level null where there is
-    none, the finest."""
-    place = f"CAST(ri & {2**PLACES - 1} AS INT)"
-    own = F.expr(f"IF({place} < {SKETCHES}, slice(concat(slice(values, 1, {SKETCHES}), slice(values, 1, {SKETCHES})), {place} + 2, {SKETCHES - 1}), slice(values, {SKETCHES + 1}, {SHORT_SKETCHES}))")
-    step = lambda held, v: F.concat(held, F.array(F.xxhash64(F.element_at(held, -1), v)))
-    chain = rest.join(reps.select("r", "values"), "r").select("ri", "r", "n", F.slice(F.aggregate(own, F.array("b"), step), 2, SKETCHES).alias("chain"))
-    left = chain.select("ri", "r", "n", F.lit(0).alias("level"), "chain")
-    done, tables = None, []
-    while True:  # a few levels at a time: most rows need no more
-        left = scratch_table(left, "chain")
-        tables.append(left)
-        each = left.select("ri", F.posexplode(F.slice("chain", 1, LEVELS)).alias("at", "b"))
-        large = each.groupBy("b").agg(F.count("*").alias("held")).filter(f"held > {SMALL}").select("b")
-        # the levels of large buckets come first, finer ones only get smaller
-        first = each.join(large, "b", "left_semi").groupBy("ri").agg((F.max("at") + 1).alias("first"))
-        tried = scratch_table(left.join(first, "ri", "left").withColumn("first", F.coalesce("first", F.lit(0))), "tried")
-        tables.append(tried)
-        end = (F.col("first") >= F.least(F.size("chain"), F.lit(LEVELS)))
-        found = tried.filter(~end).select("ri", "r", "n", (F.col("level") + F.col("first")).alias("level"), F.expr("get(chain, first)").alias("b"))
-        found = found.unionByName(tried.filter(end & (F.size("chain") <= LEVELS)).select("ri", "r", "n", F.lit(None).cast("int").alias("level"), F.element_at("chain", -1).alias("b")))
-        done = found if done is None else done.unionByName(found)
-        left = tried.filter(end & (F.size("chain") > LEVELS)).select("ri", "r", "n", (F.col("level") + LEVELS).alias("level"), F.slice("chain", F.lit(LEVELS + 1), F.size("chain")).alias("chain"))
-        if left.isEmpty():
-            break
-    found = scratch_table(done, "levels")
-    drop_tables(*tables)
-    return found
+    heads = bucket.groupBy("b").agg(F.min("ri").alias("first"), F.count("*").alias("held")).filter("held > 1")
+    members = bucket.join(heads, "b").select("b", F.shiftright("ri", PLACES).alias("r"), F.shiftright("first", PLACES).alias("head"), "held").filter("r <> head")
+    members = scratch_table(members.join(size, "r").join(size.toDF("head", "m"), "head"), "members")
+    if members.isEmpty():
+        return reps.sparkSession.createDataFrame([], "r long, head long")
+    check(members.filter(f"abs(n - m) <= {LIMIT}").select("r", "head"))
+    low = F.coalesce("low", F.expr(f"greatest(abs(n - m), {LIMIT} + 1)"))
+    state = members.join(found, ["r", "head"], "left").select("b", "r", "n", "held", F.coalesce("near", F.lit(False)).alias("near"), low.alias("low"))
+    state = scratch_table(state, "state")
+    rest = state.filter("NOT near")
+    # A row that is not near the head may be near the rows that are, unless the
+    # head is farther from it than both limits: most are ruled out by the farthest.
+    near = state.filter("near").select("b", F.col("r").alias("head"), F.col("n").alias("m"), F.col("low").alias("far"))
+    farthest = near.groupBy("b").agg(F.max("far").alias("farthest"))
+    reach = rest.join(farthest, "b").filter(f"low - farthest <= floor(n * {(1 - SIMILARITY) / SIMILARITY} + 1e-9)").select("b", "r", "n", "low")
+    others = reach.join(near, "b").filter(f"r <> head AND abs(n - m) <= {LIMIT} AND low - far <= {LIMIT}").select("r", "head")
+    small = rest.filter(f"held <= {SMALL}").select("b", "r", "n")
+    within = small.join(small.toDF("b", "head", "m"), "b").filter(f"head < r AND abs(n - m) <= {LIMIT}").select("r", "head")
+    check(others.union(within))
+    large = scratch_table(rest.filter(f"held > {SMALL}").select("r").distinct(), "large")
+    drop_tables(members, state)
+    if not large.isEmpty():
+        label = components(found.filter("near").select("r", "head"))
+        check(_sharing(large.join(label, "r", "left").select("r", F.coalesce("root", "r").alias("root")), rows))
+    drop_tables(large)
+    return found.filter("near").select("r", "head").distinct()
+
+
+def labelled(words: np.ndarray) -> np.ndarray:
+    """64-bit hashes of a text's words, each with how often it has occurred before."""
+    mix, at = splitmix(2, 606), np.arange(len(words))
+    order = np.argsort(words, kind="stable")
+    new = np.concatenate([[True], words[order][1:] != words[order][:-1]])[: len(words)]
+    seen = np.zeros(len(words), np.uint64)
+    seen[order] = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
+    h = (words.astype(np.uint64) + seen * mix[0]) * mix[1]
+    return h ^ (h >> np.uint64(29))
+
+
+def _sharing(some: DataFrame, rows: DataFrame) -> DataFrame:
+    """Candidates (r, head) among some (r, root), rows of one root left out: every near
+    pair is one. Of two near texts all but G = floor((1 - SIMILARITY) n) of the n
+    words of each are the other's as well: the first of the common ones, in any
+    order, is one of the first G + 1 of both."""
+    held = scratch_table(rows.join(some, "r").select("r", "root", "words"), "held")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            for x in b.column("words").to_pylist():
+                np.add.at(total, (labelled(np.frombuffer(x, "<u4")) % np.uint64(COUNTERS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at), pa.array(total[at])], ["at", "c"])
+
+    counted = map_arrow(held.select("words"), count, "at long, c long").groupBy("at").agg(F.sum("c").alias("c"))
+    often = np.zeros(COUNTERS, np.int64)
+    for r in counted.collect():  # COUNTERS rows at most
+        often[r["at"]] = r["c"]
+    often = some.sparkSession.sparkContext.broadcast(often)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                values, count = [], []
+                for x in part.column("words").to_pylist():
+                    h = labelled(np.frombuffer(x, "<u4"))
+                    order = np.lexsort((h, often.value[(h % np.uint64(COUNTERS)).astype(np.int64)]))
+                    values.append(h[order[: int((1 - SIMILARITY) * len(h) + 1e-9) + 1]])
+                    count.append(len(h))
+                each = np.repeat(np.arange(part.num_rows), [len(x) for x in values])
+                sizes = pa.array(np.array(count, np.int64))
+                yield pa.record_batch([pa.array(np.concatenate(values).view(np.int64)), part.column("r").take(each), part.column("root").take(each), sizes.take(each)], ["g", "r", "root", "n"])
+
+    each = scratch_table(map_arrow(held, rarest, "g long, r long, root long, n long"), "rarest")
+    shared = each.join(each.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("g"), "g", "left_semi")
+    shared = scratch_table(shared, "shared")
+    pairs = shared.join(shared.toDF("g", "head", "other", "m"), "g").filter(f"head < r AND root <> other AND abs(n - m) <= {LIMIT}").select("r", "head")
+    pairs = scratch_table(pairs.distinct(), "sharing")
+    drop_tables(held, each, shared)
+    return pairs
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges (r, head) with head < r: (r, root) for every node that has one, root the least node.
-    Each turn hangs every node and its root under the least root of its neighbours
-    and halves the paths; written tables cut the lineage."""
-    label = scratch_table(edges.groupBy("r").agg(F.min("head").alias("root")), "label")
-    both = scratch_table(edges.union(edges.select("head", "r")).toDF("a", "b"), "edges")
+    Each turn hangs every root under the least of its lesser neighbours and joins the
+    trees, so that at least every second turn halves the roots; edges within a tree are
+    gone then, and those between the same trees are one. Written tables cut the lineage."""
+    left, label = scratch_table(edges.select(F.col("r").alias("x"), F.col("head").alias("y")).distinct(), "edges"), None
     while True:
-        of = lambda c: (F.coalesce(F.col(f"{c}_root"), F.col(c)))
-        seen = both.join(label.select(F.col("r").alias("a"), F.col("root").alias("a_root")), "a", "left").join(label.select(F.col("r").alias("b"), F.col("root").alias("b_root")), "b", "left")
-        roots = seen.select(of("a").alias("x"), of("b").alias("y")).filter("x <> y")
-        lower = scratch_table(roots.filter("x > y").groupBy("x").agg(F.min("y").alias("y")), "lower")  # a root under a lesser one
-        if lower.isEmpty():
+        lower = scratch_table(left.groupBy("x").agg(F.min("y").alias("y")), "lower")
+        if label is not None and lower.isEmpty():
             return label
-        label = label.join(lower, label["root"] == lower["x"], "left").select("r", F.coalesce("y", "root").alias("root")).union(lower.join(label, lower["x"] == label["r"], "left_anti").select("x", "y"))
-        label = scratch_table(label.groupBy("r").agg(F.min("root").alias("root")), "label")
-        up = label.select(F.col("r").alias("root"), F.col("root").alias("above"))
-        label = scratch_table(label.join(up, "root", "left").select("r", F.coalesce("above", "root").alias("root")), "label")
+        while True:  # every way up is halved until all end at a root
+            up = lower.select(F.col("x").alias("y"), F.col("y").alias("above"))
+            if lower.join(up, "y", "left_semi").isEmpty():
+                break
+            lower = scratch_table(lower.join(up, "y", "left").select("x", F.coalesce("above", "y").alias("y")), "lower")
+        root = lambda c: lower.select(F.col("x").alias(c), F.col("y").alias(f"{c}_root"))
+        seen = left.join(root("x"), "x", "left").join(root("y"), "y", "left").select(F.coalesce("x_root", "x").alias("x"), F.coalesce("y_root", "y").alias("y"))
+        left = scratch_table(seen.filter("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "edges")
+        hung = lower.toDF("r", "root")
+        if label is not None:  # what hung before hangs under its root's root
+            above = lower.toDF("root", "above")
+            hung = label.join(above, "root", "left").select("r", F.coalesce("above", "root").alias("root")).union(hung)
+        label = scratch_table(hung, "label")
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -223,3 +223,39 @@ def test_large_buckets_go_on_until_nothing_is_left(spark, monkeypatch):
     rows = spark.createDataFrame([(i, bytearray(t.tobytes())) for i, t in enumerate(texts)], "r long, words binary")
     reps = spark.createDataFrame([(i, 20, values) for i in range(7)], "r long, n long, values array<long>")
     assert [tuple(x) for x in near_dedup.links(rows, reps).collect()] == [(6, 5)]
+
+
+def test_a_near_pair_of_a_large_bucket_needs_no_other_value(spark):
+    """A bucket of 60 unlike texts whose other values all differ; two of its texts are near."""
+    r = random.Random(21)
+    texts = [np.array(r.sample(range(10**9), 25), "<u4") for _ in range(60)]
+    texts[41] = np.concatenate([texts[17][:21], texts[41][:4]]).astype("<u4")
+    rows = spark.createDataFrame([(i, bytearray(t.tobytes())) for i, t in enumerate(texts)], "r long, words binary")
+    values = [[7] + [1000 * (i + 1) + k for k in range(1, near_dedup.VALUES)] for i in range(60)]
+    reps = spark.createDataFrame([(i, 25, v) for i, v in enumerate(values)], "r long, n long, values array<long>")
+    assert [tuple(x) for x in near_dedup.links(rows, reps).collect()] == [(41, 17)]
+
+
+def test_near_texts_share_one_of_their_first_words_in_any_order():
+    r = random.Random(22)
+    for _ in range(3000):
+        a = [r.randint(1, 12) for _ in range(r.randint(1, 40))]
+        b = edited(r, a, r.randint(1, 8))
+        limit = int(max(len(a), len(b)) * 0.2 + 1e-9)
+        if a == b or not b or edit_distance(a, b) > limit:
+            continue
+        salt = np.uint64(r.randrange(2**63) | 1)
+        first = []
+        for t in (a, b):
+            h = near_dedup.labelled(np.array(t, np.uint32))
+            first.append(set(h[np.argsort(h * salt)[: int(0.2 * len(t) + 1e-9) + 1]].tolist()))
+        assert first[0] & first[1], (a, b)
+
+
+def test_components_of_a_long_chain_and_a_star(spark):
+    r = random.Random(23)
+    nodes = list(range(1, 400))
+    r.shuffle(nodes)
+    edges = [(max(a, b), min(a, b)) for a, b in zip(nodes, nodes[1:])] + [(1000, k) for k in range(500, 600)]
+    got = {x.r: x.root for x in near_dedup.components(spark.createDataFrame(edges, "r long, head long")).collect()}
+    assert got == {k: 1 for k in range(2, 400)} | {k: 500 for k in range(501, 600)} | {1000: 500}

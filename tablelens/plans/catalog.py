@@ -997,6 +997,10 @@ def date_shapes(spark, sf):
 
 # ============================================================ streaming
 
+#: Rows of a streamed file: a batch has the same jobs whatever its rows, 64 files are 13 million.
+STREAM_FILE = 200_000
+
+
 @register("stream_profile", union([
     f"SELECT '{n}' AS column_name, CAST(count(*) AS BIGINT) AS record_count, "
     f"CAST(count({q(n)}) AS BIGINT) AS number_non_empty_cells, CAST({_size_sql(n, t)} AS BIGINT) AS size_bytes "
@@ -1008,7 +1012,7 @@ def stream_profile(spark, sf):
 
     df = fx.spark_table(spark, sf, fx.LI_NULLS)
     src = scratch_path(spark, "arrivals")
-    df.write.option("maxRecordsPerFile", 20_000).parquet(src)
+    df.write.option("maxRecordsPerFile", STREAM_FILE).parquet(src)
     out = scratch_path(spark, "arrival_reports")
     q = profile_arrivals(spark, src, df.schema, out, files_per_batch=64, sections=False, top_k=0,
                          correlations=False)
@@ -1072,7 +1076,7 @@ def stream_state(spark, sf):
 
     df = fx.spark_table(spark, sf, fx.LI_NULLS)
     src, out = scratch_path(spark, "growing"), scratch_path(spark, "growing_reports")
-    df.write.option("maxRecordsPerFile", 20_000).parquet(src)
+    df.write.option("maxRecordsPerFile", STREAM_FILE).parquet(src)
     profile_arrivals(spark, src, df.schema, out, files_per_batch=64, states=True, sections=False, top_k=0, correlations=False).awaitTermination()
     return _held_against_exact(spark, sf, running_profile(spark, out))
 

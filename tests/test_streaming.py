@@ -32,3 +32,31 @@ def test_arrivals_resume_and_add_up(spark):
     n = orders.count()
     assert totals["o_orderkey"]["record_count"] == 2 * n
     assert totals["o_orderkey"]["batches"] == 5
+
+
+def test_streamed_files_are_not_small(spark, tmp_path, monkeypatch):
+    """Batches are counted in files: small files make many batches of the same fixed cost."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from tablelens.plans import catalog, fixtures
+    from tablelens.streaming import arrivals
+
+    row = spark.range(0, 50_000, 1, 1)
+    row.select(*[F.col("id").cast(t).alias(n) if t in ("bigint", "int", "double") else F.lit("2020-01-01").cast(t).alias(n)
+                 for n, t in fixtures.TABLES["lineitem"]]).write.parquet(f"{tmp_path}/lineitem.parquet")
+
+    class Stop(Exception):
+        pass
+
+    def seen(spark, src, *args, **options):
+        raise Stop(len([f for f in os.listdir(src) if f.endswith(".parquet")]))
+
+    monkeypatch.setattr(arrivals, "profile_arrivals", seen)
+    for query in ("stream_state", "stream_profile"):
+        try:
+            catalog.QUERIES[query](spark, str(tmp_path))
+            assert False
+        except Stop as e:
+            assert e.args == (1,)

@@ -17,8 +17,8 @@ occurred before.
    those that are near it (unless the distances to it rule that out). What is left
    of at most SMALL rows is compared pair by pair. The rows that are left of any
    larger bucket are joined exactly: an edit changes one word of a text, so two
-   near texts share one of their rarest words (as many as may be edited and one more). Texts whose links so far make them one class
-   aren't compared again.
+   near texts share some of their rarest runs of GRAM words (so many that the edits can't hit all),
+   at about the same place. Texts whose links so far make them one class aren't compared again.
 4. Verification. Banded alignment: the edit distance in words within a band
    around the diagonal that is as wide as SIMILARITY allows, first in a narrow
    band, for a batch of pairs at once. Similarity is 1 - distance / longer.
@@ -31,6 +31,7 @@ repeated ids are rows of their own. Empty tables give empty results.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import itertools
 from collections.abc import Iterator
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.checkpoint import drop_tables, scratch_table
+from ..plans.checkpoint import drop_tables, free_shuffles, scratch_table
 from .bpe import LETTER, NUMBER, SPACE, classes, splitmix, word_hashes
 from .common import map_arrow, named, offsets, steps, text_or_empty
 
@@ -59,7 +60,12 @@ PLACES = 8
 SIMILARITY = 0.8
 #: Rows of a bucket whose undecided pairs are all compared.
 SMALL = 32
-#: Counters of the words, by hash (a power of two): any order of the words is exact, the rarest first gives the fewest pairs.
+#: Words of a run that the rows of large buckets are joined by, and the least texts that have enough of them
+#: (n // GRAM > n (1 - SIMILARITY) / SIMILARITY); below WORDS_BELOW, all that are near a lesser one, words join as well.
+GRAM, GRAMS_FROM, WORDS_BELOW = 3, 9, 12
+#: Words that two such texts share count so often: one is enough.
+ALWAYS = 1 << 20
+#: Counters of the values, by hash (a power of two): any order of the values is exact, the rarest first gives the fewest pairs.
 COUNTERS = 1 << 18
 #: The first band, as a part of the length; what it can't decide gets the whole band.
 NARROW = 1 / 16
@@ -281,13 +287,14 @@ def _sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def _verify(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """pairs (r, head): adds `near` and `low`, the distance or, of pairs that are not
-    near, a lower bound. Only the words of rows of some pair are moved."""
+    near, a lower bound. Only the words of rows of some pair are moved, those of about as
+    many pairs as there are rows at a time."""
+    spark = pairs.sparkSession
     pairs = scratch_table(pairs, "pairs")
-    few = F.broadcast if pairs.count() <= FEW else lambda df: df
+    held = pairs.count()
     some = pairs.select("r").union(pairs.select("head")).distinct()
-    words = scratch_table(rows.join(few(some), "r", "left_semi").select("r", "words"), "words")
-    # few pairs go to the words, so that only the way to the head's words is a shuffle
-    both = words.join(few(pairs), "r").join(words.select(F.col("r").alias("head"), F.col("words").alias("other")), "head")
+    words = scratch_table(rows.join(F.broadcast(some) if held <= FEW else some, "r", "left_semi").select("r", "words"), "words")
+    free_shuffles(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -300,9 +307,16 @@ def _verify(pairs: DataFrame, rows: DataFrame) -> DataFrame:
                 low = [d if d >= 0 else max(m + 1, n - _common(x, y)) for d, m, n, x, y in zip(got.tolist(), limit.tolist(), longer.tolist(), left, right)]
                 yield pa.record_batch([some.column("r"), some.column("head"), pa.array(got >= 0), pa.array(low, pa.int64())], ["r", "head", "near", "low"])
 
-    checked = scratch_table(map_arrow(both.select("r", "head", "words", "other"), run, "r long, head long, near boolean, low long"), "checked")
+    parts = -(-held // max(1, rows.count()))
+    done = []
+    for i in range(max(1, parts)):
+        part = pairs if parts <= 1 else pairs.filter(F.pmod(F.xxhash64("r", "head"), F.lit(parts)) == i)
+        # few pairs go to the words, so that only the way to the head's words is a shuffle
+        both = words.join(F.broadcast(part) if held <= FEW * max(1, parts) else part, "r").join(words.select(F.col("r").alias("head"), F.col("words").alias("other")), "head")
+        done.append(scratch_table(map_arrow(both.select("r", "head", "words", "other"), run, "r long, head long, near boolean, low long"), "checked"))
+        free_shuffles(spark)
     drop_tables(pairs, words)
-    return checked
+    return functools.reduce(DataFrame.unionByName, done)
 
 
 #: The edits that texts of n and m words may have.
@@ -329,12 +343,15 @@ def links(rows: DataFrame, reps: DataFrame) -> DataFrame:
     heads = bucket.groupBy("b").agg(F.min("ri").alias("first"), F.count("*").alias("held")).filter("held > 1")
     members = bucket.join(heads, "b").select("b", F.shiftright("ri", PLACES).alias("r"), F.shiftright("first", PLACES).alias("head"), "held").filter("r <> head")
     members = scratch_table(members.join(size, "r").join(size.toDF("head", "m"), "head"), "members")
+    free_shuffles(reps.sparkSession)
     if members.isEmpty():
         return reps.sparkSession.createDataFrame([], "r long, head long")
     check(members.filter(f"abs(n - m) <= {LIMIT}").select("r", "head"))
     low = F.coalesce("low", F.expr(f"greatest(abs(n - m), {LIMIT} + 1)"))
     state = members.join(found, ["r", "head"], "left").select("b", "r", "n", "held", F.coalesce("near", F.lit(False)).alias("near"), low.alias("low"))
     state = scratch_table(state, "state")
+    drop_tables(members)
+    free_shuffles(reps.sparkSession)
     rest = state.filter("NOT near")
     # A row that is not near the head may be near the rows that are, unless the
     # head is farther from it than both limits: most are ruled out by the farthest.
@@ -346,7 +363,7 @@ def links(rows: DataFrame, reps: DataFrame) -> DataFrame:
     within = small.join(small.toDF("b", "head", "m"), "b").filter(f"head < r AND abs(n - m) <= {LIMIT}").select("r", "head")
     check(others.union(within))
     large = scratch_table(rest.filter(f"held > {SMALL}").select("r").distinct(), "large")
-    drop_tables(members, state)
+    drop_tables(state)
     if not large.isEmpty():
         label = components(found.filter("near").select("r", "head"))
         check(_sharing(large.join(label, "r", "left").select("r", F.coalesce("root", "r").alias("root")), rows))
@@ -365,18 +382,103 @@ def labelled(words: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _grams(words: np.ndarray) -> np.ndarray:
+    """64-bit hashes of a text's runs of GRAM words."""
+    mix, n = splitmix(GRAM + 1, 707), max(0, len(words) - GRAM + 1)
+    h = np.zeros(n, np.uint64)
+    for j in range(GRAM):
+        h = (h ^ words[j : j + n].astype(np.uint64)) * mix[j]
+        h ^= h >> np.uint64(29)
+    return h * mix[GRAM]
+
+
+def _values(words: np.ndarray) -> np.ndarray:
+    """What the texts are joined by: runs of GRAM words, and words of texts too short for them."""
+    out = labelled(words) if len(words) < WORDS_BELOW else np.zeros(0, np.uint64)
+    return np.concatenate([out, _grams(words)]) if len(words) >= GRAMS_FROM else out
+
+
+def _hits(places: np.ndarray) -> int:
+    """The least words that hit all runs at these places: each that isn't hit yet is hit at its last word."""
+    hits = free = 0
+    for p in places.tolist():
+        if p >= free:
+            hits, free = hits + 1, p + GRAM
+    return hits
+
+
+def _enough(rank: list[np.ndarray], need: np.ndarray) -> np.ndarray:
+    """For each text (the ranks of its runs, by place) the least number of ranks
+    whose runs can't all be hit by fewer than `need` words."""
+    lo, hi = np.ones(len(rank), np.int64), np.array([int(x.max()) + 1 for x in rank])
+    if len(rank) < 16:  # a few long texts, each by itself
+        return np.array([bisect.bisect_left(range(b), n, 1, key=lambda upto: _hits(np.flatnonzero(x < upto))) for x, n, b in zip(rank, need.tolist(), hi.tolist())])
+    at = np.full((max(map(len, rank)), len(rank)), np.iinfo(np.int32).max, np.int32)
+    for i, x in enumerate(rank):
+        at[: len(x), i] = x
+    while (lo < hi).any():
+        mid = (lo + hi) // 2
+        hits, free = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+        for i, row in enumerate(at < mid):  # as in _hits
+            hit = row & (free <= i)
+            hits += hit
+            free[hit] = i + GRAM
+        done = hits >= need
+        hi = np.where(done, mid, hi)
+        lo = np.where(done, lo, np.minimum(mid + 1, hi))
+    return hi
+
+
+def first_values(texts: list[np.ndarray], often: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """The values of each text that come first, the rarest first, with the first and
+    the last place of each (-1: anywhere) and how often it is there. A text of n words is
+    within e = n (1 - SIMILARITY) / SIMILARITY edits of all that are near it, and
+    no e words hit all its first runs. So of two near texts, d edits apart, the one whose
+    last value comes first keeps e + 1 - d of those runs, and the other has them
+    among its first values, at places no farther apart than the edits."""
+    out = [(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3) for _ in texts]
+
+    def order(h: np.ndarray) -> np.ndarray:
+        return np.lexsort((h, often[(h % np.uint64(COUNTERS)).astype(np.int64)]))
+
+    todo = []
+    for i, x in enumerate(texts):
+        if 0 < len(x) < WORDS_BELOW:
+            h = labelled(x)
+            h = h[order(h)[: int((1 - SIMILARITY) * len(h) + 1e-9) + 1]]
+            out[i] = h, np.full(len(h), -1), np.full(len(h), -1), np.full(len(h), ALWAYS)
+        if len(x) >= GRAMS_FROM:
+            kinds, which = np.unique(_grams(x), return_inverse=True)
+            place = np.empty(len(kinds), np.int32)
+            place[order(kinds)] = np.arange(len(kinds), dtype=np.int32)
+            todo.append((i, kinds, place, place[which]))
+    todo.sort(key=lambda t: len(t[3]))
+    while todo:
+        take = [todo.pop()]
+        while todo and (len(take) + 1) * len(take[0][3]) <= WIDE:
+            take.append(todo.pop())
+        need = np.array([int(len(texts[i]) * (1 - SIMILARITY) / SIMILARITY + 1e-9) + 1 for i, *_ in take])
+        for (i, kinds, place, rank), upto in zip(take, _enough([t[3] for t in take], need).tolist()):
+            by = np.argsort(rank, kind="stable")
+            count = np.bincount(rank)[:upto]
+            edge = offsets(count)
+            new = kinds[np.argsort(place)[:upto]], by[edge[:-1]], by[edge[1:] - 1], count
+            out[i] = tuple(np.concatenate(x) for x in zip(out[i], new))
+    return out
+
+
 def _sharing(some: DataFrame, rows: DataFrame) -> DataFrame:
     """Candidates (r, head) among some (r, root), rows of one root left out: every near
-    pair is one. Of two near texts all but G = floor((1 - SIMILARITY) n) of the n
-    words of each are the other's as well: the first of the common ones, in any
-    order, is one of the first G + 1 of both."""
-    held = scratch_table(rows.join(some, "r").select("r", "root", "words"), "held")
+    pair is one (see first_values)."""
+    few = F.broadcast if some.count() <= FEW else lambda df: df
+    held = scratch_table(rows.join(few(some), "r").select("r", "root", "words"), "held")
+    free_shuffles(some.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for b in batches:
             for x in b.column("words").to_pylist():
-                np.add.at(total, (labelled(np.frombuffer(x, "<u4")) % np.uint64(COUNTERS)).astype(np.int64), 1)
+                np.add.at(total, (_values(np.frombuffer(x, "<u4")) % np.uint64(COUNTERS)).astype(np.int64), 1)
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at), pa.array(total[at])], ["at", "c"])
 
@@ -390,22 +492,31 @@ def _sharing(some: DataFrame, rows: DataFrame) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                values, count = [], []
-                for x in part.column("words").to_pylist():
-                    h = labelled(np.frombuffer(x, "<u4"))
-                    order = np.lexsort((h, often.value[(h % np.uint64(COUNTERS)).astype(np.int64)]))
-                    values.append(h[order[: int((1 - SIMILARITY) * len(h) + 1e-9) + 1]])
-                    count.append(len(h))
-                each = np.repeat(np.arange(part.num_rows), [len(x) for x in values])
-                sizes = pa.array(np.array(count, np.int64))
-                yield pa.record_batch([pa.array(np.concatenate(values).view(np.int64)), part.column("r").take(each), part.column("root").take(each), sizes.take(each)], ["g", "r", "root", "n"])
-
-    each = scratch_table(map_arrow(held, rarest, "g long, r long, root long, n long"), "rarest")
+                texts = [np.frombuffer(x, "<u4") for x in part.column("words").to_pylist()]
+                found = first_values(texts, often.value)
+                each = np.repeat(np.arange(part.num_rows), [len(x[0]) for x in found])
+                sizes = pa.array(np.array([len(x) for x in texts], np.int32))
+                g, *places = (np.concatenate(x) for x in zip(*found))
+                yield pa.record_batch([pa.array(g.view(np.int64)), part.column("r").take(each), part.column("root").take(each), sizes.take(each), *[pa.array(x.astype(np.int32)) for x in places]], ["g", "r", "root", "n", "at", "upto", "c"])
+
+    each = scratch_table(map_arrow(held, rarest, "g long, r long, root long, n int, at int, upto int, c int"), "rarest")
+    drop_tables(held)
     shared = each.join(each.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("g"), "g", "left_semi")
     shared = scratch_table(shared, "shared")
-    pairs = shared.join(shared.toDF("g", "head", "other", "m"), "g").filter(f"head < r AND root <> other AND abs(n - m) <= {LIMIT}").select("r", "head")
-    pairs = scratch_table(pairs.distinct(), "sharing")
-    drop_tables(held, each, shared)
+    drop_tables(each)
+    free_shuffles(some.sparkSession)
+    # words before a common run are added or removed at least as often as its place moves, those after it as the rest does
+    moved = f"abs(n - m) + 2 * greatest(0, at - last - greatest(0, n - m), least(0, n - m) - (upto - place)) <= {LIMIT}"
+    # by roots first: the rows of one root, which may be most of a value's rows, never meet
+    kinds = shared.groupBy("g", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    apart = kinds.join(kinds.toDF("g", "other", "least", "most"), "g").filter(f"root < other AND lo - most <= floor(lo * {1 - SIMILARITY} + 1e-9) AND least - hi <= floor(least * {1 - SIMILARITY} + 1e-9)").select("g", "root", "other")
+    both = apart.join(shared, ["g", "root"]).join(shared.toDF("g", "head", "other", "m", "place", "last", "d"), ["g", "other"]).filter(moved)
+    both = both.groupBy("r", "head", "n", "m").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
+    kept = " OR ".join(f"{c} > floor({n} * {(1 - SIMILARITY) / SIMILARITY} + 1e-9) - {LIMIT}" for c, n in (("c", "n"), ("d", "m")))
+    pairs = scratch_table(both.filter(kept).select(F.greatest("r", "head").alias("r"), F.least("r", "head").alias("head")), "sharing")
+    drop_tables(shared)
+    free_shuffles(some.sparkSession)
+    often.unpersist()
     return pairs
 
 
@@ -442,6 +553,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     same = ["s", "s2", "n"]
     one = scratch_table(rows.groupBy(*same).agg(F.min("r").alias("rep"), F.count("*").alias("copies"), F.min(F.struct(F.col("k").isNull().alias("gone"), "k", "r")).alias("first")), "one")
     reps = scratch_table(rows.select("r", "n", "values").join(one.select(F.col("rep").alias("r")), "r", "left_semi"), "reps")
+    free_shuffles(docs.sparkSession)
     edges = scratch_table(links(rows.select("r", "words"), reps), "links")
     drop_tables(reps)
     label = components(edges)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -68,6 +69,13 @@ def drop_tables(*tables: DataFrame) -> None:
         _delete(table.sparkSession, table.scratch_path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark deletes the files of a shuffle when the driver no longer holds its plan:
+    the plans of jobs that have ended go at once."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss); never localCheckpoint."""
     spark = df.sparkSession

@@ -259,3 +259,43 @@ def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(max(a, b), min(a, b)) for a, b in zip(nodes, nodes[1:])] + [(1000, k) for k in range(500, 600)]
     got = {x.r: x.root for x in near_dedup.components(spark.createDataFrame(edges, "r long, head long")).collect()}
     assert got == {k: 1 for k in range(2, 400)} | {k: 500 for k in range(501, 600)} | {1000: 500}
+
+
+def test_near_texts_share_enough_of_their_first_values():
+    """For any order of the values, also of texts with few different words."""
+    r = random.Random(24)
+    often = np.array([r.randrange(50) for _ in range(near_dedup.COUNTERS)])
+    tried = 0
+    for turn in range(3000):
+        a = [r.randint(1, r.choice((4, 12, 10**6))) for _ in range(r.randint(4, 60))]
+        b = edited(r, a, r.randint(1, 12))
+        limit = int(max(len(a), len(b)) * 0.2 + 1e-9)
+        if a == b or not b or edit_distance(a, b) > limit:
+            continue
+        tried += 1
+        one, other = ({h: x for h, *x in zip(*[v.tolist() for v in near_dedup.first_values([np.array(t, np.uint32)], often)[0]])} for t in (a, b))
+        move, held = len(a) - len(b), [0, 0]
+        for h in one.keys() & other.keys():
+            (p, p2, c), (q, q2, d) = one[h], other[h]
+            if abs(move) + 2 * max(0, p - q2 - max(0, move), min(0, move) - (p2 - q)) <= limit:
+                held = [held[0] + c, held[1] + d]
+        assert held[0] > int(len(a) * 0.25 + 1e-9) - limit or held[1] > int(len(b) * 0.25 + 1e-9) - limit, (a, b)
+    assert tried > 300
+
+
+def test_first_values_of_a_batch_are_those_of_each_text():
+    r = random.Random(25)
+    often = np.zeros(near_dedup.COUNTERS, np.int64)
+    texts = [np.array([r.randint(1, 9) for _ in range(r.randint(0, 80))], np.uint32) for _ in range(40)]
+    for x, y in zip(near_dedup.first_values(texts, often), [near_dedup.first_values([t], often)[0] for t in texts]):
+        assert [v.tolist() for v in x] == [v.tolist() for v in y]
+
+
+def test_unlike_texts_with_a_rare_word_in_common_are_no_candidates(spark):
+    """Sixty texts of one word that is nowhere else; each pair shared it, but no run of words."""
+    r = random.Random(26)
+    texts = [[7] + r.sample(range(10, 10**9), 40) for _ in range(60)]
+    texts.append(texts[5][:36] + r.sample(range(10, 10**9), 5))
+    rows = spark.createDataFrame([(i, bytearray(np.array(t, "<u4").tobytes())) for i, t in enumerate(texts)], "r long, words binary")
+    some = spark.createDataFrame([(i, i) for i in range(61)], "r long, root long")
+    assert [tuple(x) for x in near_dedup._sharing(some, rows).collect()] == [(60, 5)]

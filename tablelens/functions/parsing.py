@@ -63,17 +63,22 @@ def _layouts(day_first: bool):
 def parsed_timestamp(c: Column, day_first: bool = False) -> Column:
     """timestamp_ntz if the string has one of the accepted date layouts. No
     session zone takes part; a text with a zone gives the time in UTC."""
-    iso = F.when(c.rlike(f"{ISO_DATE}({_REST})"), c)
+    # The date takes ten characters in each layout: what follows is read from c, and each
+    # pattern runs once, those of zones only where there is one.
+    zone = F.regexp_extract(c, TIME_PATTERN + ZONE_PATTERN, 4)
+    digits = F.regexp_replace(zone, ":", "").cast("int")  # +0530 is 530
+    shift = F.make_dt_interval(F.lit(0), F.lit(0), (digits / 100).cast("int") * 60 + digits % 100, F.lit(0))
+
+    def time(iso: Column) -> Column:
+        local = F.regexp_replace(iso, TIME_PATTERN + ZONE_PATTERN, "$1").try_cast("timestamp_ntz")
+        after = F.substring(c, 11, 40)
+        return F.when(~after.rlike("[Z+-]"), iso.try_cast("timestamp_ntz")).when(after.contains("Z"), local).otherwise(local - shift)
+
+    out = F.when(c.rlike(f"{ISO_DATE}({_REST})"), time(c))
     for date, order in _layouts(day_first):
-        iso = iso.when(c.rlike(f"{date}({_REST})"), F.regexp_replace(c, date, "-".join(f"${g}" for g in order)))
-    zone = F.regexp_extract(iso, TIME_PATTERN + ZONE_PATTERN, 4)
-    local = F.regexp_replace(iso, TIME_PATTERN + ZONE_PATTERN, "$1").try_cast("timestamp_ntz")
-    digits = F.regexp_replace(zone, "[^0-9]", "")
-    minutes = F.substring(digits, 1, 2).cast("int") * 60 + F.substring(digits, 3, 2).cast("int")
-    east = F.when(zone.startswith("-"), -minutes).otherwise(minutes)
-    shifted = local - F.make_dt_interval(F.lit(0), F.lit(0), east, F.lit(0))
+        out = out.when(c.rlike(f"{date}({_REST})"), time(F.regexp_replace(c, date, "-".join(f"${g}" for g in order))))
     # cheap prefilter: every layout starts with two digits
-    return F.when(c.rlike(r"^[0-9]{2}"), F.when(digits != "", shifted).otherwise(local))
+    return F.when(c.rlike(r"^[0-9]{2}"), out)
 
 
 def report_ts(c: Column) -> Column:

@@ -141,3 +141,15 @@ def test_samples_of_any_fraction(spark):
 def test_start_is_before_end(spark):
     row = tl.profile(spark.range(3).toDF("x")).table_report.first()
     assert row.started_at <= row.ended_at
+
+
+def test_each_layout_is_matched_once(spark):
+    """Spark evaluates a pattern as often as it stands in the expression."""
+    shown = str(P.parsed_timestamp(F.col("c")))
+    assert shown.count(P.ISO_DATE) == 1
+    times = ["", " 10:20", "T10:20:30", " 10:20:30.123456", "T10:20Z", " 10:20 Z", "T23:59:30.5+0530", " 00:10:00 -03:30", "+01:00", " 10:20Z\n", " 10:20z", " 25:00", "T10:20+5"]
+    want = {" 10:20": "10:20:00", "T10:20:30": "10:20:30", " 10:20:30.123456": "10:20:30.123456", "T10:20Z": "10:20:00", " 10:20 Z": "10:20:00", "T23:59:30.5+0530": "18:29:30.5", " 00:10:00 -03:30": "03:40:00"}
+    rows = [(d + t, f"2021-02-28 {'00:00:00' if not t else want.get(t)}" if not t or t in want else None) for d in ("2021-02-28", "2021/02/28", "02/28/2021", "28.02.2021") for t in times if t != " 10:20Z\n"]
+    rows += [("2021-02-30", None), ("02/30/2021 10:00Z", None), ("", None), (None, None), ("12", None)]
+    got = spark.createDataFrame(rows, "c string, want string").select("c", "want", P.parsed_timestamp(F.col("c")).cast("string").alias("got")).collect()
+    assert [(r.c, r.got) for r in got] == [(r.c, r.want) for r in got]

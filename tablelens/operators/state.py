@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,9 +42,10 @@ TOP_ERROR = 3.5 / 8192
 ITEM = 128
 
 
-def column_states(df: DataFrame) -> DataFrame:
-    """The state of each column of a table: one scan."""
-    recs = []
+def column_states(df: DataFrame, part: Column | None = None) -> DataFrame:
+    """The state of each column of a table: one scan; by ``part``, that of each column
+    of each part of the rows, in the same scan."""
+    recs, of = [], [] if part is None else ["part"]
     for i, f in enumerate(df.schema.fields):
         c = col_ref(f.name)
         text = canonical(c, f.dataType)
@@ -63,11 +64,11 @@ def column_states(df: DataFrame) -> DataFrame:
         raise ValueError("a table without columns has no state")
     blocks = []
     for start in range(0, len(recs), COLUMN_BLOCK):
-        part = recs[start : start + COLUMN_BLOCK]
-        slots = [f"c{k}" for k in range(len(part))]
-        long = df.select(*[r.alias(c) for r, c in zip(part, slots)]).unpivot([], slots, "slot", "v").select("v.*")
+        block = recs[start : start + COLUMN_BLOCK]
+        slots = [f"c{k}" for k in range(len(block))]
+        long = df.select(*[r.alias(c) for r, c in zip(block, slots)], *[part.alias(p) for p in of]).unpivot(of, slots, "slot", "v").select(*of, "v.*")
         n = F.count("x")
-        blocks.append(long.groupBy("ordinal", "column_name", "dtype").agg(
+        blocks.append(long.groupBy(*of, "ordinal", "column_name", "dtype").agg(
             F.count(F.lit(1)).alias("n"), F.count("h").alias("non_null"), F.count("odd").alias("not_finite"),
             F.max("len").alias("max_length"), F.sum("len").alias("len_sum"),
             n.alias("numbers"), F.avg("x").alias("mean"), F.min("x").alias("low"), F.max("x").alias("high"),
@@ -79,7 +80,7 @@ def column_states(df: DataFrame) -> DataFrame:
         ))
     states = reduce(DataFrame.unionByName, blocks)
     m3 = F.col("skew") * F.pow("m2", F.lit(1.5)) / F.sqrt("numbers")
-    return states.withColumn("m3", F.when(F.col("numbers") > 0, m3)).drop("skew")
+    return states.withColumn("m3", F.when(F.col("numbers") > 0, m3)).drop("skew", *of)
 
 
 def merge_states(states: DataFrame) -> DataFrame:

@@ -82,3 +82,16 @@ def test_one_scan_and_no_shuffle_of_values(spark):
     assert len(states.collect()) == 70
     assert all(r["unique_values"] == i + 2 for r in state.finish(states).collect() for i in [r["ordinal"]] if i < 60)
     assert not math.isnan(state.finish(states).first()["mean"])
+
+
+def test_states_of_parts_come_of_one_scan(spark):
+    df = spark.range(300).selectExpr("id", "IF(id % 7 = 0, NULL, id / 3.0D) AS x", "CAST(id % 11 AS STRING) AS s")
+    part = F.pmod(F.col("id"), F.lit(3))
+    states = state.column_states(df, part)
+    assert states.count() == 9 and "part" not in states.columns
+    each = [state.column_states(df.where(part == k)) for k in range(3)]
+    seen = ["ordinal", "n", "non_null", "numbers", "low", "high", "max_length"]
+    assert sorted(map(str, states.select(*seen).collect())) == sorted(str(r) for e in each for r in e.select(*seen).collect())
+    both = [state.finish(state.merge_states(s)).orderBy("ordinal").collect() for s in (states, state.column_states(df))]
+    for a, b in zip(*both):
+        assert (a.record_count, a.number_non_empty_cells, a.unique_values) == (b.record_count, b.number_non_empty_cells, b.unique_values)

@@ -16,9 +16,11 @@ occurred before.
    with its first one: n - 1 pairs, not n^2. Those that fail are compared with
    those that are near it (unless the distances to it rule that out). What is left
    of at most SMALL rows is compared pair by pair. The rows that are left of any
-   larger bucket are joined exactly: an edit changes one word of a text, so two
-   near texts share some of their rarest runs of GRAM words (so many that the edits can't hit all),
-   at about the same place. Texts whose links so far make them one class aren't compared again.
+   larger bucket are compared by bit maps of their words: an edit takes one word
+   of a text, so most pairs are ruled out without their words. Those of buckets of
+   more than HUGE rows are joined: two near texts share some of their rarest runs of
+   GRAM words (so many that the edits can't hit all), at about the same place. Both
+   ways are exact. Texts whose links so far make them one class aren't compared again.
 4. Verification. Banded alignment: the edit distance in words within a band
    around the diagonal that is as wide as SIMILARITY allows, first in a narrow
    band, for a batch of pairs at once. Similarity is 1 - distance / longer.
@@ -60,7 +62,11 @@ PLACES = 8
 SIMILARITY = 0.8
 #: Rows of a bucket whose undecided pairs are all compared.
 SMALL = 32
-#: Words of a run that the rows of large buckets are joined by, and the least texts that have enough of them
+#: Rows of larger buckets that one task compares at once, and of buckets whose rows are joined instead.
+BLOCK, HUGE = 1 << 14, 1 << 18
+#: Bits of a map for each word of the text, at least, and 64-bit words of maps compared at once.
+MAP_BITS, CELLS = 4, 1 << 18
+#: Words of a run that the rows of huge buckets are joined by, and the least texts that have enough of them
 #: (n // GRAM > n (1 - SIMILARITY) / SIMILARITY); below WORDS_BELOW, all that are near a lesser one, words join as well.
 GRAM, GRAMS_FROM, WORDS_BELOW = 3, 9, 12
 #: Words that two such texts share count so often: one is enough.
@@ -362,11 +368,15 @@ def links(rows: DataFrame, reps: DataFrame) -> DataFrame:
     small = rest.filter(f"held <= {SMALL}").select("b", "r", "n")
     within = small.join(small.toDF("b", "head", "m"), "b").filter(f"head < r AND abs(n - m) <= {LIMIT}").select("r", "head")
     check(others.union(within))
-    large = scratch_table(rest.filter(f"held > {SMALL}").select("r").distinct(), "large")
+    large = scratch_table(rest.filter(f"held > {SMALL}").select("b", "r", "held"), "large")
     drop_tables(state)
     if not large.isEmpty():
         label = components(found.filter("near").select("r", "head"))
-        check(_sharing(large.join(label, "r", "left").select("r", F.coalesce("root", "r").alias("root")), rows))
+        left = large.join(label, "r", "left").select("b", "r", "held", F.coalesce("root", "r").alias("root"))
+        check(_within(left.filter(f"held <= {HUGE}"), rows))
+        huge = left.filter(f"held > {HUGE}").select("r", "root").distinct()
+        if not huge.isEmpty():
+            check(_sharing(huge, rows))
     drop_tables(large)
     return found.filter("near").select("r", "head").distinct()
 
@@ -382,6 +392,103 @@ def labelled(words: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def word_maps(words: np.ndarray) -> bytes:
+    """Two bit maps of one size, a power of two: of a text's words and of its runs of
+    two words, each with how often it has occurred before."""
+    bits = 1 << max(6, (MAP_BITS * len(words) - 1).bit_length())
+    out = np.zeros((2, bits), bool)
+    for flags, x in zip(out, (words, (words[:-1].astype(np.uint64) << np.uint64(32)) | words[1:])):
+        flags[(labelled(x) % np.uint64(bits)).astype(np.int64)] = True
+    return np.packbits(out, axis=1, bitorder="little").tobytes()
+
+
+def may_be_near(n: np.ndarray, maps: list[bytes], differ: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the pairs of texts (n words each) that differ in each of `differ`
+    and may be near: d edits take at most d words from a text and at most 2 d of its
+    runs of two, so that no more bits of its maps are missing in the other's.
+    A larger map is folded to the size of the smaller (near texts' are at most twice as large)."""
+    size = np.array([len(x) for x in maps])
+    held, out = {}, [(np.zeros(0, np.int64),) * 2]
+    for s in np.unique(size).tolist():
+        at = np.flatnonzero(size == s)
+        at = at[np.argsort(n[at], kind="stable")]
+        held[s] = at, np.frombuffer(b"".join(maps[i] for i in at.tolist()), "<u8").reshape(len(at), 2, -1)
+    for s, (at, own) in held.items():
+        out += _map_pairs(n, differ, at, own, at, own)
+        if 2 * s in held:
+            more, wide = held[2 * s]
+            out += _map_pairs(n, differ, at, own, more, wide[:, :, : s // 16] | wide[:, :, s // 16 :])
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _map_pairs(n: np.ndarray, differ: list[np.ndarray], at: np.ndarray, own: np.ndarray, more: np.ndarray, other: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of a row of `at` and a row of `more`, both by length; of the same rows each pair once."""
+    out, wide, same = [], own.shape[2], at is more
+    has, had = (np.bitwise_count(x).sum(axis=2, dtype=np.int32) for x in (own, other))
+    limit = np.floor(n[more] * (1 - SIMILARITY) + 1e-9).astype(np.int64)
+    step = max(1, min(64, CELLS // wide))
+    reach = n[more] - limit  # grows with the length
+    for lo in range(0, len(at), step):
+        hi = min(lo + step, len(at))
+        upto = int(np.searchsorted(reach, n[at[hi - 1]], "right"))
+        across = max(1, CELLS // (step * wide))
+        for left in range(lo + 1 if same else 0, upto, across):
+            right = min(left + across, upto)
+            common = np.bitwise_count(own[lo:hi, None, 0] & other[None, left:right, 0]).sum(axis=2, dtype=np.int32)
+            may = np.maximum(has[lo:hi, None, 0], had[None, left:right, 0]) - common <= limit[left:right]
+            may &= n[at[lo:hi], None] >= reach[left:right]
+            if same:
+                may &= np.arange(lo, hi)[:, None] < np.arange(left, right)
+            for x in differ:
+                may &= x[at[lo:hi], None] != x[more[left:right]]
+            i, j = np.nonzero(may)
+            i, j = i + lo, j + left
+            for some in np.array_split(np.arange(len(i)), -(-len(i) * wide // CELLS) or 1):
+                a, b = i[some], j[some]
+                common = np.bitwise_count(own[a, 1] & other[b, 1]).sum(axis=1, dtype=np.int32)
+                keep = np.maximum(has[a, 1], had[b, 1]) - common <= 2 * limit[b]
+                out.append((at[a[keep]], more[b[keep]]))
+    return out
+
+
+def _within(left: DataFrame, rows: DataFrame) -> DataFrame:
+    """left: the rows (b, r, held: rows of the bucket, root) that are left of buckets.
+    Candidates (r, head) of one bucket and different roots: every near pair is one (see
+    may_be_near). A task holds two blocks of a bucket at most; about as many rows as
+    there are texts are dealt at a time."""
+    spark = left.sparkSession
+    mixed = left.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("b")
+    left = scratch_table(left.join(mixed, "b", "left_semi").withColumn("blocks", F.expr(f"CAST(ceil(held / {BLOCK}) AS INT)")), "left")
+    free_shuffles(spark)
+
+    def map_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [np.frombuffer(x, "<u4") for x in b.column("words").to_pylist()]
+            yield pa.record_batch([b.column("r"), pa.array([len(x) for x in texts], pa.int64()), pa.array([word_maps(x) for x in texts], pa.binary())], ["r", "n", "maps"])
+
+    some = left.select("r").distinct()
+    words = rows.join(F.broadcast(some) if some.count() <= FEW else some, "r", "left_semi").select("r", "words")
+    maps = scratch_table(map_arrow(words, map_words, "r long, n long, maps binary"), "maps")
+    free_shuffles(spark)
+
+    def compare(key: tuple, block: pa.Table) -> pa.Table:
+        r, n, root, part = (block.column(c).to_numpy() for c in ("r", "n", "root", "part"))
+        i, j = may_be_near(n, block.column("maps").to_pylist(), [root] if key[1] == key[2] else [root, part])
+        return pa.table({"r": np.maximum(r[i], r[j]), "head": np.minimum(r[i], r[j])})
+
+    # the pairs of blocks: each row goes to those that its block is one of
+    dealt = left.withColumn("part", F.expr("CAST(pmod(xxhash64(r), blocks) AS INT)")).withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("b", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "part", "r", "root")
+    parts = -(-(left.agg(F.sum("blocks")).first()[0] or 0) // max(1, rows.count()))
+    done = []
+    for i in range(max(1, parts)):
+        part = dealt.filter(F.pmod("b", F.lit(max(1, parts))) == i).join(maps, "r")
+        done.append(scratch_table(part.groupBy("b", "i", "j").applyInArrow(compare, "r long, head long").distinct(), "may"))
+        free_shuffles(spark)
+    drop_tables(left, maps)
+    return functools.reduce(DataFrame.unionByName, done)
+
+
 def _grams(words: np.ndarray) -> np.ndarray:
     """64-bit hashes of a text's runs of GRAM words."""
     mix, n = splitmix(GRAM + 1, 707), max(0, len(words) - GRAM + 1)

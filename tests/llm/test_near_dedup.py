@@ -299,3 +299,46 @@ def test_unlike_texts_with_a_rare_word_in_common_are_no_candidates(spark):
     rows = spark.createDataFrame([(i, bytearray(np.array(t, "<u4").tobytes())) for i, t in enumerate(texts)], "r long, words binary")
     some = spark.createDataFrame([(i, i) for i in range(61)], "r long, root long")
     assert [tuple(x) for x in near_dedup._sharing(some, rows).collect()] == [(60, 5)]
+
+
+def test_maps_rule_out_no_near_pair():
+    r = random.Random(27)
+    tried = 0
+    for turn in range(1500):
+        a = [r.randint(1, r.choice((4, 12, 10**6))) for _ in range(r.randint(1, 70))]
+        b = edited(r, a, r.randint(1, 14))
+        limit = int(max(len(a), len(b)) * 0.2 + 1e-9)
+        if not b or edit_distance(a, b) > limit:
+            continue
+        tried += 1
+        texts = [np.array(t, np.uint32) for t in (a, b)]
+        i, j = near_dedup.may_be_near(np.array([len(a), len(b)]), [near_dedup.word_maps(t) for t in texts], [np.array([0, 1])])
+        assert sorted((*i.tolist(), *j.tolist())) == [0, 1], (a, b)
+    assert tried > 300
+
+
+def test_maps_tell_texts_of_a_common_passage_apart():
+    """Any two share half of their words and are at the least similarity's length of each other."""
+    r = random.Random(28)
+    passage = [r.randrange(10**9) for _ in range(100)]
+    texts = [np.array([r.randrange(10**9) for _ in range(90 + k % 30)] + passage, np.uint32) for k in range(300)]
+    texts[250] = np.concatenate([texts[40][:-10], texts[3][:10]])
+    sizes, maps = np.array([len(t) for t in texts]), [near_dedup.word_maps(t) for t in texts]
+    i, j = near_dedup.may_be_near(sizes, maps, [np.arange(300)])
+    assert {tuple(sorted(x)) for x in zip(i.tolist(), j.tolist())} == {(40, 250)}
+    one = np.zeros(300, int)
+    assert not len(near_dedup.may_be_near(sizes, maps, [one])[0])
+
+
+def test_a_large_bucket_makes_no_row_for_each_of_its_runs(spark, monkeypatch):
+    """Of 60 texts with a common passage two pairs are near; blocks of 16 find them, too."""
+    monkeypatch.setattr(near_dedup, "_sharing", None)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    r = random.Random(29)
+    passage = [r.randrange(10**9) for _ in range(30)]
+    texts = [[r.randrange(10**9) for _ in range(30)] + passage for _ in range(60)]
+    texts[41] = texts[17][:55] + [1, 2, 3, 4, 5]
+    texts[50] = texts[49][4:]
+    rows = spark.createDataFrame([(i, bytearray(np.array(t, "<u4").tobytes())) for i, t in enumerate(texts)], "r long, words binary")
+    reps = spark.createDataFrame([(i, len(t), [7] + [1000 * (i + 1) + k for k in range(1, near_dedup.VALUES)]) for i, t in enumerate(texts)], "r long, n long, values array<long>")
+    assert sorted(tuple(x) for x in near_dedup.links(rows, reps).collect()) == [(41, 17), (50, 49)]

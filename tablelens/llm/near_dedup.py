@@ -363,11 +363,15 @@ def links(rows: DataFrame, reps: DataFrame) -> DataFrame:
     # head is farther from it than both limits: most are ruled out by the farthest.
     near = state.filter("near").select("b", F.col("r").alias("head"), F.col("n").alias("m"), F.col("low").alias("far"))
     farthest = near.groupBy("b").agg(F.max("far").alias("farthest"))
-    reach = rest.join(farthest, "b").filter(f"low - farthest <= floor(n * {(1 - SIMILARITY) / SIMILARITY} + 1e-9)").select("b", "r", "n", "low")
-    others = reach.join(near, "b").filter(f"r <> head AND abs(n - m) <= {LIMIT} AND low - far <= {LIMIT}").select("r", "head")
+    reach = rest.join(farthest, "b").filter(f"low - farthest <= floor(n * {(1 - SIMILARITY) / SIMILARITY} + 1e-9)").select("b", "r", "n", "low", "held")
+    others = reach.filter(f"held <= {SMALL}").join(near, "b").filter(f"r <> head AND abs(n - m) <= {LIMIT} AND low - far <= {LIMIT}").select("r", "head")
     small = rest.filter(f"held <= {SMALL}").select("b", "r", "n")
     within = small.join(small.toDF("b", "head", "m"), "b").filter(f"head < r AND abs(n - m) <= {LIMIT}").select("r", "head")
-    check(others.union(within))
+    pairs = others.union(within)
+    if not rest.filter(f"held > {SMALL}").isEmpty():  # in large buckets the maps come first
+        between = reach.select("b", "r", "held", F.lit(0).alias("root")).union(state.filter("near").select("b", "r", "held", F.lit(1).alias("root")))
+        pairs = pairs.union(_within(between.filter(f"held > {SMALL}"), rows))
+    check(pairs)
     large = scratch_table(rest.filter(f"held > {SMALL}").select("b", "r", "held"), "large")
     drop_tables(state)
     if not large.isEmpty():
@@ -452,7 +456,7 @@ def _map_pairs(n: np.ndarray, differ: list[np.ndarray], at: np.ndarray, own: np.
 
 
 def _within(left: DataFrame, rows: DataFrame) -> DataFrame:
-    """left: the rows (b, r, held: rows of the bucket, root) that are left of buckets.
+    """left: rows (b, r, held: rows of the bucket, root) of buckets.
     Candidates (r, head) of one bucket and different roots: every near pair is one (see
     may_be_near). A task holds two blocks of a bucket at most; about as many rows as
     there are texts are dealt at a time."""

@@ -16,9 +16,9 @@ occurred before.
    with its first one: n - 1 pairs, not n^2. Those that fail are compared with
    those that are near it (unless the distances to it rule that out). What is left
    of at most SMALL rows is compared pair by pair. The rows that are left of any
-   larger bucket are compared by bit maps of their words: an edit takes one word
-   of a text, so most pairs are ruled out without their words. Those of buckets of
-   more than HUGE rows are joined: two near texts share some of their rarest runs of
+   larger bucket are compared inside the bucket: bit maps of the words rule most pairs
+   out (an edit takes one word of a text), the others are verified there, in one
+   of the buckets where they meet. Those of buckets of more than HUGE rows are joined: two near texts share some of their rarest runs of
    GRAM words (so many that the edits can't hit all), at about the same place. Both
    ways are exact. Texts whose links so far make them one class aren't compared again.
 4. Verification. Banded alignment: the edit distance in words within a band
@@ -62,8 +62,8 @@ PLACES = 8
 SIMILARITY = 0.8
 #: Rows of a bucket whose undecided pairs are all compared.
 SMALL = 32
-#: Rows of larger buckets that one task compares at once, and of buckets whose rows are joined instead.
-BLOCK, HUGE = 1 << 14, 1 << 18
+#: Rows of larger buckets that one task compares at once with as many, their words, and rows of buckets that are joined instead.
+BLOCK, BLOCK_WORDS, HUGE = 1 << 13, 1 << 23, 1 << 18
 #: Bits of a map for each word of the text, at least, and 64-bit words of maps compared at once.
 MAP_BITS, CELLS = 4, 1 << 18
 #: Words of a run that the rows of huge buckets are joined by, and the least texts that have enough of them
@@ -291,6 +291,12 @@ def _sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
     return scratch_table(made, "sketched")
 
 
+def _distances(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distance of each pair, or -1 where it is above the limit, and the limit."""
+    limit = np.floor(np.array([max(len(x), len(y)) for x, y in zip(left, right)]) * (1 - SIMILARITY) + 1e-9).astype(np.int64)
+    return distances(list(zip(left, right)), limit), limit
+
+
 def _verify(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """pairs (r, head): adds `near` and `low`, the distance or, of pairs that are not
     near, a lower bound. Only the words of rows of some pair are moved, those of about as
@@ -298,30 +304,32 @@ def _verify(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     spark = pairs.sparkSession
     pairs = scratch_table(pairs, "pairs")
     held = pairs.count()
-    some = pairs.select("r").union(pairs.select("head")).distinct()
-    words = scratch_table(rows.join(F.broadcast(some) if held <= FEW else some, "r", "left_semi").select("r", "words"), "words")
-    free_shuffles(spark)
+    words, copy = rows.select("r", "words"), None
+    if held > FEW:  # fewer are looked up in the table of all rows
+        some = pairs.select("r").union(pairs.select("head")).distinct()
+        words = copy = scratch_table(words.join(some, "r", "left_semi"), "words")
+        free_shuffles(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 some = b.slice(lo, 512)
                 left, right = ([np.frombuffer(x, "<u4") for x in some.column(c).to_pylist()] for c in ("words", "other"))
-                longer = np.array([max(len(x), len(y)) for x, y in zip(left, right)])
-                limit = np.floor(longer * (1 - SIMILARITY) + 1e-9).astype(np.int64)
-                got = distances(list(zip(left, right)), limit)
-                low = [d if d >= 0 else max(m + 1, n - _common(x, y)) for d, m, n, x, y in zip(got.tolist(), limit.tolist(), longer.tolist(), left, right)]
+                got, limit = _distances(left, right)
+                low = [d if d >= 0 else max(m + 1, max(len(x), len(y)) - _common(x, y)) for d, m, x, y in zip(got.tolist(), limit.tolist(), left, right)]
                 yield pa.record_batch([some.column("r"), some.column("head"), pa.array(got >= 0), pa.array(low, pa.int64())], ["r", "head", "near", "low"])
 
     parts = -(-held // max(1, rows.count()))
     done = []
     for i in range(max(1, parts)):
         part = pairs if parts <= 1 else pairs.filter(F.pmod(F.xxhash64("r", "head"), F.lit(parts)) == i)
-        # few pairs go to the words, so that only the way to the head's words is a shuffle
-        both = words.join(F.broadcast(part) if held <= FEW * max(1, parts) else part, "r").join(words.select(F.col("r").alias("head"), F.col("words").alias("other")), "head")
+        # few pairs go to the words, so that only the way to the head's words is a shuffle; other words stay
+        few = F.broadcast if held <= FEW * max(1, parts) else lambda df: df
+        other = words.join(few(part.select(F.col("head").alias("r")).distinct()), "r", "left_semi")
+        both = words.join(few(part), "r").join(other.select(F.col("r").alias("head"), F.col("words").alias("other")), "head")
         done.append(scratch_table(map_arrow(both.select("r", "head", "words", "other"), run, "r long, head long, near boolean, low long"), "checked"))
         free_shuffles(spark)
-    drop_tables(pairs, words)
+    drop_tables(pairs, *[copy] * (copy is not None))
     return functools.reduce(DataFrame.unionByName, done)
 
 
@@ -329,8 +337,9 @@ def _verify(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 LIMIT = f"CAST(floor(greatest(n, m) * {1 - SIMILARITY} + 1e-9) AS LONG)"
 
 
-def links(rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """reps: one (r, n, values) for each different text; rows: (r, words). Verified (r, head)."""
+def links(rows: DataFrame, reps: DataFrame, drop: bool = False) -> DataFrame:
+    """reps: one (r, n, values) for each different text; rows: (r, words). Verified (r, head).
+    drop: reps is a scratch table that is deleted as soon as its buckets are known."""
     # A bucket's rows carry the text's number and the sketch's in one value.
     start = reps.filter("n > 0").select("r", F.posexplode("values").alias("i", "v"))
     bucket = start.select(F.xxhash64(F.least("i", F.lit(VALUES)), "v").alias("b"), (F.shiftleft("r", PLACES) + F.col("i")).alias("ri"))
@@ -346,9 +355,11 @@ def links(rows: DataFrame, reps: DataFrame) -> DataFrame:
         checked = _verify(pairs, rows)
         found = checked if found is None else found.unionByName(checked)
 
-    heads = bucket.groupBy("b").agg(F.min("ri").alias("first"), F.count("*").alias("held")).filter("held > 1")
+    heads = scratch_table(bucket.groupBy("b").agg(F.min("ri").alias("first"), F.count("*").alias("held")).filter("held > 1"), "heads")
+    free_shuffles(reps.sparkSession)
     members = bucket.join(heads, "b").select("b", F.shiftright("ri", PLACES).alias("r"), F.shiftright("first", PLACES).alias("head"), "held").filter("r <> head")
     members = scratch_table(members.join(size, "r").join(size.toDF("head", "m"), "head"), "members")
+    drop_tables(heads, *[reps] * drop)
     free_shuffles(reps.sparkSession)
     if members.isEmpty():
         return reps.sparkSession.createDataFrame([], "r long, head long")
@@ -367,17 +378,16 @@ def links(rows: DataFrame, reps: DataFrame) -> DataFrame:
     others = reach.filter(f"held <= {SMALL}").join(near, "b").filter(f"r <> head AND abs(n - m) <= {LIMIT} AND low - far <= {LIMIT}").select("r", "head")
     small = rest.filter(f"held <= {SMALL}").select("b", "r", "n")
     within = small.join(small.toDF("b", "head", "m"), "b").filter(f"head < r AND abs(n - m) <= {LIMIT}").select("r", "head")
-    pairs = others.union(within)
-    if not rest.filter(f"held > {SMALL}").isEmpty():  # in large buckets the maps come first
-        between = reach.select("b", "r", "held", F.lit(0).alias("root")).union(state.filter("near").select("b", "r", "held", F.lit(1).alias("root")))
-        pairs = pairs.union(_within(between.filter(f"held > {SMALL}"), rows))
-    check(pairs)
-    large = scratch_table(rest.filter(f"held > {SMALL}").select("b", "r", "held"), "large")
+    check(others.union(within))
+    large = scratch_table(rest.filter(f"held > {SMALL}").select("b", "r", "n", "held"), "large")
+    if not large.isEmpty():
+        between = reach.select("b", "r", "n", "held", F.lit(0).alias("root")).union(state.filter("near").select("b", "r", "n", "held", F.lit(1).alias("root")))
+        found = found.unionByName(_within(between.filter(f"held > {SMALL}"), rows))
     drop_tables(state)
     if not large.isEmpty():
         label = components(found.filter("near").select("r", "head"))
-        left = large.join(label, "r", "left").select("b", "r", "held", F.coalesce("root", "r").alias("root"))
-        check(_within(left.filter(f"held <= {HUGE}"), rows))
+        left = large.join(label, "r", "left").select("b", "r", "n", "held", F.coalesce("root", "r").alias("root"))
+        found = found.unionByName(_within(left.filter(f"held <= {HUGE}"), rows))
         huge = left.filter(f"held > {HUGE}").select("r", "root").distinct()
         if not huge.isEmpty():
             check(_sharing(huge, rows))
@@ -455,41 +465,74 @@ def _map_pairs(n: np.ndarray, differ: list[np.ndarray], at: np.ndarray, own: np.
     return out
 
 
-def _within(left: DataFrame, rows: DataFrame) -> DataFrame:
-    """left: rows (b, r, held: rows of the bucket, root) of buckets.
-    Candidates (r, head) of one bucket and different roots: every near pair is one (see
-    may_be_near). A task holds two blocks of a bucket at most; about as many rows as
-    there are texts are dealt at a time."""
-    spark = left.sparkSession
-    mixed = left.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("b")
-    left = scratch_table(left.join(mixed, "b", "left_semi").withColumn("blocks", F.expr(f"CAST(ceil(held / {BLOCK}) AS INT)")), "left")
-    free_shuffles(spark)
+def meets_elsewhere(pair: tuple[np.ndarray, np.ndarray], r: np.ndarray, buckets: list[np.ndarray], roots: list[np.ndarray], b: int) -> np.ndarray:
+    """Whether another bucket than b is the one that compares a pair of rows (their places, i and j).
+    buckets, roots: of each row, all that it is compared in, and as what. Of the buckets
+    where the roots differ a hash of the pair takes one, so that the work of rows that meet often is spread."""
+    (i, j), mix = pair, splitmix(2, 808)
+    held = np.array([len(x) for x in buckets])
+    out, wide = np.zeros(len(i), bool), int(held.max(initial=0))
+    if wide < 2:
+        return out
+    bucket, root = np.zeros((len(held), wide), np.uint64), np.zeros((len(held), wide), np.int64)
+    real = np.arange(wide) < held[:, None]
+    bucket[real], root[real] = np.concatenate(buckets).view(np.uint64), np.concatenate(roots)
+    some = np.flatnonzero((held[i] > 1) & (held[j] > 1))
+    for part in np.array_split(some, -(-len(some) * wide * wide // CELLS) or 1):
+        x, y = i[part], j[part]
+        salt = ((r[x] + r[y]).astype(np.uint64) * mix[0])[:, None]
+        before = (bucket[x] ^ salt) * mix[1] < (np.array(b, np.int64).view(np.uint64) ^ salt) * mix[1]
+        meet = (bucket[x, :, None] == bucket[y, None, :]) & (root[x, :, None] != root[y, None, :])
+        meet &= (before & real[x])[:, :, None] & real[y, None, :]
+        out[part] = meet.any(axis=(1, 2))
+    return out
 
-    def map_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [np.frombuffer(x, "<u4") for x in b.column("words").to_pylist()]
-            yield pa.record_batch([b.column("r"), pa.array([len(x) for x in texts], pa.int64()), pa.array([word_maps(x) for x in texts], pa.binary())], ["r", "n", "maps"])
 
-    some = left.select("r").distinct()
-    words = rows.join(F.broadcast(some) if some.count() <= FEW else some, "r", "left_semi").select("r", "words")
-    maps = scratch_table(map_arrow(words, map_words, "r long, n long, maps binary"), "maps")
+def _within(left: DataFrame, rows: DataFrame) -> DataFrame:
+    """left: rows (b, r, n: words, held: rows of the bucket, root) of buckets.
+    The near pairs (r, head, near, low: distance) of one bucket and different roots: bit maps
+    rule out most of the others (see may_be_near), what is left is verified in one of the
+    buckets where it meets. A task holds two blocks of a bucket at most; about as many rows as there are
+    texts are dealt at a time."""
+    spark = left.sparkSession
+    mixed = left.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum("n").alias("sum")).filter("lo < hi").select("b", "sum")
+    left = left.join(mixed, "b").withColumn("blocks", F.expr(f"CAST(ceil(greatest(held / {BLOCK}, sum / {BLOCK_WORDS})) AS INT)"))
+    left = scratch_table(left.select("b", "r", F.col("root").cast("long").alias("root"), "blocks"), "left")
     free_shuffles(spark)
 
     def compare(key: tuple, block: pa.Table) -> pa.Table:
-        r, n, root, part = (block.column(c).to_numpy() for c in ("r", "n", "root", "part"))
-        i, j = may_be_near(n, block.column("maps").to_pylist(), [root] if key[1] == key[2] else [root, part])
-        return pa.table({"r": np.maximum(r[i], r[j]), "head": np.minimum(r[i], r[j])})
+        r, root, part = (block.column(c).to_numpy() for c in ("r", "root", "part"))
+        texts = [np.frombuffer(x, "<u4") for x in block.column("words").to_pylist()]
+        buckets, roots = ([np.asarray(x, np.int64) for x in block.column(c).to_pylist()] for c in ("buckets", "roots"))
+        i, j = may_be_near(np.array([len(x) for x in texts], np.int64), [word_maps(x) for x in texts], [root] if key[1] == key[2] else [root, part])
+        new = ~meets_elsewhere((i, j), r, buckets, roots, key[0].as_py())
+        i, j = i[new], j[new]
+        out = [np.zeros(0, np.int64)]
+        for lo in range(0, len(i), 512):
+            out.append(_distances([texts[x] for x in i[lo : lo + 512].tolist()], [texts[x] for x in j[lo : lo + 512].tolist()])[0])
+        low = np.concatenate(out)
+        near = low >= 0
+        i, j, low = i[near], j[near], low[near]
+        return pa.table({"r": np.maximum(r[i], r[j]), "head": np.minimum(r[i], r[j]), "near": np.ones(len(i), bool), "low": low})
 
     # the pairs of blocks: each row goes to those that its block is one of
     dealt = left.withColumn("part", F.expr("CAST(pmod(xxhash64(r), blocks) AS INT)")).withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.select("b", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "part", "r", "root")
-    parts = -(-(left.agg(F.sum("blocks")).first()[0] or 0) // max(1, rows.count()))
+    where = left.groupBy("r").agg(F.collect_list(F.struct("b", "root")).alias("w")).select("r", F.col("w.b").alias("buckets"), F.col("w.root").alias("roots"))
+    total = left.agg(F.sum("blocks")).first()[0] or 0
+    parts = max(1, -(-total // max(1, rows.count())))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # as many: the bytes of a bucket don't tell its work
+    few = F.broadcast if total <= FEW * parts else lambda df: df  # few rows go to the words, so that the words move once
+    words, copy = few(where).join(rows.select("r", "words"), "r"), None
+    if total > FEW * parts or parts > 1:
+        words = copy = scratch_table(words, "words")
+        free_shuffles(spark)
     done = []
-    for i in range(max(1, parts)):
-        part = dealt.filter(F.pmod("b", F.lit(max(1, parts))) == i).join(maps, "r")
-        done.append(scratch_table(part.groupBy("b", "i", "j").applyInArrow(compare, "r long, head long").distinct(), "may"))
+    for i in range(parts):
+        part = few(dealt.filter(F.pmod("b", F.lit(parts)) == i)).join(words, "r").repartition(tasks, "b", "i", "j")
+        done.append(scratch_table(part.groupBy("b", "i", "j").applyInArrow(compare, "r long, head long, near boolean, low long"), "within"))
         free_shuffles(spark)
-    drop_tables(left, maps)
+    drop_tables(left, *[copy] * (copy is not None))
     return functools.reduce(DataFrame.unionByName, done)
 
 
@@ -665,8 +708,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     one = scratch_table(rows.groupBy(*same).agg(F.min("r").alias("rep"), F.count("*").alias("copies"), F.min(F.struct(F.col("k").isNull().alias("gone"), "k", "r")).alias("first")), "one")
     reps = scratch_table(rows.select("r", "n", "values").join(one.select(F.col("rep").alias("r")), "r", "left_semi"), "reps")
     free_shuffles(docs.sparkSession)
-    edges = scratch_table(links(rows.select("r", "words"), reps), "links")
-    drop_tables(reps)
+    edges = scratch_table(links(rows.select("r", "words"), reps, drop=True), "links")
     label = components(edges)
     degree = edges.select(F.explode(F.array("r", "head")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     text_class = one.join(label.withColumnRenamed("r", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")).join(degree, "rep", "left")

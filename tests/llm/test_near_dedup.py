@@ -236,6 +236,36 @@ def test_a_near_pair_of_a_large_bucket_needs_no_other_value(spark):
     assert [tuple(x) for x in near_dedup.links(rows, reps).collect()] == [(41, 17)]
 
 
+def test_rows_of_large_buckets_are_verified_inside_them_and_once(spark, monkeypatch):
+    """Texts about as far apart as the limit, which maps can't tell, in several buckets: only
+    the near pairs of different roots are rows, each once, whatever the blocks."""
+    r = random.Random(25)
+    base = r.sample(range(10**9), 40)
+    texts = []
+    for _ in range(50):
+        t = list(base)
+        for p in r.sample(range(40), 5):
+            t[p] = r.randrange(10**9)
+        texts.append(t)
+    held = {b: r.sample(range(50), 40) for b in (-5, 3, 8, 2**62)}
+    root = {(b, x): r.randrange(2) if b == 3 else x // 2 for b in held for x in held[b]}
+    want = set()
+    for b, members in held.items():
+        for x in members:
+            for y in members:
+                if y < x and root[b, x] != root[b, y] and edit_distance(texts[x], texts[y]) <= 8:
+                    want.add((x, y, True, edit_distance(texts[x], texts[y])))
+    assert 100 < len(want) < 1000
+    rows = spark.createDataFrame([(i, bytearray(np.array(t, "<u4").tobytes())) for i, t in enumerate(texts)], "r long, words binary")
+    left = spark.createDataFrame([(b, x, 40, 40, root[b, x]) for b in held for x in held[b]], "b long, r long, n long, held long, root long")
+    for block, words, few in ((16, 1 << 23, 10**6), (100, 500, 10**6), (100, 1 << 23, 0)):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        monkeypatch.setattr(near_dedup, "BLOCK_WORDS", words)
+        monkeypatch.setattr(near_dedup, "FEW", few)
+        found = [tuple(x) for x in near_dedup._within(left, rows).collect()]
+        assert len(found) == len(want) and set(found) == want
+
+
 def test_near_texts_share_one_of_their_first_words_in_any_order():
     r = random.Random(22)
     for _ in range(3000):

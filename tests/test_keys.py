@@ -94,3 +94,47 @@ def test_halves_of_digests_that_collide(spark):
     h = pairs._hashed(df, df.schema.fields, [0, 1])
     weak = h.select(*[(F.lit(0).cast("long") if c.startswith("a") else F.col(c)).alias(c) for c in h.columns])
     assert pairs._all_rows(weak, [0, 1], [(0, 1), (0,), (1,)]) == [True, False, False]
+
+
+def test_the_table_is_read_a_few_times(spark, monkeypatch):
+    """Sets of all sizes are looked for in one sample and verified together: however
+    many there are, all rows are read for the counts, the sample, the parts and the repeated rows."""
+    monkeypatch.setattr(pairs, "SKETCH_ROWS", 64)
+    rng = random.Random(3)
+    columns = [f"c{i}" for i in range(8)]
+    rows = [(i // 4, *[rng.randrange(w) for w in (300, 60, 7, 40, 2000, 11, 3)]) for i in range(3000)]
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    schema = ", ".join(f"{c} int" for c in columns)
+    df = spark.createDataFrame(rows, schema).repartition(3).mapInArrow(count, schema)
+    keys = [r["key_columns"] for r in pairs.composite_keys(df, 4).collect()]
+    assert keys == brute(rows, columns, 4) and {len(k) for k in keys} == {3, 4}
+    assert read.value <= 10 * len(rows), read.value / len(rows)
+
+
+@pytest.mark.parametrize("few, share", [(10**6, 1.0), (10**6, 1 / 16), (40, 1.0)])
+def test_sets_are_verified_by_their_parts(spark, monkeypatch, few, share):
+    """Also where digests come in many blocks and shares, and where a part turns out to repeat too much."""
+    for name, value in {"SKETCH_ROWS": 20, "GROWTH": 4, "FEW": few, "SHARE": share, "PARTS": 2, "SORTED": 32, "MET": 50}.items():
+        monkeypatch.setattr(pairs, name, value)
+    rng = random.Random(few)
+    columns = [f"c{i}" for i in range(6)]
+    rows = [tuple(rng.randrange(w) for w in (400, 90, 30, 8, 4, 2)) for _ in range(500)]
+    rows += [(7, 7, *r[2:]) for r in rows[:60]]  # a heavy tuple
+    assert found(spark, rows, columns, 4) == brute(rows, columns, 4)
+
+
+def test_repeated_digests(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "SORTED", 64)
+    monkeypatch.setattr(pairs, "MET", 100)
+    rows = [(i // 2 if i < 40 else i, 5 if i < 500 else i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "a int, b int").repartition(3)
+    hashed = pairs._hashed(df, df.schema.fields, [0, 1])
+    twice = pairs._repeated(hashed, [0, 1], len(rows), [(0,), (1,), (0, 1)]).collect()
+    assert len({(r["part"], r["h1"]) for r in twice}) == len(twice)
+    assert [sum(r["part"] == k for r in twice) for k in range(3)] == [20, 1, 20]
